@@ -30,17 +30,20 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LINE_WORD = re.compile(r"[^\x20\x09-\x0D]")
 LETTERS = re.compile(r"[^\W\d_]+")
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_marks", "n_lines"]
+BARE = "".join(map(chr, range(0x21, 0x7F))).translate({c: None for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))}).encode()
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_marks", "n_lines", "n_bare", "n_stutter"]
 
 
-def repeated_words(words: list[bytes], lengths: list[int]) -> np.ndarray:
-    """For each text, how many of its words lie in a 5-word window that occurs twice or more in it."""
+def word_counts(words: list[bytes], lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text: words in 5-word windows that occur twice or more in it; words of ASCII digits and marks alone; words equal to the one before."""
     n = len(words)
     owner = np.repeat(np.arange(len(lengths)), lengths)
-    if n < WINDOW:
-        return np.zeros(len(lengths), np.int64)
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+    bare = np.bincount(owner[np.array([not w.strip(BARE) for w in number], bool)[ids]], minlength=len(lengths))
+    stutter = np.bincount(owner[1:][(ids[1:] == ids[:-1]) & (owner[1:] == owner[:-1])], minlength=len(lengths))
+    if n < WINDOW:
+        return np.zeros(len(lengths), np.int64), bare, stutter
     # Windows are named exactly: (name so far, next word) is one number, renumbered before it could overflow.
     whole = np.flatnonzero(owner[: n - WINDOW + 1] == owner[WINDOW - 1 :])
     name = owner[whole].astype(np.int64)
@@ -53,7 +56,7 @@ def repeated_words(words: list[bytes], lengths: list[int]) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + WINDOW, -1)
-    return np.bincount(owner[np.cumsum(edge[:-1]) > 0], minlength=len(lengths))
+    return np.bincount(owner[np.cumsum(edge[:-1]) > 0], minlength=len(lengths)), bare, stutter
 
 
 def measure(texts: list[str]) -> list[np.ndarray]:
@@ -66,7 +69,8 @@ def measure(texts: list[str]) -> list[np.ndarray]:
         runs = "".join(LETTERS.findall(text))
         rows.append((len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), len(runs), sum(1 for a, b in zip(runs, runs.lower(), strict=False) if a != b), text.count("!") + text.count("?"), len(lines)))
     word_chars, n_symbols, n_dup_lines, n_letters, n_upper, n_marks, n_lines = np.array(rows, np.int64).reshape(-1, 7).T
-    return [np.array(n_words, np.int64), word_chars, n_symbols, n_dup_lines, repeated_words([w for x in split for w in x], n_words), n_letters, n_upper, n_marks, n_lines]
+    n_repeat_words, n_bare, n_stutter = word_counts([w for x in split for w in x], n_words)
+    return [np.array(n_words, np.int64), word_chars, n_symbols, n_dup_lines, n_repeat_words, n_letters, n_upper, n_marks, n_lines, n_bare, n_stutter]
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -98,13 +102,15 @@ def votes() -> dict[str, Column]:
         "repeats": ballot(100 * F.col("n_repeat_words") > 20 * n, 100 * F.col("n_repeat_words") <= 5 * n),
         "capitals": ballot((2 * F.col("n_upper") > letters) & (letters > 20), 5 * F.col("n_upper") <= letters),
         "marks": ballot(5 * F.col("n_marks") > n, 20 * F.col("n_marks") <= n),
-        "letters": ballot(10 * letters < 6 * F.col("word_chars"), 10 * letters >= 8 * F.col("word_chars")),
+        "letters": ballot(10 * letters < 3 * F.col("word_chars"), 4 * letters >= 3 * F.col("word_chars")),
+        "stutter": ballot(3 * F.col("n_stutter") > n, 50 * F.col("n_stutter") <= n),
+        "bare": ballot(5 * F.col("n_bare") > 2 * n, 20 * F.col("n_bare") <= n),
     }
 
 
 def estimate(patterns: np.ndarray, weights: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Posterior of good for each vote pattern (rows of -1, 0, 1) that ``weights`` documents show."""
-    good = 1 / (1 + np.exp(3.0 * (patterns < 0).sum(1) - 0.5 * (patterns > 0).sum(1)))
+    good = 1 / (1 + np.exp(6.0 * (patterns < 0).sum(1) - 0.5 * (patterns > 0).sum(1)))
     cast = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
     for _ in range(rounds):
         by_class = np.stack([weights * (1 - good), weights * good])
