@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, quality, url_filter
+from docloom.llm import exact_dedup, mixing, quality, url_filter
 
 QUERIES = {
+    "op1_mix": mixing.op1_mix,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_quality_rules": quality.op6_quality_rules,

@@ -3,11 +3,14 @@
 Every rule votes good (1), bad (-1) or abstains (0) on a document.  Votes are
 counted by pattern, so the label model sees at most 3^rules rows however large
 the corpus is.  Expectation-maximisation then estimates, for each rule, how
-often it votes what on good and on bad documents, and a document stays if its
-posterior probability of being good is at least one half.
+often it votes what on good and on bad documents (an abstention is an outcome
+like the others).  A document stays if its posterior probability of being good is
+at least one half.
 
-The start of the estimation states what is known of such rules: a bad vote is
-given for a defect and is seldom wrong, a good vote says little.
+Junk is of many kinds that have little in common, so there is one class for good
+documents and one for each rule's defect.  The one thing told beforehand is that
+a bad vote names a defect: at most 1 % of the good documents get it, and all but
+1 % of the documents with that defect (``SLIP``).  All other rates and shares are estimated.
 
 Defined results: null and empty texts have no words, fail the base rule and have
 all counts 0; an empty table gives an empty table; repeated rows get equal rows.
@@ -28,6 +31,8 @@ from docloom.llm.shared import Scratch, slices, table
 BLANKS = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: How often a rule errs on its own defect: bad votes on good documents at most, other votes on documents that have the defect.
+SLIP = 0.01
 LINE_WORD = re.compile(r"[^\x20\x09-\x0D]")
 LETTERS = re.compile(r"[^\W\d_]+")
 BARE = "".join(map(chr, range(0x21, 0x7F))).translate({c: None for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))}).encode()
@@ -102,28 +107,35 @@ def votes() -> dict[str, Column]:
         "repeats": ballot(100 * F.col("n_repeat_words") > 20 * n, 100 * F.col("n_repeat_words") <= 5 * n),
         "capitals": ballot((2 * F.col("n_upper") > letters) & (letters > 20), 5 * F.col("n_upper") <= letters),
         "marks": ballot(5 * F.col("n_marks") > n, 20 * F.col("n_marks") <= n),
-        "letters": ballot(10 * letters < 3 * F.col("word_chars"), 4 * letters >= 3 * F.col("word_chars")),
+        "letters": ballot(10 * letters < 3 * F.col("word_chars"), 10 * letters >= 3 * F.col("word_chars")),
         "stutter": ballot(3 * F.col("n_stutter") > n, 50 * F.col("n_stutter") <= n),
-        "bare": ballot(5 * F.col("n_bare") > 2 * n, 20 * F.col("n_bare") <= n),
+        "bare": ballot(5 * F.col("n_bare") > 2 * n, 5 * F.col("n_bare") <= 2 * n),
     }
 
 
-def estimate(patterns: np.ndarray, weights: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Posterior of good for each vote pattern (rows of -1, 0, 1) that ``weights`` documents show."""
-    good = 1 / (1 + np.exp(6.0 * (patterns < 0).sum(1) - 0.5 * (patterns > 0).sum(1)))
+def estimate(patterns: np.ndarray, weights: np.ndarray, slip: float = SLIP, rounds: int = 100) -> np.ndarray:
+    """Posterior of good for each vote pattern (rows of -1, 0, 1) that ``weights`` documents show.
+
+    Class 0 is good; class j is bad for the defect that rule j names.
+    """
+    n_rules = patterns.shape[1]
+    own = np.arange(n_rules)
     cast = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
+    belong = np.concatenate([(cast[:, :, 0].sum(1, keepdims=True) == 0), cast[:, :, 0]], axis=1)
+    belong /= belong.sum(1, keepdims=True)
     for _ in range(rounds):
-        by_class = np.stack([weights * (1 - good), weights * good])
-        share = (by_class.sum(1) + 1) / (weights.sum() + 2)
-        seen = np.einsum("cp,pjv->cjv", by_class, cast) + np.array([[0.5, 0.5, 0.5]])
-        rate = np.log(seen / seen.sum(2, keepdims=True))
-        # A rule may be useless but not reversed: its bad votes are no likelier on good documents.
-        rate[1, :, 0] = np.minimum(rate[1, :, 0], rate[0, :, 0])
-        joint = np.einsum("pjv,cjv->cp", cast, rate) + np.log(share)[:, None]
-        before, good = good, 1 / (1 + np.exp(np.clip(joint[0] - joint[1], -500, 500)))
-        if np.abs(before - good).max(initial=0) < 1e-9:
+        by_class = belong.T * weights
+        share = (by_class.sum(1) + 0.1) / (weights.sum() + 0.1 * (n_rules + 1))
+        seen = np.einsum("cp,pjv->cjv", by_class, cast) + 0.1
+        rate = seen / seen.sum(2, keepdims=True)
+        rate[0, :, 0] = np.minimum(rate[0, :, 0], slip)
+        rate[own + 1, own] = [1 - slip, slip / 2, slip / 2]
+        joint = np.einsum("pjv,cjv->pc", cast, np.log(rate)) + np.log(share)
+        before, belong = belong, np.exp(joint - joint.max(1, keepdims=True))
+        belong /= belong.sum(1, keepdims=True)
+        if np.abs(before - belong).max(initial=0) < 1e-9:
             break
-    return good
+    return belong[:, 0]
 
 
 def posterior(counted: DataFrame) -> DataFrame:
