@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, mixing, quality, url_filter
+from docloom.llm import bpe, exact_dedup, mixing, quality, url_filter
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_bpe": bpe.op5_bpe,
     "op6_quality_rules": quality.op6_quality_rules,
 }
 ORACLES = {"op2_url_filter": url_filter.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
