@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, exact_dedup, mixing, quality, url_filter
+from docloom.llm import bpe, exact_dedup, language_id, mixing, pii, quality, url_filter
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,5 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_language_id": language_id.op7_language_id,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES = {"op2_url_filter": url_filter.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
