@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, exact_dedup, jaccard_join, language_id, mixing, pii, quality, url_filter
+from docloom.llm import bpe, exact_dedup, jaccard_join, language_id, lm_score, mixing, pii, quality, url_filter
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_language_id": language_id.op7_language_id,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_lm_score": lm_score.op9_lm_score,
     "op10_pii": pii.op10_pii,
 }
 ORACLES = {"op2_url_filter": url_filter.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
