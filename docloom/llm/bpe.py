@@ -31,15 +31,17 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import slices, table
+from docloom.llm.shared import Scratch, most_frequent, slices, table
 
 #: The pre-token rule of byte-level BPE vocabularies of this family; a fixed value.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEXICON_WORDS = 131_072
+LEXICON_WORDS = 262_144
 #: Words of more bytes are merged with a heap.
 LONG_WORD = 48
 #: Entries of a worker's memory of words that the lexicon lacks.
 MEMORY = 200_000
+#: Characters that a task handles together; more share more words.
+SLICE = 3_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,10 +64,13 @@ class Vocabulary:
             raise ValueError("only plain special tokens and no normalizer are supported")
         ids = {spell(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        #: Pair of ids to rank; rank to the id that the pair becomes.
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.joined: list[int] = []
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = map(spell, merge if isinstance(merge, list) else merge.split(" "))
-            self.ranks[ids[a], ids[b]] = (rank, ids[a + b])
+            self.ranks[ids[a], ids[b]] = rank
+            self.joined.append(ids[a + b])
         self.special = special
         self.bytes_of = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in special.items()}
 
@@ -74,32 +79,36 @@ class Vocabulary:
         ids = [self.byte_ids[b] for b in word]
         if len(ids) > LONG_WORD:
             return self.merge_long(ids)
-        ranks = self.ranks
-        while len(ids) > 1:
-            best = min((ranks[p] + (k,) for k, p in enumerate(zip(ids, ids[1:], strict=False)) if p in ranks), default=None, key=lambda x: (x[0], x[2]))
-            if best is None:
-                break
-            ids[best[2] : best[2] + 2] = [best[1]]
+        rank, none = self.ranks.get, len(self.joined)
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            ids[k : k + 2] = [self.joined[best]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((ids[k - 1], ids[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank((ids[k], ids[k + 1]), none)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs over a linked list, in n log n."""
         end = len(ids)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(k: int) -> None:
-            if k >= 0 and after[k] < end and (found := self.ranks.get((ids[k], ids[after[k]]))):
-                heapq.heappush(heap, (found[0], k, ids[k], ids[after[k]], found[1]))
+            if k >= 0 and after[k] < end and (rank := self.ranks.get((ids[k], ids[after[k]]))) is not None:
+                heapq.heappush(heap, (rank, k, ids[k], ids[after[k]]))
 
         for k in range(end):
             offer(k)
         while heap:
-            _, k, left, right, new = heapq.heappop(heap)
+            rank, k, left, right = heapq.heappop(heap)
             if ids[k] != left or after[k] >= end or ids[after[k]] != right:
                 continue
             gone = after[k]
-            ids[k], ids[gone], after[k] = new, -1, after[gone]
+            ids[k], ids[gone], after[k] = self.joined[rank], -1, after[gone]
             if after[k] < end:
                 before[after[k]] = k
             offer(before[k])
@@ -187,7 +196,8 @@ class Coder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.pre_token = regex.compile(PRE_TOKEN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
-        self.memory: dict[str, list[int]] = {}
+        self.known: list[tuple[str, bytes] | None] = [None] * (len(lexicon.starts) - 1)
+        self.memory: dict[str, tuple[str, bytes]] = {}
 
     def words(self, text: str) -> list[str]:
         if self.special is None or not self.special.search(text):
@@ -195,47 +205,55 @@ class Coder:
         parts = self.special.split(text)
         return [w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.pre_token.findall(p))]
 
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        special = self.vocabulary.special
+    def ids_of(self, word: str) -> list[int]:
+        return [self.vocabulary.special[word]] if word in self.vocabulary.special else self.vocabulary.merge(word.encode())
+
+    def form(self, ids: list[int]) -> tuple[str, bytes]:
+        """Ids as decimal numbers joined by commas, and the bytes they stand for."""
+        return ",".join(map(str, ids)), b"".join([self.vocabulary.bytes_of[i] for i in ids])
+
+    def forms(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """The form of each word's ids, from the lexicon or else by merging; forms are made once in a worker."""
+        special, known, memory = self.vocabulary.special, self.known, self.memory
         places = self.lexicon.find([b"" if w in special else w.encode() for w in words]).tolist()
-        starts, ids = self.lexicon.starts, self.lexicon.ids
         out = []
         for word, place in zip(words, places, strict=True):
             if place >= 0:
-                out.append(ids[starts[place] : starts[place + 1]].tolist())
-            elif word in special:
-                out.append([special[word]])
-            else:
-                if (got := self.memory.get(word)) is None:
-                    if len(self.memory) >= MEMORY:
-                        self.memory.clear()
-                    got = self.memory[word] = self.vocabulary.merge(word.encode())
-                out.append(got)
+                if (got := known[place]) is None:
+                    got = known[place] = self.form(self.lexicon.ids[self.lexicon.starts[place] : self.lexicon.starts[place + 1]].tolist())
+            elif (got := memory.get(word)) is None:
+                if len(memory) >= MEMORY:
+                    memory.clear()
+                got = memory[word] = self.form(self.ids_of(word))
+            out.append(got)
         return out
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(n_tokens, SHA-256 of the ids, SHA-256 of the decoded text) of each text."""
-        number: dict[str, int] = {}
-        split = [[number.setdefault(w, len(number)) for w in self.words(t)] for t in texts]
-        ids = self.ids_of(list(number))
-        written = [",".join(map(str, x)) for x in ids]
-        spelled = [b"".join(map(self.vocabulary.bytes_of.__getitem__, x)) for x in ids]
-        sizes = [len(x) for x in ids]
+        split = [self.words(t) for t in texts]
+        distinct = list(set().union(*split))
+        forms = self.forms(distinct)
+        written = dict(zip(distinct, [x for x, _ in forms], strict=True)).__getitem__
+        spelled = dict(zip(distinct, [x for _, x in forms], strict=True)).__getitem__
         for words in split:
-            decoded = b"".join([spelled[w] for w in words]).decode("utf-8", errors="replace")
-            yield sum([sizes[w] for w in words]), sha256(",".join([written[w] for w in words]).encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
+            row = ",".join(map(written, words))
+            decoded = b"".join(map(spelled, words)).decode("utf-8", errors="replace")
+            yield row.count(",") + bool(row), sha256(row.encode()).hexdigest(), sha256(decoded.encode()).hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        return [i for x in self.ids_of(self.words(text)) for i in x]
+        words = self.words(text)
+        places = self.lexicon.find([b"" if w in self.vocabulary.special else w.encode() for w in words]).tolist()
+        starts, ids = self.lexicon.starts, self.lexicon.ids
+        return [i for w, p in zip(words, places, strict=True) for i in (ids[starts[p] : starts[p + 1]].tolist() if p >= 0 else self.ids_of(w))]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.vocabulary.bytes_of[i] for i in ids).decode("utf-8", errors="replace")
 
 
-def frequent_words(docs: DataFrame, text_col: str, lexicon_words: int) -> list[str]:
+def frequent_words(docs: DataFrame, text_col: str, lexicon_words: int, scratch: Scratch) -> list[str]:
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PRE_TOKEN), F.lit(0))).alias("word"))
-    rows = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(lexicon_words).collect()
-    return [r.word for r in rows]
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return [r.word for r in most_frequent(counted, lexicon_words, scratch).collect()]
 
 
 def ship(spark: SparkSession, flat: np.ndarray) -> str:
@@ -247,39 +265,39 @@ def ship(spark: SparkSession, flat: np.ndarray) -> str:
     return name
 
 
-def prepared(docs: DataFrame, text_col: str, tokenizer_file: str, lexicon_words: int) -> Callable[[], Coder]:
+def prepared(docs: DataFrame, text_col: str, tokenizer_file: str, lexicon_words: int, scratch: Scratch) -> Callable[[], Coder]:
     """Compiles and ships the lexicon; gives what makes a coder inside a task."""
     spark = docs.sparkSession
     vocabulary = Vocabulary(tokenizer_file)
-    entries = {w.encode(): vocabulary.merge(w.encode()) for w in frequent_words(docs, text_col, lexicon_words) if w not in vocabulary.special}
+    entries = {w.encode(): vocabulary.merge(w.encode()) for w in frequent_words(docs, text_col, lexicon_words, scratch) if w not in vocabulary.special}
     name, shared = ship(spark, Lexicon.compile(entries)), spark.sparkContext.broadcast(vocabulary)
     return lambda: Coder(shared.value, Lexicon(np.load(SparkFiles.get(name), mmap_mode="r")))
 
 
-def bpe_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+def bpe_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of ``docs``."""
-    coder = prepared(docs, text_col, tokenizer_file, lexicon_words)
+    coder = prepared(docs, text_col, tokenizer_file, lexicon_words, scratch or Scratch(docs.sparkSession))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder()
         for batch in batches:
-            for start, texts in slices(batch, "body"):
+            for start, texts in slices(batch, "body", SLICE):
                 columns = zip(*own.digests(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *map(pa.array, columns)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def bpe_encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", ids_col: str = "ids", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", ids_col: str = "ids", lexicon_words: int = LEXICON_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` as (doc struct, ids array<int>)."""
-    coder = prepared(docs, text_col, tokenizer_file, lexicon_words)
+    coder = prepared(docs, text_col, tokenizer_file, lexicon_words, scratch or Scratch(docs.sparkSession))
     packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder()
         for batch in batches:
-            for start, texts in slices(batch, "body"):
+            for start, texts in slices(batch, "body", SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column("doc").slice(start, len(texts)), pa.array([own.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc", ids_col])
 
     return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, {ids_col} array<int>")

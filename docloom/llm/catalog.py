@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, exact_dedup, jaccard_join, language_id, lm_score, mixing, pii, quality, url_filter
+from docloom.llm import bpe, exact_dedup, jaccard_join, language_id, lm_score, mixing, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_language_id": language_id.op7_language_id,

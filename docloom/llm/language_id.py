@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import Scratch, fold, slices, table
+from docloom.llm.shared import Scratch, fold, most_frequent, slices, table
 
 LETTERS = regex.compile(r"\p{L}+")
 MAX_WORDS, MAX_GRAMS, LENGTHS = 60_000, 20_000, (4, 3, 2, 1)
@@ -109,7 +109,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, max_words: int, max_gra
     for k in (0, *LENGTHS):
         counts = words if k == 0 else gram_counts(words, k)
         by_unit = counts.groupBy("unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        rows = by_unit.orderBy(F.desc("all"), "unit").limit(max_grams if k else max_words).collect()
+        rows = sorted(most_frequent(by_unit, max_grams if k else max_words, scratch, "all").collect(), key=lambda r: (-r["all"], r.unit))
         tables[k] = ([r.unit for r in rows], np.array([[r.by.get(x, 0) for x in languages] for r in rows], float).reshape(-1, len(languages)))
     return Model(languages, tables)
 

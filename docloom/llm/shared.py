@@ -80,3 +80,18 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iter
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def most_frequent(counted: DataFrame, limit: int, scratch: Scratch, n_col: str = "n") -> DataFrame:
+    """The rows of ``counted`` with the largest counts, at most ``limit``: whole levels of 1/16 of a doubling.
+
+    A histogram of at most some hundred levels finds the cut, so no task sends its own candidates to the driver.
+    """
+    stored = scratch.table(counted.withColumn("level", F.floor(F.log2(n_col) * 16)), "counted")
+    left, cut = limit, None
+    for r in stored.groupBy("level").count().orderBy(F.desc("level")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        cut = r.level
+    return stored.where(F.lit(False) if cut is None else F.col("level") >= cut).drop("level")
