@@ -110,7 +110,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, max_words: int, max_gra
         counts = words if k == 0 else gram_counts(words, k)
         by_unit = counts.groupBy("unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
         rows = sorted(most_frequent(by_unit, max_grams if k else max_words, scratch, "all").collect(), key=lambda r: (-r["all"], r.unit))
-        tables[k] = ([r.unit for r in rows], np.array([[r.by.get(x, 0) for x in languages] for r in rows], float).reshape(-1, len(languages)))
+        tables[k] = ([r.unit for r in rows], np.array([[r.by.get(x, 0) for x in languages] for r in rows], float).reshape(len(rows), len(languages)))
     return Model(languages, tables)
 
 

@@ -144,11 +144,12 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def without_copies(docs: list[list[list[str]]]) -> list[int]:
-    """Documents of the sample less near copies of earlier ones: two of three least word hashes agree."""
+    """Documents of the sample less near copies of earlier ones: two of three least hashes of word triples agree."""
     seen: set[tuple[int, int, int]] = set()
     kept = []
     for k, sents in enumerate(docs):
-        hashes = [crc32(w.encode()) for s in sents for w in s]
+        words = [w for s in sents for w in s]
+        hashes = [crc32(" ".join(x).encode()) for x in zip(words, words[1:], words[2:], strict=False)]
         least = [min((h * f % PRIME for h in hashes), default=-k - 1) for f in FACTORS]
         pairs = {(i, j, hash((least[i], least[j]))) for i, j in ((0, 1), (0, 2), (1, 2))}
         if not pairs & seen:
@@ -269,12 +270,12 @@ def calibrated(s: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float, f
 
 def fit(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LANDMARKS) -> Model:
     """The model from a labelled sample; ``share``: of toxic among all labels that may be learned from."""
-    if not toxic.any() or toxic.all():
-        flat = min(max(share, 1e-9), 1 - 1e-9)
-        return Model(Landmarks([]), np.zeros(0), 0.0, 0.0, float(np.log(flat / (1 - flat))))
     docs = [sentences(t) for t in texts]
     unlike = without_copies(docs)
     texts, docs, toxic = [texts[k] for k in unlike], [docs[k] for k in unlike], toxic[unlike]
+    if not toxic.any() or toxic.all():
+        flat = min(max(share, 1e-9), 1 - 1e-9)
+        return Model(Landmarks([]), np.zeros(0), 0.0, 0.0, float(np.log(flat / (1 - flat))))
     marks = Landmarks(choose_landmarks(docs, toxic, landmarks))
     words = sorted({w for d in docs for s in d for w in s if len(w) <= PIECE})
     place, values = {w: k for k, w in enumerate(words)}, marks.features(words)
