@@ -1,5 +1,6 @@
 """Each query against its DuckDB statement on the smallest tables."""
 
+from numbers import Number
 from pathlib import Path
 
 import duckdb
@@ -21,7 +22,7 @@ def duck():
 def plain(frame, columns):
     out = []
     for row in frame[columns].itertuples(index=False):
-        out.append(tuple("null" if pd.api.types.is_scalar(v) and pd.isna(v) else repr(round(float(v), 5) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:26] if "Timestamp" in type(v).__name__ else str(v) for v in row))
+        out.append(tuple("null" if pd.api.types.is_scalar(v) and pd.isna(v) else repr(round(float(v), 5) + 0.0) if isinstance(v, Number) and not isinstance(v, bool) else str(v)[:26] if "Timestamp" in type(v).__name__ else str(v) for v in row))
     return sorted(out)
 
 
