@@ -30,6 +30,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from docloom.llm.shared import Scratch, most_frequent, slices, table
 
@@ -300,7 +301,7 @@ def bpe_encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", ids
             for start, texts in slices(batch, "body", SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column("doc").slice(start, len(texts)), pa.array([own.encode(t) for t in texts], pa.list_(pa.int32()))], names=["doc", ids_col])
 
-    return packed.mapInArrow(run, f"doc {packed.schema['doc'].dataType.simpleString()}, {ids_col} array<int>")
+    return packed.mapInArrow(run, StructType([StructField("doc", packed.schema["doc"].dataType), StructField(ids_col, ArrayType(IntegerType()))]))
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

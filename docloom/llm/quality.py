@@ -10,7 +10,8 @@ at least one half.
 Junk is of many kinds that have little in common, so there is one class for good
 documents and one for each rule's defect.  The one thing told beforehand is that
 a bad vote names a defect: at most 1 % of the good documents get it, and all but
-1 % of the documents with that defect (``SLIP``).  All other rates and shares are estimated.
+1 % of the documents with that defect (``SLIP``).  All other rates and shares are
+estimated.
 
 Defined results: null and empty texts have no words, fail the base rule and have
 all counts 0; an empty table gives an empty table; repeated rows get equal rows.
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm.shared import Scratch, slices, table
 
@@ -72,7 +74,7 @@ def measure(texts: list[str]) -> list[np.ndarray]:
     for text in texts:
         lines = [x for x in text.split("\n") if LINE_WORD.search(x)] if "\n" in text else [text] * bool(LINE_WORD.search(text))
         runs = "".join(LETTERS.findall(text))
-        rows.append((len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), len(runs), sum(1 for a, b in zip(runs, runs.lower(), strict=False) if a != b), text.count("!") + text.count("?"), len(lines)))
+        rows.append((len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), len(runs), sum(map(str.isupper, runs)), text.count("!") + text.count("?"), len(lines)))
     word_chars, n_symbols, n_dup_lines, n_letters, n_upper, n_marks, n_lines = np.array(rows, np.int64).reshape(-1, 7).T
     n_repeat_words, n_bare, n_stutter = word_counts([w for x in split for w in x], n_words)
     return [np.array(n_words, np.int64), word_chars, n_symbols, n_dup_lines, n_repeat_words, n_letters, n_upper, n_marks, n_lines, n_bare, n_stutter]
@@ -88,7 +90,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column("doc"), *map(pa.array, measure(texts))], names=["doc", *COUNTS])
 
-    schema = f"doc {keep.schema['doc'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS)
+    schema = StructType([StructField("doc", keep.schema["doc"].dataType), *(StructField(c, LongType()) for c in COUNTS)])
     return keep.mapInArrow(run, schema)
 
 
