@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import dates, lexicon, text
-from docloom.operators import chunking, dialogue, graph, retrieval
+from docloom.operators import chunking, dialogue, graph, records, retrieval
 from docloom.sources.tables import names_document, read_table, without_document
 from docloom.streaming import metrics
 
@@ -396,6 +396,44 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
 
 
+@query(f"""WITH {SECTIONS}, p AS (SELECT *, string_split(section, '.') AS parts FROM s),
+f AS (SELECT id, section, CASE WHEN len(parts) = 2 THEN section ELSE array_to_string(list_transform(generate_series(1, len(parts)), lambda i: array_to_string(parts[1:i], '.')), ' -> ') END AS hierarchy,
+  coalesce(nullif(array_to_string(parts[1:len(parts) - 1], '.'), ''), 'unknown') AS parent FROM p)
+SELECT id, hierarchy, parent, 'Section: ' || section || chr(10) || 'Hierarchy: ' || hierarchy || chr(10) || 'Document: atlas' || chr(10) || 'Chapter: unknown' || chr(10) || 'Position: ' || id || '/' || 55 || chr(10) || 'Content: ' || section AS body FROM f""")
+def record_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    section = F.col("section")
+    rows = derived_sections(spark, sf_dir).select("id", section.alias("section_number"), text.hierarchy(section).alias("hierarchy"), F.lit("atlas").alias("document_title"), text.parent_section(section).alias("parent_section"), F.lit(None).cast("string").alias("chapter_title"))
+    body = records.enriched(*(F.col(c) for c in ("section_number", "hierarchy", "document_title", "chapter_title", "id")), F.lit(55), F.col("section_number"))
+    return records.projected(rows).select("id", "hierarchy", F.col("parent_section").alias("parent"), body.alias("body"))
+
+
+@query(f"SELECT doc_id, contains(text, '[DEFINITION]') OR contains(text, '[IMPORTANT_CLAUSE]') OR {' OR '.join(f'contains(lower(text), {quoted(w)})' for w in records.IMPORTANT)} AS important FROM documents")
+def important_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", records.is_important(F.col("text")).alias("important"))
+
+
+@query(r"""WITH b AS (SELECT page_id, regexp_extract(url, '([^/\\?#]*)/?(?:[?#].*)?$', 1) AS base FROM pages)
+SELECT page_id, base, regexp_replace(base, '\.[^.]*$', '') AS stem, regexp_extract(base, '(\.[^.]*)$', 1) AS suffix FROM b""")
+def filename_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "pages").select("page_id", *(c.alias(k) for k, c in records.filename_parts(F.col("url")).items()))
+
+
+@query()
+def chunk_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", records.chunk_threshold(F.col("text")).alias("threshold"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v, CASE WHEN vec_id % 40 = 0 THEN 'which date' ELSE 'what' END AS t FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT query_id, vec_id, contains(t, 'date') AND label < 3 AS first, round(1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) + 0.0 AS distance FROM q, embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, distance, vec_id) AS rank FROM d)
+SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 5""")
+def date_first_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("dates", F.when(F.col("label") < 3, F.lit("2020")))
+    asked = F.when(F.col("vec_id") % 40 == 0, "which date").otherwise("what")
+    q = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), asked.alias("query_text"))
+    return records.search(q, rows, 5, "vec_id", "dates").select("query_id", "vec_id", "distance", "rank")
+
+
 # Dialogue
 
 HISTORY = """h AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r, lead(text) OVER w AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
