@@ -315,32 +315,51 @@ def test_lm_base(docs, rows, empty):
 
 def test_attention_scores_and_gradient():
     rng = np.random.default_rng(2)
-    p = attention.start(np.log(np.full(7, 1 / 7)), 1)
+    p = attention.start(7, 7, 1)
+    direct = np.log(rng.dirichlet(np.ones(7), 7)).astype(np.float32)
     sequence = rng.integers(0, 7, 60)
     starts, inputs = np.array([0, 1, 30]), np.array([0, 28, 29])
-    totals = attention.Scorer(p).totals(sequence, starts[1:], inputs[1:])
+    totals = attention.Scorer(p, direct).totals(sequence, sequence, sequence, starts[1:], inputs[1:])
     for total, s, n in zip(totals, starts[1:], inputs[1:], strict=True):
         want = 0.0
         for k in range(n):
             first = 0 if k < attention.CONTEXT else (k - attention.CONTEXT + attention.STRIDE) // attention.STRIDE * attention.STRIDE
             x = np.zeros((1, attention.CONTEXT), np.int64)
             x[0, : k - first + 1] = sequence[s + first : s + k + 1]
-            logits = attention.forward(p, x)[-1][0, k - first].astype(float)
+            logits = attention.forward(p, x, direct[x])[-1][0, k - first].astype(float)
             want += logits[sequence[s + k + 1]] - np.log(np.exp(logits).sum())
         assert total == pytest.approx(want, rel=1e-3)
     x, y, w = rng.integers(0, 7, (3, attention.CONTEXT)), rng.integers(0, 7, (3, attention.CONTEXT)), np.ones((3, attention.CONTEXT), np.float32)
     q = {k: v.astype(np.float64) for k, v in p.items()}
-    _, g = attention.gradient(q, x, y, w)
+    _, g = attention.gradient(q, x, direct[x], y, w)
     for name in q:
         at = np.unravel_index(int(np.abs(g[name]).argmax()), g[name].shape)
         up, down = ({k: v.copy() for k, v in q.items()} for _ in range(2))
         up[name][at] += 1e-4
         down[name][at] -= 1e-4
-        slope = (attention.gradient(up, x, y, w)[0] - attention.gradient(down, x, y, w)[0]) / 2e-4
+        slope = (attention.gradient(up, x, direct[x], y, w)[0] - attention.gradient(down, x, direct[x], y, w)[0]) / 2e-4
         assert g[name][at] == pytest.approx(slope, rel=2e-2, abs=1e-5)
-    before = attention.gradient(p, x, y, w)[0]
-    trained = attention.train(p, np.repeat(x, 50, 0), np.repeat(y, 50, 0), np.repeat(w, 50, 0), 0.01)
-    assert attention.gradient(trained, x, y, w)[0] < before
+    before = attention.gradient(p, x, direct[x], y, w)[0]
+    trained = attention.train(p, direct, np.repeat(x, 50, 0), np.repeat(x, 50, 0), np.repeat(y, 50, 0), np.repeat(w, 50, 0), 0.01)
+    assert attention.gradient(trained, x, direct[x], y, w)[0] < before
+
+
+def test_lm_shares_add_up():
+    rng = np.random.default_rng(4)
+    ids, end = 400, 7
+    pairs = np.unique(rng.integers(0, ids, (900, 2)), axis=0)
+    n = rng.integers(1, 50, len(pairs))
+    counts, first = np.bincount(pairs[:, 1], n, ids), np.where(np.arange(ids) % 3 == 0, 1.0, 0.0)
+    known = lm_score.Classes(counts, first, end)
+    followed = np.zeros((ids, known.n))
+    np.add.at(followed, (pairs[:, 0], known.of[pairs[:, 1]]), n)
+    kept = np.argsort(-n, kind="stable")[:100]
+    known.learn(followed, first, (pairs[kept, 0], pairs[kept, 1], n[kept]))
+    assert np.allclose(np.exp(known.direct).sum(1), 1, atol=1e-4)
+    assert np.allclose(np.bincount(known.of, np.exp(known.log_share)), 1)
+    for before in (0, int(pairs[kept[0], 0])):
+        shares = [known.known.get(before << 32 | i, known.log_left[before, known.of[i]] + known.log_share[i]) for i in range(ids)]
+        assert np.allclose(np.bincount(known.of, np.exp(shares)), 1, atol=1e-4)
 
 
 def test_toxicity(spark, docs, empty):
