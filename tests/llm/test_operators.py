@@ -344,6 +344,24 @@ def test_attention_scores_and_gradient():
     assert attention.gradient(trained, x, direct[x], y, w)[0] < before
 
 
+def test_lm_cuts_words_by_longest_piece():
+    vocabulary = bpe.Vocabulary(bpe.tokenizer_path())
+    pieces = lm_score.Pieces(vocabulary)
+    by_bytes = {b: i for i, b in vocabulary.bytes_of.items() if i not in vocabulary.special.values()}
+    texts = ["the", "unbelievable", "x" * 300, "Straße", "日本語テキスト", "a", "naïveté,", "\u00a0", "1234567890-=", "internationalisation"]
+    got_sizes, got = pieces.cut([t.encode() for t in texts])
+    want = []
+    for t in texts:
+        rest, out = b" " + t.encode(), []
+        while rest:
+            n = max(k for k in range(1, len(rest) + 1) if rest[:k] in by_bytes)
+            out.append(by_bytes[rest[:n]])
+            rest = rest[n:]
+        want.append(out)
+    assert got_sizes.tolist() == [len(x) for x in want] and got.tolist() == [i for x in want for i in x]
+    assert [len(x) for x in pieces.cut([])] == [0, 0]
+
+
 def test_lm_shares_add_up():
     rng = np.random.default_rng(4)
     ids, end = 400, 7
@@ -358,7 +376,7 @@ def test_lm_shares_add_up():
     assert np.allclose(np.exp(known.direct).sum(1), 1, atol=1e-4)
     assert np.allclose(np.bincount(known.of, np.exp(known.log_share)), 1)
     for before in (0, int(pairs[kept[0], 0])):
-        shares = [known.known.get(before << 32 | i, known.log_left[before, known.of[i]] + known.log_share[i]) for i in range(ids)]
+        shares = known.shares(np.full(ids, before), np.arange(ids))
         assert np.allclose(np.bincount(known.of, np.exp(shares)), 1, atol=1e-4)
 
 
