@@ -56,8 +56,8 @@ def forward(p: Params, x: np.ndarray, direct: np.ndarray) -> tuple[np.ndarray, .
     return e, q, k, v, a, o, h, h @ p["w2"] + p["b2"] + direct
 
 
-def gradient(p: Params, x: np.ndarray, direct: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, Params]:
-    """Mean cross-entropy of targets y where w is 1, and its gradient."""
+def slopes(p: Params, x: np.ndarray, direct: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, Params, np.ndarray]:
+    """Mean cross-entropy of targets y where w is 1, its gradient but for the embeddings, and that at each input."""
     e, q, k, v, a, o, h, logits = forward(p, x, direct)
     logits -= logits.max(-1, keepdims=True)
     prob = np.exp(logits)
@@ -77,9 +77,15 @@ def gradient(p: Params, x: np.ndarray, direct: np.ndarray, y: np.ndarray, w: np.
     gq, gk, gv = gs @ k, gs.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ go
     out |= {n: rows(e).T @ rows(t) for n, t in (("wq", gq), ("wk", gk), ("wv", gv))}
     ge = go + gq @ p["wq"].T + gk @ p["wk"].T + gv @ p["wv"].T
+    return loss, out | {"pos": ge.sum(0)}, rows(ge)
+
+
+def gradient(p: Params, x: np.ndarray, direct: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, Params]:
+    """Mean cross-entropy of targets y where w is 1, and its gradient."""
+    loss, out, at_inputs = slopes(p, x, direct, y, w)
     emb = np.zeros_like(p["emb"])
-    np.add.at(emb, x.ravel(), rows(ge))
-    return loss, out | {"emb": emb, "pos": ge.sum(0)}
+    np.add.at(emb, x.ravel(), at_inputs)
+    return loss, out | {"emb": emb}
 
 
 def windows(sequence_starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,17 +96,24 @@ def windows(sequence_starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarra
     return sequence_starts[owner] + k * STRIDE, owner
 
 
-def train(p: Params, direct: np.ndarray, inputs: np.ndarray, rows: np.ndarray, targets: np.ndarray, mask: np.ndarray, rate: float, batch: int = 32) -> Params:
-    """One pass of Adam over windows, in the order given.  rows: each input's row of ``direct``."""
+def train(p: Params, direct: np.ndarray, inputs: np.ndarray, rows: np.ndarray, targets: np.ndarray, mask: np.ndarray, rate: float, batch: int = 128) -> Params:
+    """One pass of Adam over windows, in the order given.  rows: each input's row of ``direct``.
+
+    A step moves the embeddings of its own inputs only, so its cost doesn't depend on how many inputs there are.
+    """
     p = {k: v.copy() for k, v in p.items()}
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
     for t, at in enumerate(range(0, len(inputs), batch), 1):
-        _, g = gradient(p, inputs[at : at + batch], direct[rows[at : at + batch]], targets[at : at + batch], mask[at : at + batch])
+        x = inputs[at : at + batch]
+        _, g, at_inputs = slopes(p, x, direct[rows[at : at + batch]], targets[at : at + batch], mask[at : at + batch])
+        own, seat = np.unique(x, return_inverse=True)
+        g["emb"] = np.stack([np.bincount(seat.ravel(), column, len(own)) for column in at_inputs.T], 1).astype(at_inputs.dtype)
         for k in p:
-            m[k] += np.float32(0.1) * (g[k] - m[k])
-            s[k] += np.float32(0.01) * (g[k] ** 2 - s[k])
-            p[k] -= np.float32(rate) * (m[k] / np.float32(1 - 0.9**t)) / (np.sqrt(s[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+            part = own if k == "emb" else slice(None)
+            m[k][part] += np.float32(0.1) * (g[k] - m[k][part])
+            s[k][part] += np.float32(0.01) * (g[k] ** 2 - s[k][part])
+            p[k][part] -= np.float32(rate) * (m[k][part] / np.float32(1 - 0.9**t)) / (np.sqrt(s[k][part] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
     return p
 
 

@@ -10,12 +10,13 @@ piece first.  The most frequent subwords are classes of their own, the others
 share a few classes by frequency, those that begin words apart from those inside.
 The attention model predicts the class, on top of what counts over all training
 rows say of the class after the last subword; a subword's share of its class comes
-from counts of the subword after the one before it in the word.  The
-``kept_pairs`` most frequent pairs are known one by one, the rest of a
-subword's successors share what is left by their own frequency.  Training goes in rounds: each
+from counts of the subword after the one before it in the word.  Every pair counts:
+the most frequent ones, at most ``kept_pairs``, are broadcast, and those of the
+texts beyond them meet their counts in a shuffle join.  Training goes in rounds: each
 task passes once over the windows of its share of the training documents (one in
-``train_one_in`` a round, other ones each round, so the training data grow with
-the corpus), and Spark averages the weights, by windows, parameter by parameter.
+``rounds`` a round, other ones each round, so the rounds together read every
+training document once), and Spark averages the weights, by windows, parameter by
+parameter; a subword's embedding by how often the subword was an input.
 
 Scoring: a text is one sequence with an end; overlapping windows cover it, and
 each token is scored once, in batches of masked attention.
@@ -28,6 +29,7 @@ empty table gives an empty table; repeated rows get equal rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +42,9 @@ from docloom.llm.bpe import Vocabulary, tokenizer_path
 from docloom.llm.shared import LOWER, LOWER_BYTES, UPPER, Scratch, fold, most_frequent, slices, table
 
 FOLDS, FREQUENT_WORDS = 10, 200_000
-OWN_CLASSES, SHARED_CLASSES, INPUTS = 64, 4, 512
+OWN_CLASSES, SHARED_CLASSES = 88, 4
 KEPT_PAIRS, PAIRS_AT_ONCE, BATCHES_AT_ONCE = 200_000, 200_000, 16
-ROUNDS, TRAIN_ONE_IN, RATE, SEED = 3, 64, 0.01, 9
+ROUNDS, RATE, SEED = 3, 0.01, 9
 ADD = 0.1
 #: White space other than the space, as words are split.
 BLANKS = "\t\n\x0b\x0c\r"
@@ -185,19 +187,21 @@ class Classes:
             if len(rest):
                 mass = np.cumsum(counts[rest] + ADD)
                 self.of[rest] = OWN_CLASSES + k * SHARED_CLASSES + np.minimum(SHARED_CLASSES - 1, mass * SHARED_CLASSES / mass[-1]).astype(np.int16)
-        self.input = np.full(len(counts), INPUTS - 1, np.int16)
-        self.input[order[: INPUTS - 1]] = np.arange(min(INPUTS - 1, len(order)))
         smooth = counts + ADD
         self.log_share = np.log(smooth / np.bincount(self.of, smooth, minlength=self.n)[self.of])
         self.all_mass = np.bincount(self.of, smooth, minlength=self.n) / smooth.sum()
         begins = np.bincount(self.of, first, minlength=self.n) + ADD * self.all_mass
         self.begin_mass = begins / begins.sum()
 
-    def learn(self, followed: np.ndarray, last: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """followed: (ids, classes) counts inside words; last: counts of words' last subwords; pairs: before, id and count of those known one by one."""
+    def learn(self, followed: np.ndarray, last: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], known: np.ndarray | None = None) -> None:
+        """followed: (ids, classes) counts inside words; last: counts of words' last subwords; pairs: before, id and count of those held here.
+
+        known: what of ``followed`` is known one by one, here or elsewhere; without it, the pairs held here.
+        """
         before, after, n = pairs
-        known = np.zeros_like(followed)
-        np.add.at(known, (before, self.of[after]), n)
+        if known is None:
+            known = np.zeros_like(followed)
+            np.add.at(known, (before, self.of[after]), n)
         said = np.maximum(followed + last[:, None] * self.begin_mass + self.all_mass, 1e-9)
         self.direct = np.log(said / said.sum(1, keepdims=True)).astype(np.float32)
         left = followed - known + 1
@@ -206,16 +210,22 @@ class Classes:
         self.known_share = np.log((n + left[cell] * np.exp(self.log_share[after])) / (followed[cell] + 1))
         self.known = Numbers(before << 32 | after)
 
-    def shares(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Logs of the shares of ids after others in a word."""
+    def shares_and_held(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logs of the shares of ids after others in a word, those of pairs not held here as if they had not occurred; and which are held."""
         place = self.known.find(before.astype(np.int64) << 32 | ids)
         out = self.log_left[before, self.of[ids]] + self.log_share[ids]
         out[place >= 0] = self.known_share[place[place >= 0]]
-        return out
+        return out, place >= 0
+
+    def shares(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.shares_and_held(before, ids)[0]
 
 
-def learned_classes(counts: DataFrame, ends: int, pieces: Pieces, kept_pairs: int, scratch: Scratch) -> Classes:
-    """At most a row for each id, for each id and class, and ``kept_pairs`` reach the driver."""
+def learned_classes(counts: DataFrame, ends: int, pieces: Pieces, kept_pairs: int, scratch: Scratch) -> tuple[Classes, DataFrame]:
+    """The classes, and (pair, plus): what each pair's count adds to the log10 of its share.
+
+    At most a row for each id, for each id and class, and ``kept_pairs`` reach the driver.
+    """
     pairs = scratch.table(pair_counts(counts, pieces), "subword-pairs")
 
     def summed(rows: DataFrame, *keys: str) -> list[np.ndarray]:
@@ -230,13 +240,14 @@ def learned_classes(counts: DataFrame, ends: int, pieces: Pieces, kept_pairs: in
         out[pieces.end] += ends
     out = Classes(total, first, pieces.end)
     inside = pairs.where("before >= 0 and id >= 0")
-    named = pairs.sparkSession.createDataFrame(pa.table({"id": np.arange(pieces.top), "class": out.of.astype(np.int64)}))
+    named = pairs.sparkSession.createDataFrame(pa.table({"id": np.arange(pieces.top), "class": out.of.astype(np.int64), "share": np.exp(out.log_share)}))
     before, kind, n = summed(inside.join(F.broadcast(named), "id"), "before", "class")
     followed = np.zeros((pieces.top, out.n))
     followed[before, kind] = n
     frequent = most_frequent(inside, kept_pairs, scratch).toArrow()
-    out.learn(followed, last, tuple(frequent.column(k).to_numpy().astype(np.int64) for k in ("before", "id", "n")))
-    return out
+    out.learn(followed, last, tuple(frequent.column(k).to_numpy().astype(np.int64) for k in ("before", "id", "n")), followed)
+    pair = F.shiftleft("before", 32).bitwiseOR(F.col("id"))
+    return out, inside.join(F.broadcast(named), "id").select(pair.alias("pair"), (F.log1p(F.col("n") / F.col("share")) / math.log(10)).alias("plus"))
 
 
 class Reader:
@@ -248,8 +259,8 @@ class Reader:
         self.end_base = float(np.log10((ends + ADD) / (tokens + ADD * (distinct + 1))))
         self.end_known = int(ends > 0)
 
-    def sequences(self, texts: list[str]) -> dict:
-        """All that scoring needs: words of each text, and one sequence of subword ids with a start and an end for each text."""
+    def sequences(self, texts: list[str], scoring: bool = True) -> dict:
+        """One sequence of subword ids with a start and an end for each text; for scoring also its words, and the pairs whose counts are elsewhere."""
         split = [t.encode().translate(LOWER_BYTES).split() for t in texts]
         number: dict[bytes, int] = {}
         ids = np.array([number.setdefault(w, len(number)) for words in split for w in words], np.int64)
@@ -257,12 +268,6 @@ class Reader:
         owner = np.repeat(np.arange(len(split)), lengths)
         sizes, stored = self.pieces.cut(list(number))
         first = np.cumsum(sizes) - sizes
-        share = self.classes.log_share[stored]
-        later = np.ones(len(stored), bool)
-        later[first] = False
-        later = np.flatnonzero(later)
-        share[later] = self.classes.shares(stored[later - 1], stored[later])
-        of_word = np.bincount(np.repeat(np.arange(len(sizes)), sizes), share, minlength=len(sizes))
         many = sizes[ids]
         per_text = np.bincount(owner, many, minlength=len(split)).astype(np.int64)
         # Each text: a start, its pieces, an end.
@@ -271,45 +276,81 @@ class Reader:
         inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         seat = np.arange(int(many.sum())) + 2 * np.repeat(owner, many) + 1
         sequence[seat] = stored[np.repeat(first[ids], many) + inner]
+        out = {"sequence": sequence, "starts": starts, "inputs": per_text + 1}
+        if not scoring:
+            return out
+        share = self.classes.log_share[stored]
+        later = np.ones(len(stored), bool)
+        later[first] = False
+        later = np.flatnonzero(later)
+        share[later], held = self.classes.shares_and_held(stored[later - 1], stored[later])
+        word_of = np.repeat(np.arange(len(sizes)), sizes)
+        of_word = np.bincount(word_of, share, minlength=len(sizes))
         inside = np.bincount(owner, of_word[ids], minlength=len(split))
         base = np.array([self.base.get(w, np.nan) for w in number])
-        return {"words": list(number), "ids": ids, "owner": owner, "lengths": lengths, "sequence": sequence, "starts": starts, "inputs": per_text + 1, "inside": inside, "base": base}
+        later = later[~held]
+        pairs, of_word = stored[later - 1].astype(np.int64) << 32 | stored[later], np.bincount(word_of[later], minlength=len(sizes))
+        times = of_word[ids]
+        inner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        pairs = pairs[np.repeat((np.cumsum(of_word) - of_word)[ids], times) + inner]
+        n_pairs = np.bincount(owner, times, minlength=len(split)).astype(np.int64)
+        return out | {"words": list(number), "ids": ids, "owner": owner, "lengths": lengths, "inside": inside, "base": base, "pairs": pairs, "n_pairs": n_pairs}
 
 
-def train_model(train: DataFrame, id_col: str, text_col: str, reader, n_classes: int, rounds: int, one_in: int) -> attention.Params:
-    """Rounds of local training and averaging."""
-    sc = train.sparkSession.sparkContext
-    params = attention.start(INPUTS, n_classes, SEED)
+def training_part(train: DataFrame, id_col: str, k: int, one_in: int) -> DataFrame:
+    """The documents of round ``k``: as many rounds as ``one_in`` read all."""
+    return train.where(F.pmod(F.xxhash64(id_col), F.lit(one_in)) == k % one_in)
+
+
+def train_model(train: DataFrame, id_col: str, text_col: str, reader, n_inputs: int, n_classes: int, rounds: int, one_in: int) -> attention.Params:
+    """Rounds of local training and averaging.  Weights travel in rows of ``WIDTH``, of the embeddings those that a task has moved."""
+    sc, d = train.sparkSession.sparkContext, attention.WIDTH
+    params = attention.start(n_inputs, n_classes, SEED)
     for k in range(rounds):
         shared = sc.broadcast(attention.flat(params))
-        part = train.where(F.pmod(F.xxhash64(id_col), F.lit(one_in)) == k % one_in).select(F.col(text_col).alias("body"))
+        part = training_part(train, id_col, k, one_in).select(F.col(text_col).alias("body"))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = reader()
-            known, p, seen, rng = own.classes, attention.unflat(shared.value, INPUTS, n_classes), 0, np.random.default_rng(SEED)
+            known, p, seen, rng = own.classes, attention.unflat(shared.value, n_inputs, n_classes), 0, np.random.default_rng(SEED)
+            used = np.zeros(n_inputs, np.int64)
             for batch in batches:
                 for _, texts in slices(batch, "body", SLICE):
-                    s = own.sequences(texts)
+                    s = own.sequences(texts, scoring=False)
                     at, of = attention.windows(s["starts"], s["inputs"])
                     order = rng.permutation(len(at))
                     at, of = at[order], of[order]
                     padded = np.concatenate([s["sequence"], np.zeros(attention.CONTEXT + 1, np.int32)])
                     place = at[:, None] + np.arange(attention.CONTEXT)
                     inside = (place < (s["starts"] + s["inputs"])[of][:, None]).astype(np.float32)
-                    p = attention.train(p, known.direct, known.input[padded[place]], padded[place], known.of[padded[place + 1]], inside, RATE / (1 + k))
+                    x = padded[place]
+                    p = attention.train(p, known.direct, x, x, known.of[padded[place + 1]], inside, RATE / (1 + k))
                     seen += len(at)
+                    used += np.bincount(x.ravel(), inside.ravel(), n_inputs).astype(np.int64)
             if seen:
                 values = attention.flat(p)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values.astype(float) * seen), pa.array(np.full(len(values), seen))], names=["place", "value", "seen"])
-
-        means = part.mapInArrow(run, "place long, value double, seen long").groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).orderBy("place").collect()
-        if means:
-            params = attention.unflat(np.array([r.value for r in means]), INPUTS, n_classes)
+                values = np.pad(values, (0, -len(values) % d)).reshape(-1, d).astype(float)
+                weight = np.concatenate([used, np.full(len(values) - n_inputs, seen)])
+                moved = np.flatnonzero(weight)
+                columns = [pa.array(moved), pa.array(weight[moved]), *(pa.array(values[moved, j] * weight[moved]) for j in range(d))]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "weight", *(f"v{j}" for j in range(d))])
+
+        sums = part.mapInArrow(run, "place long, weight long, " + ", ".join(f"v{j} double" for j in range(d))).groupBy("place")
+        means = sums.agg(*((F.sum(f"v{j}") / F.sum("weight")).alias(f"v{j}") for j in range(d))).toArrow()
+        if len(means):
+            values = attention.flat(params)
+            size = len(values)
+            values = np.pad(values, (0, -size % d)).reshape(-1, d)
+            values[means.column("place").to_numpy()] = np.stack([means.column(f"v{j}").to_numpy() for j in range(d)], 1)
+            params = attention.unflat(values.ravel()[:size], n_inputs, n_classes)
     return params
 
 
-def lm_score(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", frequent_words: int = FREQUENT_WORDS, kept_pairs: int = KEPT_PAIRS, rounds: int = ROUNDS, train_one_in: int = TRAIN_ONE_IN, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``."""
+def lm_score(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", frequent_words: int = FREQUENT_WORDS, kept_pairs: int = KEPT_PAIRS, rounds: int = ROUNDS, train_one_in: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
+
+    ``train_one_in``: a round reads one training document in so many; by default one in ``rounds``, so all are read.
+    """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     part = fold(F.col(id_col), FOLDS)
@@ -319,17 +360,17 @@ def lm_score(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = sums.n + ends, sums.v + (ends > 0)
     pieces = Pieces(Vocabulary(tokenizer_file))
-    classes = learned_classes(counts, ends, pieces, kept_pairs, scratch)
+    classes, pairs = learned_classes(counts, ends, pieces, kept_pairs, scratch)
     frequent = [(r.word, r.n) for r in most_frequent(counts, frequent_words, scratch).collect()]
     shared = spark.sparkContext.broadcast((pieces, classes, frequent, tokens, distinct, ends))
     few = spark.sparkContext.broadcast((pieces, classes, [], tokens, distinct, ends))
-    trained = train_model(train, id_col, text_col, lambda: Reader(*few.value), classes.n, rounds, train_one_in)
+    trained = train_model(train, id_col, text_col, lambda: Reader(*few.value), pieces.top, classes.n, rounds, train_one_in or rounds)
     params = spark.sparkContext.broadcast(attention.flat(trained))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*shared.value)
         known_of = reader.classes
-        scorer = attention.Scorer(attention.unflat(params.value, INPUTS, known_of.n), known_of.direct)
+        scorer = attention.Scorer(attention.unflat(params.value, reader.pieces.top, known_of.n), known_of.direct)
         for batch in batches:
             for start, texts in slices(batch, "body", SLICE):
                 own, s = batch.slice(start, len(texts)), reader.sequences(texts)
@@ -339,17 +380,21 @@ def lm_score(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_
                 rare = [s["words"][i] for i in s["ids"][~known]]
                 ends_at = np.concatenate([[0], np.cumsum(count(~known))]).astype(np.int32)
                 rest = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(rare, pa.binary()).cast(pa.string()))
-                logs = scorer.totals(s["sequence"], known_of.input[s["sequence"]], known_of.of[s["sequence"]], s["starts"], s["inputs"]) + s["inside"] + known_of.log_share[known_of.end]
-                columns = [own.column("row"), own.column("doc_id"), own.column("held_out"), pa.array(s["lengths"] + 1), pa.array(count(known).astype(np.int64) + reader.end_known), pa.array(base + reader.end_base), pa.array(logs / np.log(10)), rest]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"])
+                ends_at = np.concatenate([[0], np.cumsum(s["n_pairs"])]).astype(np.int32)
+                pairs_left = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(s["pairs"]))
+                logs = scorer.totals(s["sequence"], s["sequence"], known_of.of[s["sequence"]], s["starts"], s["inputs"]) + s["inside"] + known_of.log_share[known_of.end]
+                columns = [own.column("row"), own.column("doc_id"), own.column("held_out"), pa.array(s["lengths"] + 1), pa.array(count(known).astype(np.int64) + reader.end_known), pa.array(base + reader.end_base), pa.array(logs / np.log(10)), rest, pairs_left]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rest", "pairs"])
 
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (part == 0).alias("held_out"), F.col(text_col).alias("body"))
-    schema = f"row long, doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, score double, rest array<string>"
+    schema = f"row long, doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, score double, rest array<string>, pairs array<long>"
     scored = scratch.table(slim.mapInArrow(run, schema), "scored")
     rare = scored.select("row", F.explode("rest").alias("word")).join(counts, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + ADD) / F.lit(tokens + ADD * (distinct + 1)))
     added = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(log).alias("plus"))
-    return scored.join(added, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("plus", F.lit(0.0))).alias("base_score"), "score")
+    known_pairs = scored.select("row", F.explode("pairs").alias("pair")).join(pairs, "pair").groupBy("row").agg(F.sum("plus").alias("told"))
+    score = F.col("score") + F.coalesce("told", F.lit(0.0))
+    return scored.join(added, "row", "left").join(known_pairs, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("plus", F.lit(0.0))).alias("base_score"), score.alias("score"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,6 +313,24 @@ def test_lm_base(docs, rows, empty):
     assert lm_score.lm_score(empty, bpe.tokenizer_path(), rounds=1).count() == 0
 
 
+def test_lm_trains_on_every_document(docs, rows, monkeypatch):
+    read, part = [], lm_score.training_part
+
+    def noted(*args):
+        out = part(*args)
+        read.extend(r.doc_id for r in out.select("doc_id").collect())
+        return out
+
+    monkeypatch.setattr(lm_score, "training_part", noted)
+    lm_score.lm_score(docs, bpe.tokenizer_path())
+    assert sorted(read) == sorted(k for k, *_ in rows if k is not None and zlib.crc32(str(k).encode()) % 10)
+
+
+def test_lm_knows_pairs_beyond_the_broadcast_ones(docs):
+    told = [sorted((str(r.doc_id), r.score) for r in lm_score.lm_score(docs, bpe.tokenizer_path(), kept_pairs=kept, rounds=0, train_one_in=1).collect()) for kept in (5, 200_000)]
+    assert [x for _, x in told[0]] == pytest.approx([x for _, x in told[1]], abs=1e-3)
+
+
 def test_attention_scores_and_gradient():
     rng = np.random.default_rng(2)
     p = attention.start(7, 7, 1)
