@@ -9,9 +9,9 @@ at least one half.
 
 Junk is of many kinds that have little in common, so there is one class for good
 documents and one for each rule's defect.  The one thing told beforehand is that
-a bad vote names a defect: at most 1 % of the good documents get it, and all but
-1 % of the documents with that defect (``SLIP``).  All other rates and shares are
-estimated.
+all but 1 % of the documents with a defect get its rule's bad vote (``SLIP``).
+All other rates and shares are estimated, those of good documents among them, with
+a prior that grows with the corpus, so the same mixture at any size is judged alike.
 
 Defined results: null and empty texts have no words, fail the base rule and have
 all counts 0; an empty table gives an empty table; repeated rows get equal rows.
@@ -33,8 +33,10 @@ from docloom.llm.shared import Scratch, slices, table
 BLANKS = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: How often a rule errs on its own defect: bad votes on good documents at most, other votes on documents that have the defect.
+#: How often a rule errs on its own defect: other votes on documents that have it.
 SLIP = 0.01
+#: What is added to each count, as a share of all documents.
+PRIOR = 1e-5
 LINE_WORD = re.compile(r"[^\x20\x09-\x0D]")
 LETTERS = re.compile(r"[^\W\d_]+")
 BARE = "".join(map(chr, range(0x21, 0x7F))).translate({c: None for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))}).encode()
@@ -123,14 +125,16 @@ def estimate(patterns: np.ndarray, weights: np.ndarray, slip: float = SLIP, roun
     n_rules = patterns.shape[1]
     own = np.arange(n_rules)
     cast = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
-    belong = np.concatenate([(cast[:, :, 0].sum(1, keepdims=True) == 0), cast[:, :, 0]], axis=1)
+    add = PRIOR * max(weights.sum(), 1.0)
+    # One bad vote leaves a doubt at the start, more leave none.
+    n_bad = cast[:, :, 0].sum(1, keepdims=True)
+    belong = np.concatenate([(n_bad == 0) + 0.5 * (n_bad == 1), cast[:, :, 0]], axis=1)
     belong /= belong.sum(1, keepdims=True)
     for _ in range(rounds):
         by_class = belong.T * weights
-        share = (by_class.sum(1) + 0.1) / (weights.sum() + 0.1 * (n_rules + 1))
-        seen = np.einsum("cp,pjv->cjv", by_class, cast) + 0.1
+        share = (by_class.sum(1) + add) / (weights.sum() + add * (n_rules + 1))
+        seen = np.einsum("cp,pjv->cjv", by_class, cast) + add
         rate = seen / seen.sum(2, keepdims=True)
-        rate[0, :, 0] = np.minimum(rate[0, :, 0], slip)
         rate[own + 1, own] = [1 - slip, slip / 2, slip / 2]
         joint = np.einsum("pjv,cjv->pc", cast, np.log(rate)) + np.log(share)
         before, belong = belong, np.exp(joint - joint.max(1, keepdims=True))

@@ -181,6 +181,12 @@ def test_label_model():
     assert p[0] > 0.9 and p[3] > 0.5 and p[1] < 0.5 and p[2] < 0.5
 
 
+def test_label_model_judges_alike_at_any_size():
+    patterns = np.array([[1, 1, 1, 1], [-1, 1, 1, 1], [1, -1, 0, -1], [1, 0, 1, 1]], float)
+    weights = np.array([9000.0, 30, 600, 200])
+    assert quality.estimate(patterns, weights * 10_000) == pytest.approx(quality.estimate(patterns, weights), abs=1e-6)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
