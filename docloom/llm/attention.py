@@ -1,8 +1,10 @@
 """A small causal self-attention model over subwords, in numpy.
 
 One layer: embeddings plus positions, one attention head over a window, a
-rectified layer, and a softmax over classes.  Each input adds a row of its own,
-``direct``, to the classes' logits: what a table of counts says follows it.
+rectified layer, and a softmax in two steps: over groups of classes, then over
+the members of the target's group, so a target costs the root of what one step
+over all classes would.  Each input adds a row of its own, ``direct``, to the
+logits of either step: what a table of counts says follows it.
 """
 
 from __future__ import annotations
@@ -10,29 +12,36 @@ from __future__ import annotations
 import numpy as np
 
 CONTEXT, STRIDE, WIDTH, HIDDEN = 20, 14, 8, 24
+#: Classes in a group; the number of classes is a multiple.
+MEMBERS = 8
 WINDOWS_AT_ONCE = 1024
-MASK = np.where(np.tril(np.ones((CONTEXT, CONTEXT))) > 0, 0, -1e4).astype(np.float32)
+#: Logits of attention are held within these bounds, so that a row's sum needs no maximum first.
+BOUND = 60
+SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
+ONES = np.ones(CONTEXT, np.float32)
 
 Params = dict[str, np.ndarray]
+#: Logits of the groups, (rows, groups), and of each group's members, (rows, groups, MEMBERS).
+Direct = tuple[np.ndarray, np.ndarray]
 
 
 def shapes(inputs: int, classes: int) -> dict[str, tuple[int, ...]]:
-    d, h = WIDTH, HIDDEN
-    return {"emb": (inputs, d), "pos": (CONTEXT, d), "wq": (d, d), "wk": (d, d), "wv": (d, d), "w1": (d, h), "b1": (h,), "w2": (h, classes), "b2": (classes,)}
+    d, h, g = WIDTH, HIDDEN, classes // MEMBERS
+    return {"emb": (inputs, d), "pos": (CONTEXT, d), "wq": (d, d), "wk": (d, d), "wv": (d, d), "w1": (d, h), "b1": (h,), "w2": (h, g), "b2": (g,), "w3": (g, h, MEMBERS), "b3": (g, MEMBERS)}
 
 
 def start(inputs: int, classes: int, seed: int) -> Params:
     """Random weights, almost none at the output: an untrained model says what the direct rows say."""
     rng = np.random.default_rng(seed)
-    p = {k: (rng.normal(size=s) * (0.1 if k in ("emb", "pos") else s[0] ** -0.5)).astype(np.float32) for k, s in shapes(inputs, classes).items()}
+    p = {k: (rng.normal(size=s) * (0.1 if k in ("emb", "pos") else s[-2] ** -0.5 if len(s) > 1 else 0)).astype(np.float32) for k, s in shapes(inputs, classes).items()}
     p["w2"] *= 0.01
-    p["b1"][:] = 0
-    p["b2"][:] = 0
+    p["w3"] *= 0.01
+    p["b3"][:] = 0
     return p
 
 
 def flat(p: Params) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in shapes(len(p["emb"]), len(p["b2"]))])
+    return np.concatenate([p[k].ravel() for k in shapes(len(p["emb"]), p["b3"].size)])
 
 
 def unflat(values: np.ndarray, inputs: int, classes: int) -> Params:
@@ -44,43 +53,96 @@ def unflat(values: np.ndarray, inputs: int, classes: int) -> Params:
     return out
 
 
-def forward(p: Params, x: np.ndarray, direct: np.ndarray) -> tuple[np.ndarray, ...]:
-    """x: (windows, CONTEXT) inputs; direct: their rows.  The last one is the logits."""
+def direct_rows(mass: np.ndarray) -> Direct:
+    """From the mass of each class for each row, what the two steps add to their logits."""
+    parts = mass.reshape(len(mass), -1, MEMBERS)
+    groups = parts.sum(2)
+    return np.log(groups / groups.sum(1, keepdims=True)).astype(np.float32), np.log(parts / groups[..., None]).astype(np.float32)
+
+
+def segments(group: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that brings targets of equal groups together, and (group, first, end) of each."""
+    ends = np.cumsum(np.bincount(group, minlength=groups)).tolist()
+    return np.argsort(group, kind="stable"), [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    """Probabilities down each column, in place of the logits."""
+    logits -= logits.max(0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(0)
+    return logits
+
+
+def attended(logits: np.ndarray, seen: np.ndarray = SEEN) -> np.ndarray:
+    """Shares of attention along the last axis, in place of the logits."""
+    np.exp(np.clip(logits, -BOUND, BOUND, out=logits), out=logits)
+    logits *= seen
+    logits /= (logits.reshape(-1, CONTEXT) @ ONES).reshape(*logits.shape[:-1], 1)
+    return logits
+
+
+def rows(t: np.ndarray) -> np.ndarray:
+    return t.reshape(-1, t.shape[-1])
+
+
+def hidden(p: Params, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """x: (windows, CONTEXT) inputs.  The last one is the rectified layer."""
     e = p["emb"][x] + p["pos"]
-    q, k, v = e @ p["wq"], e @ p["wk"], e @ p["wv"]
-    a = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + MASK
-    a = np.exp(a - a.max(-1, keepdims=True))
-    a /= a.sum(-1, keepdims=True)
+    q, k, v = e @ p["wq"] * np.float32(WIDTH**-0.5), e @ p["wk"], e @ p["wv"]
+    a = attended(q @ k.transpose(0, 2, 1))
     o = a @ v + e
-    h = np.maximum(o @ p["w1"] + p["b1"], 0)
-    return e, q, k, v, a, o, h, h @ p["w2"] + p["b2"] + direct
-
-
-def slopes(p: Params, x: np.ndarray, direct: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, Params, np.ndarray]:
-    """Mean cross-entropy of targets y where w is 1, its gradient but for the embeddings, and that at each input."""
-    e, q, k, v, a, o, h, logits = forward(p, x, direct)
-    logits -= logits.max(-1, keepdims=True)
-    prob = np.exp(logits)
-    prob /= prob.sum(-1, keepdims=True)
-    total = max(1.0, float(w.sum()))
-    picked = np.take_along_axis(prob, y[..., None], -1)[..., 0]
-    loss = float(-(np.log(picked + 1e-20) * w).sum() / total)
-    g = prob * (w / total)[..., None]
-    np.put_along_axis(g, y[..., None], np.take_along_axis(g, y[..., None], -1) - (w / total)[..., None], -1)
-    rows = lambda t: t.reshape(-1, t.shape[-1])
-    out = {"w2": rows(h).T @ rows(g), "b2": rows(g).sum(0)}
-    gh = (g @ p["w2"].T) * (h > 0)
-    out |= {"w1": rows(o).T @ rows(gh), "b1": rows(gh).sum(0)}
-    go = gh @ p["w1"].T
-    ga = go @ v.transpose(0, 2, 1)
-    gs = a * (ga - (ga * a).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-    gq, gk, gv = gs @ k, gs.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ go
+    return e, q, k, v, a, o, np.maximum(o @ p["w1"] + p["b1"], 0)
+
+
+def forward(p: Params, x: np.ndarray, direct: Direct) -> np.ndarray:
+    """Log probabilities of all classes at each position; the slow and plain way."""
+    h = hidden(p, x)[-1]
+    groups, members = h @ p["w2"] + p["b2"] + direct[0][x], np.einsum("nth,ghm->ntgm", h, p["w3"]) + p["b3"] + direct[1][x]
+    groups, members = (t - np.log(np.exp(t).sum(-1, keepdims=True)) for t in (groups, members))
+    return (groups[..., None] + members).reshape(*x.shape, -1)
+
+
+def slopes(p: Params, x: np.ndarray, direct: Direct, y: np.ndarray, w: np.ndarray) -> tuple[float, Params, np.ndarray]:
+    """Mean cross-entropy of targets y where w is 1, its gradient but for the embeddings, and that at each input.
+
+    Logits have a column for each target, so that maxima and sums go along the memory.
+    """
+    e, q, k, v, a, o, h = hidden(p, x)
+    h, row, group, member = rows(h), x.ravel(), (y // MEMBERS).ravel(), (y % MEMBERS).ravel()
+    each, share = np.arange(len(row)), (w / max(1.0, float(w.sum()))).ravel()
+    g2 = softmax(p["w2"].T @ h.T + p["b2"][:, None] + direct[0][row].T)
+    loss = -float(np.log(g2[group, each] + 1e-20) @ share)
+    g2[group, each] -= 1
+    g2 *= share
+    gh = g2.T @ p["w2"].T
+    out = {"w2": h.T @ g2.T, "b2": g2.sum(1), "w3": np.zeros_like(p["w3"]), "b3": np.zeros_like(p["b3"])}
+    order, parts = segments(group, len(p["b2"]))
+    near, below, member, share = h[order], np.ascontiguousarray(direct[1][row[order], group[order]].T), member[order], share[order]
+    for g, s, t in parts:
+        below[:, s:t] += p["w3"][g].T @ near[s:t].T + p["b3"][g][:, None]
+    g3 = softmax(below)
+    loss -= float(np.log(g3[member, each] + 1e-20) @ share)
+    g3[member, each] -= 1
+    g3 *= share
+    back = np.empty_like(near)
+    for g, s, t in parts:
+        out["w3"][g], out["b3"][g] = near[s:t].T @ g3[:, s:t].T, g3[:, s:t].sum(1)
+        back[s:t] = g3[:, s:t].T @ p["w3"][g].T
+    gh[order] += back
+    gh *= h > 0
+    out |= {"w1": rows(o).T @ gh, "b1": gh.sum(0)}
+    go = (gh @ p["w1"].T).reshape(o.shape)
+    gs = go @ v.transpose(0, 2, 1)
+    gs -= (rows(gs * a) @ ONES).reshape(*a.shape[:-1], 1)
+    gs *= a
+    gq, gk, gv = gs @ k * np.float32(WIDTH**-0.5), gs.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ go
     out |= {n: rows(e).T @ rows(t) for n, t in (("wq", gq), ("wk", gk), ("wv", gv))}
     ge = go + gq @ p["wq"].T + gk @ p["wk"].T + gv @ p["wv"].T
     return loss, out | {"pos": ge.sum(0)}, rows(ge)
 
 
-def gradient(p: Params, x: np.ndarray, direct: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, Params]:
+def gradient(p: Params, x: np.ndarray, direct: Direct, y: np.ndarray, w: np.ndarray) -> tuple[float, Params]:
     """Mean cross-entropy of targets y where w is 1, and its gradient."""
     loss, out, at_inputs = slopes(p, x, direct, y, w)
     emb = np.zeros_like(p["emb"])
@@ -88,16 +150,16 @@ def gradient(p: Params, x: np.ndarray, direct: np.ndarray, y: np.ndarray, w: np.
     return loss, out | {"emb": emb}
 
 
-def windows(sequence_starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First input position of every window, and its sequence.  A sequence of n inputs has windows at 0, STRIDE, ... until its end is covered."""
-    many = 1 + np.maximum(0, -(-(lengths - CONTEXT) // STRIDE))
+def windows(sequence_starts: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """First input position of every window, and its sequence.  A sequence of n inputs has windows at 0, ``stride``, ... until its end is covered."""
+    many = 1 + np.maximum(0, -(-(lengths - CONTEXT) // stride))
     owner = np.repeat(np.arange(len(lengths)), many)
     k = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    return sequence_starts[owner] + k * STRIDE, owner
+    return sequence_starts[owner] + k * stride, owner
 
 
-def train(p: Params, direct: np.ndarray, inputs: np.ndarray, rows: np.ndarray, targets: np.ndarray, mask: np.ndarray, rate: float, batch: int = 128) -> Params:
-    """One pass of Adam over windows, in the order given.  rows: each input's row of ``direct``.
+def train(p: Params, direct: Direct, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, rate: float, batch: int = 256) -> Params:
+    """One pass of Adam over windows, in the order given.
 
     A step moves the embeddings of its own inputs only, so its cost doesn't depend on how many inputs there are.
     """
@@ -106,7 +168,7 @@ def train(p: Params, direct: np.ndarray, inputs: np.ndarray, rows: np.ndarray, t
     s = {k: np.zeros_like(v) for k, v in p.items()}
     for t, at in enumerate(range(0, len(inputs), batch), 1):
         x = inputs[at : at + batch]
-        _, g, at_inputs = slopes(p, x, direct[rows[at : at + batch]], targets[at : at + batch], mask[at : at + batch])
+        _, g, at_inputs = slopes(p, x, direct, targets[at : at + batch], mask[at : at + batch])
         own, seat = np.unique(x, return_inverse=True)
         g["emb"] = np.stack([np.bincount(seat.ravel(), column, len(own)) for column in at_inputs.T], 1).astype(at_inputs.dtype)
         for k in p:
@@ -120,39 +182,44 @@ def train(p: Params, direct: np.ndarray, inputs: np.ndarray, rows: np.ndarray, t
 class Scorer:
     """Log probabilities of the inputs' successors.  Products of embeddings with weights are made once."""
 
-    def __init__(self, p: Params, direct: np.ndarray):
+    def __init__(self, p: Params, direct: Direct):
         self.p = p
-        self.direct = direct + p["b2"]
-        self.ones = np.ones(direct.shape[1], np.float32)
+        self.groups, self.members = direct[0] + p["b2"], direct[1] + p["b3"]
         self.table = np.concatenate([p["emb"] @ p["wq"] * np.float32(WIDTH**-0.5), p["emb"] @ p["wk"], p["emb"] @ p["wv"], p["emb"]], axis=1)
         self.place = np.concatenate([p["pos"] @ p["wq"] * np.float32(WIDTH**-0.5), p["pos"] @ p["wk"], p["pos"] @ p["wv"], p["pos"]], axis=1)
 
-    def block(self, x: np.ndarray, rows: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
-        """log P(y) for the window positions from ``first`` on; rows and y have these positions only."""
+    def picked(self, logits: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """log P(y) of each column."""
+        logits -= logits.max(0)
+        out = logits[y, np.arange(len(y))]
+        return out - np.log(np.exp(logits, out=logits).sum(0))
+
+    def block(self, x: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
+        """log P(y) for the window positions from ``first`` on; y has these positions only."""
         t = self.table[x] + self.place
         d = WIDTH
-        a = t[:, first:, :d] @ t[:, :, d : 2 * d].transpose(0, 2, 1)
-        a += MASK[first:]
-        np.exp(np.clip(a, -60, 60, out=a), out=a)
-        o = (a @ t[:, :, 2 * d : 3 * d]) / a.sum(-1, keepdims=True) + t[:, first:, 3 * d :]
+        a = attended(t[:, first:, :d] @ t[:, :, d : 2 * d].transpose(0, 2, 1), SEEN[first:])
+        o = a @ t[:, :, 2 * d : 3 * d] + t[:, first:, 3 * d :]
         h = np.maximum(o.reshape(-1, d) @ self.p["w1"] + self.p["b1"], 0)
-        logits = h @ self.p["w2"]
-        logits += self.direct[rows.ravel()]
-        picked = logits[np.arange(len(logits)), y.ravel()]
-        top = logits.max()
-        np.exp(np.subtract(logits, top, out=logits), out=logits)
-        return (picked - top - np.log(logits @ self.ones)).reshape(y.shape)
-
-    def totals(self, sequence: np.ndarray, inputs: np.ndarray, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        row, group, member = x[:, first:].ravel(), (y // MEMBERS).ravel(), (y % MEMBERS).ravel()
+        out = self.picked(self.p["w2"].T @ h.T + self.groups[row].T, group)
+        order, parts = segments(group, len(self.p["b2"]))
+        h, below = h[order], np.ascontiguousarray(self.members[row[order], group[order]].T)
+        for g, s, e in parts:
+            below[:, s:e] += self.p["w3"][g].T @ h[s:e].T
+        out[order] += self.picked(below, member[order])
+        return out.reshape(y.shape)
+
+    def totals(self, sequence: np.ndarray, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each sequence (at starts, with ``lengths`` inputs and one more target) the sum of its targets' log probabilities.
 
-        ``sequence`` has rows of ``direct``, ``inputs`` and ``classes`` what they are as inputs and targets.
+        ``sequence`` has inputs, ``classes`` what they are as targets.
 
         A sequence's first window scores all its positions, later ones the last
         STRIDE, so each target is scored once.
         """
         out = np.zeros(len(starts))
-        sequence, inputs, classes = (np.concatenate([a, np.zeros(CONTEXT + 1, a.dtype)]) for a in (sequence, inputs, classes))
+        sequence, classes = (np.concatenate([a, np.zeros(CONTEXT + 1, a.dtype)]) for a in (sequence, classes))
         at, owner = windows(starts, lengths)
         for lead in (True, False):
             pick = np.flatnonzero((at == starts[owner]) == lead)
@@ -161,6 +228,6 @@ class Scorer:
                 w = pick[b : b + WINDOWS_AT_ONCE]
                 place = at[w, None] + np.arange(CONTEXT)
                 inside = place[:, first:] < (starts + lengths)[owner[w]][:, None]
-                scores = self.block(inputs[place], sequence[place[:, first:]], classes[place[:, first:] + 1], first)
+                scores = self.block(sequence[place], classes[place[:, first:] + 1], first)
                 out += np.bincount(owner[w], np.where(inside, scores, 0).sum(1, dtype=float), minlength=len(out))
         return out

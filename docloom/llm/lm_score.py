@@ -203,7 +203,7 @@ class Classes:
             known = np.zeros_like(followed)
             np.add.at(known, (before, self.of[after]), n)
         said = np.maximum(followed + last[:, None] * self.begin_mass + self.all_mass, 1e-9)
-        self.direct = np.log(said / said.sum(1, keepdims=True)).astype(np.float32)
+        self.direct = attention.direct_rows(said)
         left = followed - known + 1
         self.log_left = np.log(left / (followed + 1)).astype(np.float32)
         cell = before, self.of[after]
@@ -317,14 +317,14 @@ def train_model(train: DataFrame, id_col: str, text_col: str, reader, n_inputs:
             for batch in batches:
                 for _, texts in slices(batch, "body", SLICE):
                     s = own.sequences(texts, scoring=False)
-                    at, of = attention.windows(s["starts"], s["inputs"])
+                    at, of = attention.windows(s["starts"], s["inputs"], attention.CONTEXT)
                     order = rng.permutation(len(at))
                     at, of = at[order], of[order]
                     padded = np.concatenate([s["sequence"], np.zeros(attention.CONTEXT + 1, np.int32)])
                     place = at[:, None] + np.arange(attention.CONTEXT)
                     inside = (place < (s["starts"] + s["inputs"])[of][:, None]).astype(np.float32)
                     x = padded[place]
-                    p = attention.train(p, known.direct, x, x, known.of[padded[place + 1]], inside, RATE / (1 + k))
+                    p = attention.train(p, known.direct, x, known.of[padded[place + 1]], inside, RATE / (1 + k))
                     seen += len(at)
                     used += np.bincount(x.ravel(), inside.ravel(), n_inputs).astype(np.int64)
             if seen:
@@ -382,7 +382,7 @@ def lm_score(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_
                 rest = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(rare, pa.binary()).cast(pa.string()))
                 ends_at = np.concatenate([[0], np.cumsum(s["n_pairs"])]).astype(np.int32)
                 pairs_left = pa.ListArray.from_arrays(pa.array(ends_at), pa.array(s["pairs"]))
-                logs = scorer.totals(s["sequence"], s["sequence"], known_of.of[s["sequence"]], s["starts"], s["inputs"]) + s["inside"] + known_of.log_share[known_of.end]
+                logs = scorer.totals(s["sequence"], known_of.of[s["sequence"]], s["starts"], s["inputs"]) + s["inside"] + known_of.log_share[known_of.end]
                 columns = [own.column("row"), own.column("doc_id"), own.column("held_out"), pa.array(s["lengths"] + 1), pa.array(count(known).astype(np.int64) + reader.end_known), pa.array(base + reader.end_base), pa.array(logs / np.log(10)), rest, pairs_left]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rest", "pairs"])
 

@@ -339,33 +339,36 @@ def test_lm_knows_pairs_beyond_the_broadcast_ones(docs):
 
 def test_attention_scores_and_gradient():
     rng = np.random.default_rng(2)
-    p = attention.start(7, 7, 1)
-    direct = np.log(rng.dirichlet(np.ones(7), 7)).astype(np.float32)
-    sequence = rng.integers(0, 7, 60)
-    starts, inputs = np.array([0, 1, 30]), np.array([0, 28, 29])
-    totals = attention.Scorer(p, direct).totals(sequence, sequence, sequence, starts[1:], inputs[1:])
-    for total, s, n in zip(totals, starts[1:], inputs[1:], strict=True):
+    p = attention.start(7, 16, 1)
+    p["w2"], p["w3"] = p["w2"] * 50, p["w3"] * 50
+    direct = attention.direct_rows(rng.dirichlet(np.ones(16), 7))
+    sequence, kind = rng.integers(0, 7, 60), rng.permutation(16)[:7]
+    starts, inputs = np.array([1, 30]), np.array([28, 29])
+    totals = attention.Scorer(p, direct).totals(sequence, kind[sequence], starts, inputs)
+    for total, s, n in zip(totals, starts, inputs, strict=True):
         want = 0.0
         for k in range(n):
             first = 0 if k < attention.CONTEXT else (k - attention.CONTEXT + attention.STRIDE) // attention.STRIDE * attention.STRIDE
             x = np.zeros((1, attention.CONTEXT), np.int64)
             x[0, : k - first + 1] = sequence[s + first : s + k + 1]
-            logits = attention.forward(p, x, direct[x])[-1][0, k - first].astype(float)
-            want += logits[sequence[s + k + 1]] - np.log(np.exp(logits).sum())
+            logs = attention.forward(p, x, direct)[0, k - first].astype(float)
+            assert np.exp(logs).sum() == pytest.approx(1, rel=1e-4)
+            want += logs[kind[sequence[s + k + 1]]]
         assert total == pytest.approx(want, rel=1e-3)
-    x, y, w = rng.integers(0, 7, (3, attention.CONTEXT)), rng.integers(0, 7, (3, attention.CONTEXT)), np.ones((3, attention.CONTEXT), np.float32)
-    q = {k: v.astype(np.float64) for k, v in p.items()}
-    _, g = attention.gradient(q, x, direct[x], y, w)
+    x, y, w = rng.integers(0, 7, (3, attention.CONTEXT)), rng.integers(0, 16, (3, attention.CONTEXT)), np.ones((3, attention.CONTEXT), np.float32)
+    q, direct = {k: v.astype(np.float64) for k, v in p.items()}, tuple(d.astype(np.float64) for d in direct)
+    loss, g = attention.gradient(q, x, direct, y, w)
+    assert loss == pytest.approx(-np.take_along_axis(attention.forward(q, x, direct), y[..., None], -1).mean(), rel=1e-5)
     for name in q:
         at = np.unravel_index(int(np.abs(g[name]).argmax()), g[name].shape)
         up, down = ({k: v.copy() for k, v in q.items()} for _ in range(2))
-        up[name][at] += 1e-4
-        down[name][at] -= 1e-4
-        slope = (attention.gradient(up, x, direct[x], y, w)[0] - attention.gradient(down, x, direct[x], y, w)[0]) / 2e-4
+        up[name][at] += 1e-6
+        down[name][at] -= 1e-6
+        slope = (attention.gradient(up, x, direct, y, w)[0] - attention.gradient(down, x, direct, y, w)[0]) / 2e-6
         assert g[name][at] == pytest.approx(slope, rel=2e-2, abs=1e-5)
-    before = attention.gradient(p, x, direct[x], y, w)[0]
-    trained = attention.train(p, direct, np.repeat(x, 50, 0), np.repeat(x, 50, 0), np.repeat(y, 50, 0), np.repeat(w, 50, 0), 0.01)
-    assert attention.gradient(trained, x, direct[x], y, w)[0] < before
+    before = attention.gradient(p, x, direct, y, w)[0]
+    trained = attention.train(p, direct, np.repeat(x, 50, 0), np.repeat(y, 50, 0), np.repeat(w, 50, 0), 0.01, batch=30)
+    assert attention.gradient(trained, x, direct, y, w)[0] < before
 
 
 def test_lm_cuts_words_by_longest_piece():
@@ -397,7 +400,7 @@ def test_lm_shares_add_up():
     np.add.at(followed, (pairs[:, 0], known.of[pairs[:, 1]]), n)
     kept = np.argsort(-n, kind="stable")[:100]
     known.learn(followed, first, (pairs[kept, 0], pairs[kept, 1], n[kept]))
-    assert np.allclose(np.exp(known.direct).sum(1), 1, atol=1e-4)
+    assert np.allclose(np.exp(known.direct[0]).sum(1), 1, atol=1e-4) and np.allclose(np.exp(known.direct[1]).sum(2), 1, atol=1e-4)
     assert np.allclose(np.bincount(known.of, np.exp(known.log_share)), 1)
     for before in (0, int(pairs[kept[0], 0])):
         shares = known.shares(np.full(ids, before), np.arange(ids))
