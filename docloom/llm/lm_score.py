@@ -59,9 +59,13 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
 
 
 class Numbers:
-    """A hash table from non-negative numbers to their places in ``keys``, for whole arrays at a time."""
+    """A hash table from non-negative numbers to their places in ``keys``, for whole arrays at a time.
+
+    Only the keys travel; the table is built again where it arrives.
+    """
 
     def __init__(self, keys: np.ndarray):
+        self.own = keys
         bits = max(4, int(4 * len(keys)).bit_length())
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.places = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
@@ -73,6 +77,9 @@ class Numbers:
             self.places[at[placed]] = open_ones[placed]
             open_ones, at = open_ones[~placed], (at[~placed] + 1) & self.last
 
+    def __reduce__(self):
+        return Numbers, (self.own,)
+
     def seat(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -202,14 +209,29 @@ class Classes:
         if known is None:
             known = np.zeros_like(followed)
             np.add.at(known, (before, self.of[after]), n)
-        said = np.maximum(followed + last[:, None] * self.begin_mass + self.all_mass, 1e-9)
-        self.direct = attention.direct_rows(said)
-        left = followed - known + 1
-        self.log_left = np.log(left / (followed + 1)).astype(np.float32)
+        cells = np.flatnonzero(followed)
+        self.cells, self.times, self.left_over, self.last = cells.astype(np.int32), followed.ravel()[cells], (followed - known).ravel()[cells], last
+        self.derive()
         cell = before, self.of[after]
-        self.known_share = np.log((n + left[cell] * np.exp(self.log_share[after])) / (followed[cell] + 1))
+        self.known_share = np.log((n + np.exp(self.log_left[cell] + self.log_share[after]) * (followed[cell] + 1)) / (followed[cell] + 1))
         self.known = Numbers(before << 32 | after)
 
+    def derive(self) -> None:
+        """The dense tables from the cells that have counts."""
+        followed, left = np.zeros((len(self.of), self.n)), np.ones((len(self.of), self.n))
+        followed.ravel()[self.cells] = self.times
+        left.ravel()[self.cells] += self.left_over
+        self.direct = attention.direct_rows(np.maximum(followed + self.last[:, None] * self.begin_mass + self.all_mass, 1e-9))
+        self.log_left = np.log(left / (followed + 1)).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        """Without the dense tables, which are large and quickly derived."""
+        return {k: v for k, v in vars(self).items() if k not in ("direct", "log_left")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self.derive()
+
     def shares_and_held(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logs of the shares of ids after others in a word, those of pairs not held here as if they had not occurred; and which are held."""
         place = self.known.find(before.astype(np.int64) << 32 | ids)
@@ -362,13 +384,12 @@ def lm_score(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_
     pieces = Pieces(Vocabulary(tokenizer_file))
     classes, pairs = learned_classes(counts, ends, pieces, kept_pairs, scratch)
     frequent = [(r.word, r.n) for r in most_frequent(counts, frequent_words, scratch).collect()]
-    shared = spark.sparkContext.broadcast((pieces, classes, frequent, tokens, distinct, ends))
-    few = spark.sparkContext.broadcast((pieces, classes, [], tokens, distinct, ends))
-    trained = train_model(train, id_col, text_col, lambda: Reader(*few.value), pieces.top, classes.n, rounds, train_one_in or rounds)
+    shared, common = spark.sparkContext.broadcast((pieces, classes)), spark.sparkContext.broadcast(frequent)
+    trained = train_model(train, id_col, text_col, lambda: Reader(*shared.value, [], tokens, distinct, ends), pieces.top, classes.n, rounds, train_one_in or rounds)
     params = spark.sparkContext.broadcast(attention.flat(trained))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(*shared.value)
+        reader = Reader(*shared.value, common.value, tokens, distinct, ends)
         known_of = reader.classes
         scorer = attention.Scorer(attention.unflat(params.value, reader.pieces.top, known_of.n), known_of.direct)
         for batch in batches:
