@@ -3,15 +3,17 @@
 Every rule votes good (1), bad (-1) or abstains (0) on a document.  Votes are
 counted by pattern, so the label model sees at most 3^rules rows however large
 the corpus is.  Expectation-maximisation then estimates, for each rule, how
-often it votes what on good and on bad documents (an abstention is an outcome
-like the others).  A document stays if its posterior probability of being good is
-at least one half.
+often it votes bad where it votes at all, on good documents and on each kind of
+junk.  A document stays if its posterior probability of being good is at least
+one half.
 
 Junk is of many kinds that have little in common, so there is one class for good
-documents and one for each rule's defect.  The one thing told beforehand is that
-all but 1 % of the documents with a defect get its rule's bad vote (``SLIP``).
-All other rates and shares are estimated, those of good documents among them, with
-a prior that grows with the corpus, so the same mixture at any size is judged alike.
+documents and one for each rule's defect.  No rate is fixed: ``PRIOR`` says what
+is expected of each, with the weight of a share of the corpus (``WEIGHT``), so
+the same mixture is judged alike at any size, and counts overrule it.  A document
+with one bad vote starts half in the good class, so a rule whose bad votes stand
+alone ends as one that errs on good documents, and its votes are overruled; a rule
+whose bad votes come with those of others is believed, alone too.
 
 Defined results: null and empty texts have no words, fail the base rule and have
 all counts 0; an empty table gives an empty table; repeated rows get equal rows.
@@ -33,10 +35,10 @@ from docloom.llm.shared import Scratch, slices, table
 BLANKS = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: How often a rule errs on its own defect: other votes on documents that have it.
-SLIP = 0.01
-#: What is added to each count, as a share of all documents.
-PRIOR = 1e-5
+#: How often a rule is expected to vote bad: on its own defect, on other junk, on good documents.
+PRIOR = (0.9, 0.1, 0.01)
+#: The weight of what is expected of a rate, as a share of all documents.
+WEIGHT = 0.005
 LINE_WORD = re.compile(r"[^\x20\x09-\x0D]")
 LETTERS = re.compile(r"[^\W\d_]+")
 BARE = "".join(map(chr, range(0x21, 0x7F))).translate({c: None for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))}).encode()
@@ -117,29 +119,27 @@ def votes() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: np.ndarray, weights: np.ndarray, slip: float = SLIP, rounds: int = 100) -> np.ndarray:
+def estimate(patterns: np.ndarray, weights: np.ndarray, prior: tuple[float, float, float] = PRIOR, weight: float = WEIGHT, rounds: int = 1000) -> np.ndarray:
     """Posterior of good for each vote pattern (rows of -1, 0, 1) that ``weights`` documents show.
 
     Class 0 is good; class j is bad for the defect that rule j names.
     """
-    n_rules = patterns.shape[1]
-    own = np.arange(n_rules)
-    cast = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
-    add = PRIOR * max(weights.sum(), 1.0)
+    n_rules, total = patterns.shape[1], max(weights.sum(), 1.0)
+    add, own = weight * total, np.arange(n_rules)
+    bad, cast = (patterns < 0).astype(float), (patterns != 0).astype(float)
+    expected = np.full((n_rules + 1, n_rules), prior[1])
+    expected[0], expected[own + 1, own] = prior[2], prior[0]
     # One bad vote leaves a doubt at the start, more leave none.
-    n_bad = cast[:, :, 0].sum(1, keepdims=True)
-    belong = np.concatenate([(n_bad == 0) + 0.5 * (n_bad == 1), cast[:, :, 0]], axis=1)
+    belong = np.concatenate([(bad.sum(1, keepdims=True) < 2).astype(float), bad], axis=1)
     belong /= belong.sum(1, keepdims=True)
     for _ in range(rounds):
-        by_class = belong.T * weights
-        share = (by_class.sum(1) + add) / (weights.sum() + add * (n_rules + 1))
-        seen = np.einsum("cp,pjv->cjv", by_class, cast) + add
-        rate = seen / seen.sum(2, keepdims=True)
-        rate[own + 1, own] = [1 - slip, slip / 2, slip / 2]
-        joint = np.einsum("pjv,cjv->pc", cast, np.log(rate)) + np.log(share)
+        mass = belong.T * weights
+        share = (mass.sum(1) + add / (n_rules + 1)) / (total + add)
+        rate = (mass @ bad + add * expected) / (mass @ cast + add)
+        joint = np.log(share) + bad @ np.log(rate).T + (cast - bad) @ np.log(1 - rate).T
         before, belong = belong, np.exp(joint - joint.max(1, keepdims=True))
         belong /= belong.sum(1, keepdims=True)
-        if np.abs(before - belong).max(initial=0) < 1e-9:
+        if np.abs(before - belong).max(initial=0) < 1e-7:
             break
     return belong[:, 0]
 

@@ -175,10 +175,43 @@ def test_quality_agrees_with_labels(spark):
     assert right > 0.95
 
 
-def test_label_model():
-    patterns = np.array([[1, 1, 1], [-1, 1, 1], [1, -1, 0], [1, 0, 1]], float)
-    p = quality.estimate(patterns, np.array([900.0, 50, 60, 20]))
-    assert p[0] > 0.9 and p[3] > 0.5 and p[1] < 0.5 and p[2] < 0.5
+def test_label_model_is_expectation_maximisation():
+    """Against the same steps written out document by document."""
+    rng = np.random.default_rng(3)
+    patterns = np.unique(rng.choice([-1, 0, 1], (12, 3), p=[0.2, 0.3, 0.5]), axis=0)
+    weights = rng.integers(1, 40, len(patterns))
+    votes = [tuple(p) for p, n in zip(patterns.tolist(), weights, strict=True) for _ in range(n)]
+    add = quality.WEIGHT * len(votes)
+    own, other, good = quality.PRIOR
+    belief = []
+    for v in votes:
+        start = [float(v.count(-1) < 2), *(float(x == -1) for x in v)]
+        belief.append([x / sum(start) for x in start])
+    for _ in range(7):
+        share, rate = [], []
+        for c in range(4):
+            share.append((sum(b[c] for b in belief) + add / 4) / (len(votes) + add))
+            rate.append([])
+            for j in range(3):
+                expected = good if c == 0 else own if c == j + 1 else other
+                said = sum(b[c] for b, v in zip(belief, votes, strict=True) if v[j])
+                rate[c].append((sum(b[c] for b, v in zip(belief, votes, strict=True) if v[j] == -1) + add * expected) / (said + add))
+        belief = []
+        for v in votes:
+            like = [share[c] * math.prod(1 if not x else rate[c][j] if x == -1 else 1 - rate[c][j] for j, x in enumerate(v)) for c in range(4)]
+            belief.append([x / sum(like) for x in like])
+    got = dict(zip(map(tuple, patterns.tolist()), quality.estimate(patterns.astype(float), weights.astype(float), rounds=7), strict=True))
+    assert [got[v] for v in votes] == pytest.approx([b[0] for b in belief], abs=1e-9)
+
+
+def test_noisy_rule_is_overruled():
+    """Rule 0 votes bad on every sixth good document by chance; rules 1 and 2 find the same junk, either of them on two thirds of it."""
+    rng = np.random.default_rng(8)
+    junk = rng.random(20_000) < 0.1
+    bad = np.stack([rng.random(20_000) < 1 / 6, junk & (rng.random(20_000) < 2 / 3), junk & (rng.random(20_000) < 2 / 3)], 1)
+    votes, seen, weights = np.unique(np.where(bad, -1, 1), axis=0, return_inverse=True, return_counts=True)
+    p = dict(zip(map(tuple, votes.tolist()), quality.estimate(votes.astype(float), weights.astype(float)), strict=True))
+    assert p[-1, 1, 1] > 0.5 and p[1, -1, 1] < 0.5 and p[1, 1, -1] < 0.5 and p[1, -1, -1] < 0.5
 
 
 def test_label_model_judges_alike_at_any_size():
