@@ -10,10 +10,13 @@ one half.
 Junk is of many kinds that have little in common, so there is one class for good
 documents and one for each rule's defect.  No rate is fixed: ``PRIOR`` says what
 is expected of each, with the weight of a share of the corpus (``WEIGHT``), so
-the same mixture is judged alike at any size, and counts overrule it.  A document
-with one bad vote starts half in the good class, so a rule whose bad votes stand
-alone ends as one that errs on good documents, and its votes are overruled; a rule
-whose bad votes come with those of others is believed, alone too.
+the same mixture is judged alike at any size, and counts overrule it.  At the
+start a lone bad vote is believed as far as its rule agrees with others: twice
+the share of the rule's bad votes that come with another's.  So a rule whose bad
+votes mostly stand alone ends as one that errs on good documents and is
+overruled; one that others bear out is believed, alone too.  A kind of junk needs
+more than a share ``NEEDED`` of the corpus that bears it out; chance meetings of
+votes do not make one.
 
 Defined results: null and empty texts have no words, fail the base rule and have
 all counts 0; an empty table gives an empty table; repeated rows get equal rows.
@@ -39,6 +42,8 @@ WINDOW = 5
 PRIOR = (0.9, 0.1, 0.01)
 #: The weight of what is expected of a rate, as a share of all documents.
 WEIGHT = 0.005
+#: The share of all documents that is taken from a kind of junk before it counts.
+NEEDED = 0.001
 LINE_WORD = re.compile(r"[^\x20\x09-\x0D]")
 LETTERS = re.compile(r"[^\W\d_]+")
 BARE = "".join(map(chr, range(0x21, 0x7F))).translate({c: None for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))}).encode()
@@ -129,12 +134,15 @@ def estimate(patterns: np.ndarray, weights: np.ndarray, prior: tuple[float, floa
     bad, cast = (patterns < 0).astype(float), (patterns != 0).astype(float)
     expected = np.full((n_rules + 1, n_rules), prior[1])
     expected[0], expected[own + 1, own] = prior[2], prior[0]
-    # One bad vote leaves a doubt at the start, more leave none.
-    belong = np.concatenate([(bad.sum(1, keepdims=True) < 2).astype(float), bad], axis=1)
-    belong /= belong.sum(1, keepdims=True)
+    many = bad.sum(1, keepdims=True)
+    agreed = (weights @ (bad * (many > 1)) + add / 4) / (weights @ bad + add)
+    borne = bad * agreed
+    junk = np.where(many == 1, np.minimum(1, 2 * borne), borne / np.maximum(borne.sum(1, keepdims=True), 1e-9))
+    belong = np.concatenate([1 - junk.sum(1, keepdims=True), junk], axis=1)
     for _ in range(rounds):
         mass = belong.T * weights
-        share = (mass.sum(1) + add / (n_rules + 1)) / (total + add)
+        share = np.maximum(mass.sum(1) - NEEDED * total * (np.arange(n_rules + 1) > 0), 1e-6 * total)
+        share /= share.sum()
         rate = (mass @ bad + add * expected) / (mass @ cast + add)
         joint = np.log(share) + bad @ np.log(rate).T + (cast - bad) @ np.log(1 - rate).T
         before, belong = belong, np.exp(joint - joint.max(1, keepdims=True))
