@@ -1,40 +1,49 @@
 """Language identification, word first, with back-off to shorter character n-grams.
 
 Spark counts words by language over all training rows, and character n-grams of
-4, 3, 2 and 1 letters from these word counts.  A model keeps at most
-``max_words`` words and ``max_grams`` n-grams of each length, the most frequent
-ones, so it can be broadcast; that is the model's size, a parameter, and what it
-lacks is scored by the next shorter unit.  A known word adds its log frequency in
-each language.  An unseen word is cut into 4-grams (with word borders marked);
-each 4-gram that the model lacks is scored as the mean of its two 3-grams, and
+4, 3, 2 and 1 letters (word borders marked) from these word counts.  A known word
+adds its log frequency in each language.  An unseen word is the mean of its
+4-grams; a 4-gram that no training word has is the mean of its two 3-grams, and
 so on to single letters.
 
+Every learned word and n-gram counts, however rare: the most frequent words, at
+most ``max_words`` of up to 64 letters, are broadcast and summed where the texts
+lie; all other words of the texts meet the whole tables in joins, each distinct
+one once.  ``max_words`` changes the speed only.
+
 Defined results: ``und`` with score 0 for a null text, a text without a letter,
 or when nothing was learned; rows with a null lang or id teach nothing (a null
 id) or only lack a label; an empty table gives an empty table; repeated rows get
-equal rows.
+equal rows; the first language in order of code points wins a tie.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.shared import Scratch, fold, most_frequent, slices, table
 
-LETTERS = regex.compile(r"\p{L}+")
-MAX_WORDS, MAX_GRAMS, LENGTHS = 60_000, 20_000, (4, 3, 2, 1)
+LETTERS, NEARLY = regex.compile(r"\p{L}+"), re.compile(r"[^\W\d_]+")
+MAX_WORDS, LENGTHS = 200_000, (4, 3, 2, 1)
 FOLDS = 5
-#: Entries of a worker's memory of unseen words.
-MEMORY = 100_000
-#: Added to each count.
-SMOOTH = 0.5
+#: Longer words are not broadcast, so that a worker's memory is bounded in bytes.
+LONGEST = 64
+#: Added to each count; the log frequency of a letter that no training word has.
+SMOOTH, UNKNOWN = 0.5, math.log(1e-6)
+
+
+def split_words(text: str) -> list[str]:
+    """Runs of letters, lower-cased.  The quick pattern also takes number signs such as ², which are rare."""
+    words = NEARLY.findall(text.lower())
+    return words if all(map(str.isalpha, words)) else LETTERS.findall(text.lower())
 
 
 def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -42,94 +51,120 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return words.groupBy("lang", "unit").agg(F.count("*").alias("n"))
 
 
-def gram_counts(words: DataFrame, n: int) -> DataFrame:
-    """Counts of the n-grams of ``^word$``, from word counts."""
-    marked = F.concat(F.lit("^"), "unit", F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1))), lambda i: F.substring(marked, i, F.lit(n)))
-    return words.select("lang", "n", F.explode(grams).alias("unit")).groupBy("lang", "unit").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Log frequencies by language of the words and n-grams it keeps."""
-
-    def __init__(self, languages: list[str], tables: dict[int, tuple[list[str], np.ndarray]]):
-        self.languages = languages
-        self.units = {k: {u: i for i, u in enumerate(units)} for k, (units, _) in tables.items()}
-        self.logs = {}
-        for k, (units, counts) in tables.items():
-            self.logs[k] = np.log((counts + SMOOTH) / (counts.sum(0) + SMOOTH * (len(units) + 1))) if len(units) else np.zeros((0, len(languages)))
-        self.memory: dict[str, np.ndarray] = {}
-
-    def gram(self, text: str, n: int) -> np.ndarray:
-        """Log frequencies of one n-gram, by back-off where it is unknown."""
-        if (i := self.units[n].get(text)) is not None:
-            return self.logs[n][i]
-        if n == LENGTHS[-1]:
-            return np.full(len(self.languages), math.log(1e-6))
-        return np.mean([self.gram(text[k : k + n - 1], n - 1) for k in range(max(1, len(text) - n + 2))], axis=0)
-
-    def unseen(self, word: str) -> np.ndarray:
-        if (got := self.memory.get(word)) is None:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            marked, n = f"^{word}$", LENGTHS[0]
-            got = self.memory[word] = np.mean([self.gram(marked[k : k + n], n) for k in range(max(1, len(marked) - n + 1))], axis=0)
-        return got
-
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        number: dict[str, int] = {}
-        split = [[number.setdefault(w, len(number)) for w in LETTERS.findall(t.lower())] for t in texts]
-        if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        known, logs = self.units[0], self.logs[0]
-        places = np.fromiter((known.get(w, -1) for w in number), np.int64, len(number))
-        unit = np.zeros((len(number), len(self.languages)))
-        unit[places >= 0] = logs[places[places >= 0]]
-        for w, i in number.items():
-            if places[i] < 0:
-                unit[i] = self.unseen(w)
-        names, scores = [], []
-        for words in split:
-            if not words:
-                names.append("und")
-                scores.append(0.0)
-                continue
-            total = unit[words].sum(0)
-            best = int(total.argmax())
-            # The posterior for equal priors, tempered by the number of words, which do not come independently.
-            scores.append(float(1 / np.exp((total - total[best]) / math.sqrt(len(words))).sum()))
-            names.append(self.languages[best])
-        return names, scores
-
-
-def train(docs: DataFrame, text_col: str, lang_col: str, max_words: int, max_grams: int, scratch: Scratch) -> Model:
-    words = scratch.table(word_counts(docs, text_col, lang_col), "words")
-    languages = sorted(r.lang for r in words.select("lang").distinct().collect())
-    tables = {}
-    for k in (0, *LENGTHS):
-        counts = words if k == 0 else gram_counts(words, k)
-        by_unit = counts.groupBy("unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        rows = sorted(most_frequent(by_unit, max_grams if k else max_words, scratch, "all").collect(), key=lambda r: (-r["all"], r.unit))
-        tables[k] = ([r.unit for r in rows], np.array([[r.by.get(x, 0) for x in languages] for r in rows], float).reshape(len(rows), len(languages)))
-    return Model(languages, tables)
-
-
-def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, scratch: Scratch | None = None) -> DataFrame:
+def grams(text: Column, n: int) -> Column:
+    """The n-grams of a text in order; a shorter text is its own."""
+    # The outer transform names the letters, so that they are split once and not for each n-gram.
+    cut = lambda letters: F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(letters, i, n), ""))
+    return F.transform(F.array(F.split(text, "")), cut)[0]
+
+
+def marked(word: Column) -> Column:
+    return F.concat(F.lit("^"), word, F.lit("$"))
+
+
+class Counts:
+    """Stored counts by language of words, and of n-grams with their length ``k``; their sums."""
+
+    def __init__(self, docs: DataFrame, text_col: str, lang_col: str, scratch: Scratch):
+        words = scratch.table(word_counts(docs, text_col, lang_col), "words")
+        self.languages = sorted(r.lang for r in words.select("lang").distinct().collect())
+        by = self.each(lambda x: F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)))
+        self.words = scratch.table(words.groupBy("unit").agg(by.alias("by")).withColumn("k", F.lit(0)), "words-by-language")
+        named = F.explode(F.map_from_arrays(F.array(*map(F.lit, LENGTHS)), F.array(*(grams(marked(F.col("unit")), k) for k in LENGTHS)))).alias("k", "units")
+        parts = words.select("lang", "n", named).select("lang", "n", "k", F.explode("units").alias("unit"))
+        self.grams = scratch.table(parts.groupBy("k", "unit").agg(by.alias("by")), "grams-by-language")
+        sums = self.words.unionByName(self.grams).groupBy("k").agg(F.count("*").alias("distinct"), self.each(lambda x: F.sum(F.get("by", F.lit(self.languages.index(x))))).alias("all")).collect()
+        self.below = {r.k: [float(n) + SMOOTH * (r.distinct + 1) for n in r["all"]] for r in sums}
+
+    def each(self, column) -> Column:
+        """An array of a column for each language."""
+        return F.array(*map(column, self.languages)) if self.languages else F.array().cast("array<long>")
+
+    def logs(self, k: int) -> Column:
+        below = F.array(*map(F.lit, self.below.get(k, [])))
+        return F.zip_with("by", below, lambda n, d: F.log((n + SMOOTH) / d))
+
+    def frequent(self, limit: int, scratch: Scratch) -> tuple[list[str], np.ndarray]:
+        """The words that are broadcast and their log frequencies."""
+        short = self.words.where(F.length("unit") <= LONGEST).withColumn("all", F.aggregate("by", F.lit(0).cast("long"), lambda s, n: s + n))
+        rows = most_frequent(short, limit, scratch, "all").select("unit", "by").toArrow()
+        by = rows.column("by").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), len(self.languages))
+        return rows.column("unit").to_pylist(), np.log((by + SMOOTH) / np.array(self.below.get(0, [1.0])))
+
+    def mean(self) -> list[Column]:
+        return [self.each(lambda x: F.avg(F.get("logs", F.lit(self.languages.index(x))))).alias("logs")]
+
+    def told(self, words: DataFrame, scratch: Scratch) -> DataFrame:
+        """(unit, logs) for each of the distinct ``words`` (unit): from the counts of words, else of n-grams."""
+        found = words.join(self.words.select("unit", "by"), "unit", "left")
+        unseen = scratch.table(found.where("by is null").select("unit"), "unseen-words")
+        parts = scratch.table(unseen.select("unit", F.explode(grams(marked(F.col("unit")), LENGTHS[0])).alias("part")), "parts")
+        levels = [parts]
+        for k in LENGTHS[:-1]:
+            needed = levels[-1].select(F.col("part").alias("unit")).distinct()
+            missing = needed.join(self.grams.where(F.col("k") == k), "unit", "left_anti")
+            levels.append(scratch.table(missing.select("unit", F.explode(grams(F.col("unit"), k - 1)).alias("part")), "parts"))
+        last = self.grams.where(F.col("k") == 1).select("unit", self.logs(1).alias("logs"))
+        unknown = F.array(*(F.lit(UNKNOWN) for _ in self.languages))
+        out = levels[-1].select(F.col("part").alias("unit")).distinct().join(last, "unit", "left").select("unit", F.coalesce("logs", unknown).alias("logs"))
+        for k, level, above in zip((2, 3, 4), levels[:0:-1], levels[-2::-1], strict=True):
+            backed = level.join(out.withColumnRenamed("unit", "part"), "part").groupBy("unit").agg(*self.mean())
+            needed = above.select(F.col("part").alias("unit")).distinct()
+            out = needed.join(self.grams.where(F.col("k") == k), "unit").select("unit", self.logs(k).alias("logs")).unionByName(backed)
+        backed = parts.join(out.withColumnRenamed("unit", "part"), "part").groupBy("unit").agg(*self.mean())
+        return found.where("by is not null").select("unit", self.logs(0).alias("logs")).unionByName(backed)
+
+
+def summed(texts: list[str], known: dict[str, int], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Of each text the number of words and the sum of the logs of those known; and how many others it has, these, and how often."""
+    number: dict[str, int] = {}
+    split = [[number.setdefault(w, len(number)) for w in split_words(t)] for t in texts]
+    lengths = np.array([len(x) for x in split], np.int64)
+    ids, owner = np.array([i for x in split for i in x], np.int64), np.repeat(np.arange(len(split)), lengths)
+    names = list(number)
+    place = np.array([known.get(w, -1) for w in names], np.int64)[ids] if len(ids) else ids
+    hit = place >= 0
+    total = np.stack([np.bincount(owner[hit], column[place[hit]], len(texts)) for column in logs.T], 1) if logs.shape[1] else np.zeros((len(texts), 0))
+    rest, times = np.unique(owner[~hit] * max(1, len(names)) + ids[~hit], return_counts=True)
+    return lengths, total, np.bincount(rest // max(1, len(names)), minlength=len(texts)), [names[i] for i in rest % max(1, len(names))], times
+
+
+def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of ``docs``; one fold of FOLDS teaches nothing."""
     scratch = scratch or Scratch(docs.sparkSession)
     part = fold(F.col(id_col), FOLDS)
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(part > 0), text_col, lang_col, max_words, max_grams, scratch))
-    slim = docs.select(F.col(id_col).alias("doc_id"), (part == 0).alias("held_out"), F.col(text_col).alias("body"))
+    counts = Counts(docs.where(part > 0), text_col, lang_col, scratch)
+    shared = docs.sparkSession.sparkContext.broadcast(counts.frequent(max_words, scratch))
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (part == 0).alias("held_out"), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        units, logs = shared.value
+        known = {u: i for i, u in enumerate(units)}
         for batch in batches:
             for start, texts in slices(batch, "body"):
                 own = batch.slice(start, len(texts))
-                names, scores = model.predict(texts)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+                n, total, many, words, times = summed(texts, known, logs)
+                width = total.shape[1]
+                sums = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width), pa.array(total.ravel()))
+                each = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["unit", "times"])
+                rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), each)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n), sums, rest], names=["row", "doc_id", "held_out", "n", "total", "rest"])
+
+    schema = f"row long, doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, n long, total array<double>, rest array<struct<unit:string,times:long>>"
+    read = scratch.table(slim.mapInArrow(run, schema), "read")
+    if not counts.languages:
+        return read.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    rest = read.select("row", F.inline("rest"))
+    told = scratch.table(counts.told(rest.select("unit").distinct(), scratch), "rare-words")
+    plus = counts.each(lambda x: F.sum(F.get("logs", F.lit(counts.languages.index(x))) * F.col("times")))
+    more = rest.join(told, "unit").groupBy("row").agg(plus.alias("more"))
+    whole = F.when(F.col("more").isNull(), F.col("total")).otherwise(F.zip_with("total", "more", lambda a, b: a + b))
+    best = F.array_max("whole")
+    names = F.array(*map(F.lit, counts.languages))
+    # The posterior for equal priors, tempered by the number of words, which do not come independently.
+    mass = F.aggregate("whole", F.lit(0.0), lambda s, x: s + F.exp((x - best) / F.sqrt("n")))
+    out = read.join(more, "row", "left").withColumn("whole", whole)
+    return out.select("doc_id", "held_out", F.when(F.col("n") > 0, F.element_at(names, F.array_position("whole", best).cast("int"))).otherwise("und").alias("lang_pred"), F.when(F.col("n") > 0, 1 / mass).otherwise(0.0).alias("score"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from docloom.llm import attention, bpe, components, exact_dedup, jaccard_join, language_id, lm_score, mixing, pii, quality, toxicity, url_filter
@@ -280,6 +281,57 @@ def test_language(spark, docs, empty):
     assert told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
 
 
+def brute_language(rows, lang_of):
+    """Word-first back-off over plain dictionaries: {id: (language, score)}."""
+    counts = {k: defaultdict(Counter) for k in range(5)}
+    split = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    pieces = lambda t, n: [t[k : k + n] for k in range(max(1, len(t) - n + 1))]
+    for k, t in rows:
+        if k is not None and zlib.crc32(str(k).encode()) % 5 and lang_of[k] is not None:
+            for w in split(t):
+                counts[0][w][lang_of[k]] += 1
+                for n in (1, 2, 3, 4):
+                    for g in pieces(f"^{w}$", n):
+                        counts[n][g][lang_of[k]] += 1
+    languages = sorted({x for c in counts[0].values() for x in c})
+    below = {n: {x: sum(c[x] for c in counts[n].values()) + 0.5 * (len(counts[n]) + 1) for x in languages} for n in counts}
+
+    def logs(unit, n):
+        if unit in counts[n]:
+            return [math.log((counts[n][unit][x] + 0.5) / below[n][x]) for x in languages]
+        if n == 1:
+            return [math.log(1e-6)] * len(languages)
+        return [float(np.mean(x)) for x in zip(*(logs(g, n - 1) for g in pieces(unit, n - 1)), strict=True)]
+
+    out = {}
+    for k, t in rows:
+        words = split(t)
+        total = [sum(x) for x in zip(*((logs(w, 0) if w in counts[0] else [float(np.mean(x)) for x in zip(*(logs(g, 4) for g in pieces(f"^{w}$", 4)), strict=True)]) for w in words), strict=True)]
+        if words:
+            best = max(total)
+            out[k] = (languages[total.index(best)], 1 / sum(math.exp((x - best) / math.sqrt(len(words))) for x in total))
+        else:
+            out[k] = ("und", 0.0)
+    return out
+
+
+@pytest.mark.parametrize("max_words", [4, 10_000])
+def test_language_is_word_first_back_off(spark, max_words):
+    rng = np.random.default_rng(12)
+    syllables = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sche", "lo", "rn", "é"], "cc": ["ka", "xi", "ñu", "o"]}
+    rows, langs = [], {}
+    for k in range(60):
+        lang = sorted(syllables)[k % 3]
+        rows.append((k, " ".join("".join(rng.choice(syllables[lang], rng.integers(1, 4))) for _ in range(12))))
+        langs[k] = lang if k % 7 else None
+    rows += [(100, "zzz qqqqq 日本 x"), (101, "Ka " + "lo" * 300), (102, "12 ² ३"), (103, None)]
+    langs |= dict.fromkeys(range(100, 104))
+    docs = spark.createDataFrame([(k, t, langs[k]) for k, t in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identify_language(docs, max_words=max_words).collect()}
+    for k, (lang, score) in brute_language(rows, langs).items():
+        assert got[k].lang_pred == lang and got[k].score == pytest.approx(score, rel=1e-6)
+
+
 def test_jaccard(docs, rows, empty):
     def shingles(t):
         w = [x.translate(LOWER) for x in words(t)]
