@@ -37,6 +37,8 @@ from docloom.llm.shared import Scratch, most_frequent, slices, table
 #: The pre-token rule of byte-level BPE vocabularies of this family; a fixed value.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEXICON_WORDS = 262_144
+#: Longer words stay out of the lexicon and of workers' memories, so that both are bounded in bytes.
+LONGEST = 64
 #: Words of more bytes are merged with a heap.
 LONG_WORD = 48
 #: Entries of a worker's memory of words that the lexicon lacks.
@@ -225,7 +227,9 @@ class Coder:
             elif (got := memory.get(word)) is None:
                 if len(memory) >= MEMORY:
                     memory.clear()
-                got = memory[word] = self.form(self.ids_of(word))
+                got = self.form(self.ids_of(word))
+                if len(word) <= LONGEST:
+                    memory[word] = got
             out.append(got)
         return out
 
@@ -253,7 +257,7 @@ class Coder:
 
 def frequent_words(docs: DataFrame, text_col: str, lexicon_words: int, scratch: Scratch) -> list[str]:
     words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PRE_TOKEN), F.lit(0))).alias("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counted = words.where(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     return [r.word for r in most_frequent(counted, lexicon_words, scratch).collect()]
 
 

@@ -145,7 +145,7 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 own = batch.slice(start, len(texts))
                 n, total, many, words, times = summed(texts, known, logs)
                 width = total.shape[1]
-                sums = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width), pa.array(total.ravel()))
+                sums = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width), pa.array(total.ravel(), pa.float64()))
                 each = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["unit", "times"])
                 rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), each)
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n), sums, rest], names=["row", "doc_id", "held_out", "n", "total", "rest"])

@@ -46,6 +46,10 @@ OWN_CLASSES, SHARED_CLASSES = 88, 4
 KEPT_PAIRS, PAIRS_AT_ONCE, BATCHES_AT_ONCE = 200_000, 200_000, 16
 ROUNDS, RATE, SEED = 3, 0.01, 9
 ADD = 0.1
+#: Bytes of the longest word that is broadcast.
+LONGEST = 64
+#: Bytes of a word that are cut together.
+STRETCH = 64
 #: White space other than the space, as words are split.
 BLANKS = "\t\n\x0b\x0c\r"
 #: Characters that a task reads together; more share more words.
@@ -99,7 +103,7 @@ class Numbers:
 
 
 class Pieces:
-    """Subword ids by the longest piece of the vocabulary that fits, from left to right."""
+    """Subword ids by the longest piece of the vocabulary that fits, from left to right; pieces do not cross a border after each STRETCH bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.top = max(vocabulary.bytes_of) + 1
@@ -120,12 +124,14 @@ class Pieces:
         self.step, self.found = Numbers(np.fromiter(step, np.int64, len(step))), np.array(found, np.int32)
 
     def cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """How many pieces each word has, and the pieces of all; all words take a step at a time."""
+        """How many pieces each word has, and the pieces of all; all stretches of words take a step at a time."""
         text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
         lengths = np.array([len(w) + 1 for w in words], np.int64)
-        at = np.cumsum(lengths) - lengths
-        stop, owner = at + lengths, np.arange(len(words))
-        state, best, best_end = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32), at.copy()
+        many = -(-lengths // STRETCH)
+        word = np.repeat(np.arange(len(words)), many)
+        at = np.repeat(np.cumsum(lengths) - lengths, many) + STRETCH * (np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many))
+        stop, owner = np.minimum(at + STRETCH, np.cumsum(lengths)[word]), np.arange(len(word))
+        state, best, best_end = np.zeros(len(word), np.int64), np.zeros(len(word), np.int32), at.copy()
         owners, pieces = [], []
         while len(at):
             after = np.where(at < stop, self.step.find(state << 8 | text[at]) + 1, 0)
@@ -142,7 +148,7 @@ class Pieces:
         if not owners:
             return np.zeros(len(words), np.int64), np.zeros(0, np.int32)
         owner = np.concatenate(owners)
-        return np.bincount(owner, minlength=len(words)), np.concatenate(pieces)[np.argsort(owner, kind="stable")]
+        return np.bincount(word[owner], minlength=len(words)), np.concatenate(pieces)[np.argsort(owner, kind="stable")]
 
 
 def pair_counts(counts: DataFrame, pieces: Pieces) -> DataFrame:
@@ -383,7 +389,7 @@ def lm_score(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_
     tokens, distinct = sums.n + ends, sums.v + (ends > 0)
     pieces = Pieces(Vocabulary(tokenizer_file))
     classes, pairs = learned_classes(counts, ends, pieces, kept_pairs, scratch)
-    frequent = [(r.word, r.n) for r in most_frequent(counts, frequent_words, scratch).collect()]
+    frequent = [(r.word, r.n) for r in most_frequent(counts.where(F.octet_length("word") <= LONGEST), frequent_words, scratch).collect()]
     shared, common = spark.sparkContext.broadcast((pieces, classes)), spark.sparkContext.broadcast(frequent)
     trained = train_model(train, id_col, text_col, lambda: Reader(*shared.value, [], tokens, distinct, ends), pieces.top, classes.n, rounds, train_one_in or rounds)
     params = spark.sparkContext.broadcast(attention.flat(trained))

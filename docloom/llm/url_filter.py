@@ -1,7 +1,8 @@
 """URL filter lists by expression lookup.
 
-A URL's host is expanded to all its suffixes at label borders and its path to
-the prefixes of the lengths that rules use; each combination is one expression.
+A URL's host is expanded to its suffixes of as many labels as rules have, and its
+path to the prefixes of the lengths that rules use; each combination is one
+expression, so what a URL expands to does not depend on its own length.
 Expressions meet rules in an equi-join on a short prefix of their SHA-256; the
 full digests confirm a meeting, and the longest rule wins (then the longer host,
 then block over allow).  Distinct (host, path) pairs are judged once.
@@ -31,10 +32,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(url, pattern, 1)), F.regexp_extract(url, pattern, 2)
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All (host suffix, path prefix) pairs, as an array of structs."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """All (host suffix, path prefix) pairs, as an array of structs; labels and lengths: the numbers of them that rules have."""
+    suffix = lambda n: F.when(F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) >= n - 1, F.substring_index(host, ".", -n))
+    suffixes = F.array_compact(F.array(*map(suffix, labels)) if labels else F.array().cast("array<string>"))
     fitting = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length(path))
     prefixes = F.transform(fitting, lambda n: F.substring(path, F.lit(1), n))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("host"), p.alias("path")))))
@@ -44,11 +45,12 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """page_id, host, path, rule, verdict for each row of ``pages``; rules: host, path, verdict."""
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).where("path is not null").distinct().collect())
+    forms = [rules.where("host is not null and path is not null").select(c.alias("n")).distinct().orderBy("n") for c in (F.size(F.split("host", r"\.")), F.length("path"))]
+    labels, lengths = ([r.n for r in f.collect()] for f in forms)
     known = rules.select(F.col("host").alias("rule_host"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("verdict")).where("rule is not null").withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, SHORT))
     if known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         known = F.broadcast(known)
-    asked = urls.select("host", "path").distinct().select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths)).alias("e"))
+    asked = urls.select("host", "path").distinct().select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), labels, lengths)).alias("e"))
     asked = asked.withColumn("asked", F.sha2(F.concat("e.host", "e.path"), 256)).withColumn("short", F.substring("asked", 1, SHORT)).drop("e")
     rank = F.struct(F.length("rule"), F.length("rule_host"), F.col("verdict") == "block")
     judged = asked.join(known, "short").where("asked = digest").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("won"))

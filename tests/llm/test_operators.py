@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -467,11 +468,12 @@ def test_lm_cuts_words_by_longest_piece():
     got_sizes, got = pieces.cut([t.encode() for t in texts])
     want = []
     for t in texts:
-        rest, out = b" " + t.encode(), []
-        while rest:
-            n = max(k for k in range(1, len(rest) + 1) if rest[:k] in by_bytes)
-            out.append(by_bytes[rest[:n]])
-            rest = rest[n:]
+        whole, out = b" " + t.encode(), []
+        for rest in (whole[k : k + lm_score.STRETCH] for k in range(0, len(whole), lm_score.STRETCH)):
+            while rest:
+                n = max(k for k in range(1, len(rest) + 1) if rest[:k] in by_bytes)
+                out.append(by_bytes[rest[:n]])
+                rest = rest[n:]
         want.append(out)
     assert got_sizes.tolist() == [len(x) for x in want] and got.tolist() == [i for x in want for i in x]
     assert [len(x) for x in pieces.cut([])] == [0, 0]
@@ -529,6 +531,104 @@ def test_string_kernel():
     assert got.tolist() == pytest.approx([brute(s, t) for s, t in pairs], rel=1e-4)
 
 
+def brute_spans(text):
+    """The patterns as they are given, each by itself."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        out += [("ip", *m.span())] * all(int(p) <= 255 for p in m.group().split("."))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m.group() if c.isdigit()][::-1]
+        luhn = sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
+        out += [("card", *m.span())] * (13 <= len(digits) <= 19 and luhn)
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        out += [("phone", *m.span())] * (9 <= sum(c.isdigit() for c in m.group()) <= 15)
+    return out
+
+
+def test_pii_spans_of_random_strings():
+    rng = np.random.default_rng(21)
+    for letters in ("a@.-b", "0129.", "+(12) -.", "ab1@.+ 2-5_%", "4 -0@a."):
+        for _ in range(1500):
+            text = "".join(rng.choice(list(letters), rng.integers(0, 40)))
+            assert pii.base_spans(text) == brute_spans(text), text
+
+
+def test_pii_context_counts_words_alone():
+    text = "w1 " + "x" * 500 + " aaa bbb ccc ddd me@site.org eee Smith-Jones " + "y" * 900 + " ggg hhh iii jjj"
+    ((key, _, terms),) = pii.contexts(text, pii.base_spans(text), 5)
+    assert key == "email:me@site.org" and terms == sorted(["x" * 500, "aaa", "bbb", "ccc", "ddd", "eee", "smith", "jones", "y" * 900, "ggg", "hhh"])
+
+
+def brute_disclosure(texts, reach, support, threshold):
+    """All (entity, term) pairs at or above the threshold, over plain sets."""
+    letters = lambda t: set(regex.findall(r"\p{L}+", t.encode().translate(LOWER).decode()))
+    seen, around = defaultdict(set), defaultdict(set)
+    for t in texts:
+        spans = brute_spans(t)
+        for kind, a, b in spans:
+            words = [m for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+            near = [m for m in words if m.end() <= a][-reach:] + [m for m in words if m.start() >= b][:reach]
+            entity, context = (kind, t[a:b].lower()), tuple(m.group().lower() for m in near)
+            seen[entity].add(context)
+            for m in near:
+                for x in letters(m.group()):
+                    if all(m.end() <= s or e <= m.start() for _, s, e in spans):
+                        around[entity, x].add(context)
+    distinct = {t.encode().translate(LOWER) for t in texts}
+    n, out = len(distinct), {}
+    for (entity, x), found in around.items():
+        if len(found) >= support:
+            holds = max(len(found), sum(x in letters(t.decode()) for t in distinct))
+            share = math.log(len(found) * n / (len(seen[entity]) * holds)) / max(math.log(n / len(seen[entity])), 1e-9)
+            if share >= threshold:
+                out[entity, x] = share
+    return out
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_pii_terms_by_brute_force(spark, limit):
+    rng = np.random.default_rng(5)
+    names, common = ["Ada", "Béla", "Zoltán", "Mira"], ["note", "item", "to", "see", "about", "é"]
+    texts = []
+    for k in range(120):
+        who = names[k % 4] if k % 3 == 0 else None
+        middle = [who, f"{who.lower().encode('ascii', 'ignore').decode()}@x.example.com"] if who else [str(k)]
+        texts.append(" ".join([*rng.choice(common, rng.integers(2, 9)), *middle, *rng.choice(common, rng.integers(1, 9))]))
+    texts += [texts[0]] * 5 + ["A letter from Zoltán alone", "MIRA's", None]
+    pairs = brute_disclosure([t or "" for t in texts], 5, 3, 0.8)
+    terms = {x for _, x in pairs}
+    assert {"ada", "mira"} <= terms and not {"note", "item"} & terms
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(docs, limit=limit).collect():
+        t = texts[r.doc_id] or ""
+        base = brute_spans(t)
+        want = [("term", *m.span()) for m in regex.finditer(r"\p{L}+", t) if m.group().encode().translate(LOWER).decode() in terms and all(m.end() <= s or e <= m.start() for _, s, e in base)]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in base + want)
+
+
+def test_long_runs_are_linear(spark):
+    """A million characters of one run, for each operator that reads words, patterns or labels."""
+    began = time.time()
+    for text in ("x" * 1_000_000, "1" * 1_000_000, "1." * 500_000, "@" * 1_000_000, "a@" * 300_000, "+1" + "." * 1_000_000, "a" * 500_000 + "@" + "b" * 500_000):
+        pii.base_spans(text)
+    many = " ".join(f"word{k} a{k}@x.org" for k in range(30_000))
+    assert len(pii.contexts(many, pii.base_spans(many), 5)) == 30_000
+    assert time.time() - began < 10
+    texts = ["é" * 1_000_000, "x" * 1_000_000 + " other words here", "x" * 1_000_000 + " other words here"]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(2).cache()
+    docs.count()
+    tokens = bpe.tokenizer_path()
+    for run in (language_id.identify_language, pii.find_pii, lambda d: bpe.bpe_digests(d, tokens), lambda d: lm_score.lm_score(d, tokens, rounds=1)):
+        began = time.time()
+        assert run(docs).count() == len(texts)
+        assert time.time() - began < 30
+    pages = spark.createDataFrame([(1, "http://" + "a." * 200_000 + "net/"), (2, "http://" + "b" * 1_000_000 + ".net/x")], "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    began = time.time()
+    assert [r.rule for r in url_filter.url_filter(pages, rules).collect()] == ["net/", "net/"]
+    assert time.time() - began < 10
+
+
 def test_pii_base():
     text = "a.b+c@x-y.example.com, 10.0.255.1, 999.1.1.1, 4539 1488 0343 6467, +1 (212) 555-0100, 1234567890123; é x@y"
     kinds = Counter(k for k, _, _ in pii.base_spans(text))
