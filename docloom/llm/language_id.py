@@ -36,6 +36,8 @@ MAX_WORDS, LENGTHS = 200_000, (4, 3, 2, 1)
 FOLDS = 5
 #: Longer words are not broadcast, so that a worker's memory is bounded in bytes.
 LONGEST = 64
+#: Different n-grams that a task counts before it passes them on.
+GRAMS_HELD = 500_000
 #: Added to each count; the log frequency of a letter that no training word has.
 SMOOTH, UNKNOWN = 0.5, math.log(1e-6)
 
@@ -62,6 +64,36 @@ def marked(word: Column) -> Column:
     return F.concat(F.lit("^"), word, F.lit("$"))
 
 
+def gram_counts(words: DataFrame, width: int) -> DataFrame:
+    """(k, unit, by): partial counts of the n-grams of all lengths, from counts of words (unit, by)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[dict[str, int], np.ndarray]] = [({}, np.zeros((0, width), np.int64)) for _ in LENGTHS]
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for i, k in enumerate(LENGTHS):
+                (number, by), held[i] = held[i], ({}, np.zeros((0, width), np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * width), pa.array(by[: len(number)].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(number), k, np.int32)), pa.array(list(number), pa.string()), lists], names=["k", "unit", "by"])
+
+        for batch in batches:
+            marks = [f"^{w}$" for w in batch.column("unit").to_pylist()]
+            counts = batch.column("by").flatten().to_numpy(zero_copy_only=False).reshape(len(marks), width)
+            for i, k in enumerate(LENGTHS):
+                number, by = held[i]
+                ids = np.array([number.setdefault(w[a : a + k], len(number)) for w in marks for a in range(max(1, len(w) - k + 1))], np.int64)
+                if len(by) < len(number):
+                    by = np.concatenate([by, np.zeros((2 * len(number) - len(by), width), np.int64)])
+                owner = np.repeat(np.arange(len(marks)), [max(1, len(w) - k + 1) for w in marks])
+                np.add.at(by, ids, counts[owner])
+                held[i] = number, by
+            if sum(len(number) for number, _ in held) > GRAMS_HELD:
+                yield from told()
+        yield from told()
+
+    return words.select("unit", "by").mapInArrow(run, "k int, unit string, by array<long>")
+
+
 class Counts:
     """Stored counts by language of words, and of n-grams with their length ``k``; their sums."""
 
@@ -70,9 +102,7 @@ class Counts:
         self.languages = sorted(r.lang for r in words.select("lang").distinct().collect())
         by = self.each(lambda x: F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)))
         self.words = scratch.table(words.groupBy("unit").agg(by.alias("by")).withColumn("k", F.lit(0)), "words-by-language")
-        named = F.explode(F.map_from_arrays(F.array(*map(F.lit, LENGTHS)), F.array(*(grams(marked(F.col("unit")), k) for k in LENGTHS)))).alias("k", "units")
-        parts = words.select("lang", "n", named).select("lang", "n", "k", F.explode("units").alias("unit"))
-        self.grams = scratch.table(parts.groupBy("k", "unit").agg(by.alias("by")), "grams-by-language")
+        self.grams = scratch.table(gram_counts(self.words, len(self.languages)).groupBy("k", "unit").agg(self.each(lambda x: F.sum(F.get("by", F.lit(self.languages.index(x))))).alias("by")), "grams-by-language")
         sums = self.words.unionByName(self.grams).groupBy("k").agg(F.count("*").alias("distinct"), self.each(lambda x: F.sum(F.get("by", F.lit(self.languages.index(x))))).alias("all")).collect()
         self.below = {r.k: [float(n) + SMOOTH * (r.distinct + 1) for n in r["all"]] for r in sums}
 
