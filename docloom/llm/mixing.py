@@ -9,7 +9,9 @@ to half a document.  The drawn blocks are the exact quotas of the tree: it
 halves the list of output shards again and again, and draws how many blocks of
 each source go to the left half without replacement.  A shard's blocks of a
 source are consecutive in a permutation of the source's drawn blocks, so shards
-are disjoint; inside a shard, documents stand in a keyed random order.
+are disjoint; inside a shard, documents stand in a keyed random order.  There are
+as many shards as the mix has ``shard_words`` words, and each is sorted in slices
+of its random order by as many tasks as its words need.
 
 The running sums that place documents in the order are sums of sums: sources are
 cut into hash buckets of bounded size, so a source that holds a third of all
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from docloom.llm.shared import WORD_PATTERN, Scratch, table
 
 WEIGHTS = (5, 2, 1)
-SHARE, CAP, SEED, SHARDS, BLOCK_WORDS = 1.5, 2.0, 20, 32, 5000
+SHARE, CAP, SEED, BLOCK_WORDS = 1.5, 2.0, 20, 5000
+#: Words of the mix in one output shard, and in the slice of a shard that one task sorts, on average.
+SHARD_WORDS, SLICE_WORDS = 8_000_000, 1_000_000
 #: Rows of one hash bucket, on average; one task sorts a bucket.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 1000
 #: The plan (a row for each source) is broadcast while it has at most so many numbers; beyond, the join shuffles.
 BROADCAST_NUMBERS = 1_000_000
 
@@ -89,8 +93,17 @@ def shard_plan(goals: DataFrame, shards: int, block_words: int, seed: int) -> Da
     return goals.sparkSession.createDataFrame(out, "src string, source_size long, target double, quota long, step long, shift long, ends array<long>")
 
 
-def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """rows: a stored table (row, id, src, size).  Adds source_size, target, taken and ``draws``: a (shard, place) for each time the row is taken."""
+def shards_for(rows: DataFrame, share: float, shard_words: int) -> int:
+    words = rows.agg(F.sum("size")).first()[0] or 0
+    return max(1, int(-(-share * words // shard_words)))
+
+
+def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int | None = None, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """rows: a stored table (row, id, src, size).  Adds source_size, target, taken and ``draws``: a (shard, place) for each time the row is taken.
+
+    shards: their number, if it is not to follow from ``shard_words``.
+    """
+    shards = shards or shards_for(rows, share, shard_words)
     plan = shard_plan(targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, cap), shards, block_words, seed)
     if plan.count() * (shards + 6) <= BROADCAST_NUMBERS:
         plan = F.broadcast(plan)
@@ -126,12 +139,18 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return mix(scratch.table(rows, "sizes"), **how).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"))
 
 
-def mixture(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, **how) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, dealt out by shard and shuffled within it."""
+def mixture(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, share: float = SHARE, shard_words: int = SHARD_WORDS, slice_words: int = SLICE_WORDS, **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, dealt out by shard and shuffled within it.
+
+    A partition is a slice of one shard's random order, so shards lie one after the other.
+    """
     stored = scratch.table(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), n_words(F.col(text_col)).alias("size")), "docs-by-row")
     rows = stored.select("row", F.col(f"doc.{id_col}").alias("id"), source_key(F.col(f"doc.{source_col}")).alias("src"), "size")
-    drawn = mix(rows, shards=shards, **how).select("row", F.explode("draws").alias("draw"))
-    return stored.select("doc", "row").join(drawn, "row").repartition(shards, "draw.shard").sortWithinPartitions("draw.shard", "draw.place").select("doc.*")
+    shards = shards or shards_for(rows, share, shard_words)
+    many = max(1, -(-shards_for(rows, share, slice_words) // shards))
+    drawn = mix(rows, shards=shards, share=share, **how).select("row", F.explode("draws").alias("draw"))
+    slice_of = F.least(F.lit(many - 1), F.floor((F.col("draw.place") / F.lit(2.0**64) + 0.5) * many).cast("int"))
+    return stored.select("doc", "row").join(drawn, "row").repartitionById(shards * many, (F.col("draw.shard") * many + slice_of).cast("int")).sortWithinPartitions("draw.shard", "draw.place").select("doc.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ letters are read as one word.
 Landmarks are strings from the labelled sample that go with toxic documents (by
 G-test), no two near each other.  A word's feature for a landmark is the kernel's
 value as a share of the landmark's own, less a fixed part that chance explains;
-it is 0 by definition if the word lacks more than a quarter of the landmark's
-letters.  A sentence's features are
-the sums over its words, whitened by the landmarks' kernel matrix.  A linear
+it is 0 by definition if the word lacks more letters of the landmark than one in
+seven.  A sentence's features are the highest over its words, multiplied by the
+inverse root of the landmarks' own table of features (made symmetric), as in a
+Nyström map, of features that are cut off below.  A linear
 support vector machine is trained on labelled sentences: those with a feature bear
 their document's label, and a clean document or one without features adds a
 sentence without any; documents weigh alike within a class.  A document's score
@@ -19,7 +20,12 @@ is that of its highest sentence, calibrated to a probability.
 Each distinct word's features are worked out once.
 
 The sample has at most ``per_class`` labelled documents of either class (a
-documented bound; they are chosen by a hash of the id).  Nothing else is bounded.
+documented bound; they are chosen by a hash of the id, and of rows with the same
+id the text with the least hash is taken).  There are at most ``landmarks``
+landmarks, the strongest ones; each needs ``SUPPORT`` documents and ``EVIDENCE``.
+Landmarks are beginnings of words or of pieces of long ones, of five to ten
+characters with the sign that stands before a word; words of up to four letters
+count whole, with the sign after them too.
 
 Defined results: null and empty texts have no words and get the score of a
 sentence without features; rows with a null id are not held out and teach
@@ -42,20 +48,20 @@ from pyspark.sql import functions as F
 
 from docloom.llm.shared import fold, slices, table
 
-FOLDS, PER_CLASS, LANDMARKS = 5, 1500, 64
+FOLDS, PER_CLASS, LANDMARKS = 5, 1500, 128
 ORDER, DECAY = 3, 0.6
 #: Nats of evidence that a landmark needs; among a million strings chance gives about six at this level.
 EVIDENCE = 12
-#: Share of the sample's toxic documents that a landmark must stand in; copies of one document do not reach it.
-COMMON = 0.015
+#: Toxic documents of the sample, near copies left out, that a landmark must stand in.
+SUPPORT = 5
 #: Shares of a landmark's own kernel value up to this one count as nothing.
 LEAST = 0.5
-SHORTEST, LONGEST = 5, 10
+SHORTEST, LONGEST, WHOLE = 5, 10, 4
 PAIRS_AT_ONCE = 20_000
 #: Entries of a worker's memory of words' features.
 MEMORY = 300_000
 #: Of the hashes that find copies in the sample.
-PRIME, FACTORS = 4294967291, (2654435761, 2246822519, 3266489917)
+PRIME, FACTORS = 4294967291, (2654435761, 2246822519, 3266489917, 668265263, 374761393)
 #: Longer words are read in overlapping pieces of this length; the highest weight counts.
 PIECE = 40
 #: Signs that stand for letters, and marks that are left out.
@@ -67,7 +73,12 @@ SINGLE = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 
 def folded(word: str) -> str:
     word = word.lower().rstrip("!?.,;:|").translate(SIGNS)
-    return f"{START}{word}" if word else ""
+    return f"{START}{word}{START * (len(word) <= WHOLE)}" if word else ""
+
+
+def pieces_of(word: str) -> list[str]:
+    """A folded word, or the overlapping pieces of a long one."""
+    return [word] if len(word) <= PIECE else [word[a : a + PIECE] for a in range(0, len(word) - PIECE // 2, PIECE // 2)]
 
 
 def codes(words: list[str], fill: int) -> np.ndarray:
@@ -144,17 +155,17 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def without_copies(docs: list[list[list[str]]]) -> list[int]:
-    """Documents of the sample less near copies of earlier ones: two of three least hashes of word triples agree."""
-    seen: set[tuple[int, int, int]] = set()
+    """Documents of the sample less near copies of earlier ones: four of five least hashes of word triples agree."""
+    seen: set[tuple[int, int]] = set()
     kept = []
     for k, sents in enumerate(docs):
         words = [w for s in sents for w in s]
         hashes = [crc32(" ".join(x).encode()) for x in zip(words, words[1:], words[2:], strict=False)]
         least = [min((h * f % PRIME for h in hashes), default=-k - 1) for f in FACTORS]
-        pairs = {(i, j, hash((least[i], least[j]))) for i, j in ((0, 1), (0, 2), (1, 2))}
-        if not pairs & seen:
+        fours = {(i, hash((*least[:i], *least[i + 1 :]))) for i in range(len(least))}
+        if not fours & seen:
             kept.append(k)
-        seen |= pairs
+        seen |= fours
     return kept
 
 
@@ -162,13 +173,13 @@ def choose_landmarks(docs: list[list[list[str]]], toxic: np.ndarray, limit: int)
     """Word beginnings by how strongly they go with toxic documents, less those too near to stronger ones."""
     count = {0: Counter(), 1: Counter()}
     for sents, y in zip(docs, toxic, strict=True):
-        words = {w for s in sents for w in s if SHORTEST <= len(w) <= PIECE}
-        count[int(y)].update({w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)})
+        words = {p for s in sents for w in s for p in pieces_of(w) if len(p) >= SHORTEST}
+        count[int(y)].update({w if w.endswith(START) else w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)})
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     ranked = []
     for s, a in count[1].items():
         b = count[0][s]
-        if a >= max(3, COMMON * n1) and a * n0 > 6 * (b + 0.5) * n1:
+        if a >= SUPPORT and a * n0 > 6 * (b + 0.5) * n1:
             share = (a + b) / (n1 + n0)
             g = a * np.log(a / (n1 * share)) + (b * np.log(b / (n0 * share)) if b else 0)
             if g >= EVIDENCE:
@@ -209,7 +220,7 @@ class Model:
         """Features of folded words; of a long one the highest over its pieces."""
         if all(len(w) <= PIECE for w in words):
             return self.landmarks.features(words)
-        cut = [(k, w[a : a + PIECE]) for k, w in enumerate(words) for a in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)]
+        cut = [(k, p) for k, w in enumerate(words) for p in pieces_of(w)]
         out = np.zeros((len(words), len(self.landmarks.words)), np.float32)
         np.maximum.at(out, [k for k, _ in cut], self.landmarks.features([p for _, p in cut]))
         return out
@@ -277,11 +288,11 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, landmarks: int = LAND
         flat = min(max(share, 1e-9), 1 - 1e-9)
         return Model(Landmarks([]), np.zeros(0), 0.0, 0.0, float(np.log(flat / (1 - flat))))
     marks = Landmarks(choose_landmarks(docs, toxic, landmarks))
-    words = sorted({w for d in docs for s in d for w in s if len(w) <= PIECE})
-    place, values = {w: k for k, w in enumerate(words)}, marks.features(words)
+    words = sorted({w for d in docs for s in d for w in s})
+    place, values = {w: k for k, w in enumerate(words)}, Model(marks, np.zeros(0), 0.0, 0.0, 0.0).pieces(words)
     rows, owner, weight = [], [], []
     for k, d in enumerate(docs):
-        found = [v for s in d if (v := values[[place[w] for w in s if w in place]].max(0, initial=0)).any()] if len(marks.words) else []
+        found = [v for s in d if (v := values[[place[w] for w in s]].max(0, initial=0)).any()] if len(marks.words) else []
         found += [np.zeros(len(marks.words))] * (not toxic[k] or not found)
         rows += found
         owner += [k] * len(found)
@@ -305,7 +316,9 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_
     share = known.agg(F.avg("toxic").alias("s")).first().s or 0.0
     by_hash = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(per_class)
     picked = by_hash(1).unionByName(by_hash(0))
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(F.broadcast(picked), "key").orderBy("key").collect()
+    # One text for each picked id, however many rows have it: at most 2 * per_class texts reach the driver.
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(F.broadcast(picked.dropDuplicates(["key"])), "key")
+    rows = texts.groupBy("key").agg(F.min(F.struct(F.xxhash64("body"), "body")).alias("t"), F.max("toxic").alias("toxic")).orderBy("key").select("t.body", "toxic").collect()
     return fit([r.body or "" for r in rows], np.array([r.toxic for r in rows], int), share)
 
 

@@ -511,10 +511,27 @@ def test_toxicity(spark, docs, empty):
     assert all(got[k].predicted == int(y) for k, y in enumerate(toxic))
     assert {k: got[k].predicted for k in extra} == {900: 1, 901: 1, 902: 1, 903: 0, 904: 0, 905: 0, 906: 1, 907: 1}
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    odd = toxicity.toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))).collect()
+    assert len(odd) == docs.count() and all(0 <= r.score <= 1 for r in odd)
     assert toxicity.toxicity(docs, labels.limit(0)).where("score != 0 and score > 0.01").count() == 0
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """An id that many rows share gives one text; a landmark can come from a long word."""
+    long = "zq" + "gromblokkensteiner" * 3 + "wxyz"
+    rng = np.random.default_rng(1)
+    some = [" ".join(f"w{x}" for x in rng.integers(0, 500, 12)) for _ in range(60)]
+    rows = [(k, f"{some[k]}. you are a {long if k % 2 else 'stone'}.") for k in range(60)] + [(1, f"copy {k} of a {long}") for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, *rest: seen.extend(texts) or fit(texts, *rest))
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(seen) <= 60 and len(long) > toxicity.PIECE
+    assert all(got[k] == k % 2 for k in range(60))
+
+
 def test_string_kernel():
     def brute(s, t):
         from itertools import combinations
