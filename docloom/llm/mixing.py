@@ -14,8 +14,8 @@ as many shards as the mix has ``shard_words`` words, and each is sorted in slice
 of its random order by as many tasks as its words need.
 
 The running sums that place documents in the order are sums of sums: sources are
-cut into hash buckets of bounded size, so a source that holds a third of all
-rows is spread over many tasks.
+cut into hash buckets of bounded size, and these into groups, so a source that
+holds a third of all rows is spread over many tasks.
 
 Defined results: a null text has size 0 and is never taken; null is a source of
 its own, the last; an empty table gives an empty table; repeated rows are placed
@@ -36,8 +36,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED, BLOCK_WORDS = 1.5, 2.0, 20, 5000
 #: Words of the mix in one output shard, and in the slice of a shard that one task sorts, on average.
 SHARD_WORDS, SLICE_WORDS = 8_000_000, 1_000_000
-#: Rows of one hash bucket, on average; one task sorts a bucket.
-BUCKET_ROWS = 1000
+#: Rows of one hash bucket of a source, on average, and buckets whose sums are added up together.
+BUCKET_ROWS, GROUP_BUCKETS = 100, 1000
 #: The plan (a row for each source) is broadcast while it has at most so many numbers; beyond, the join shuffles.
 BROADCAST_NUMBERS = 1_000_000
 
@@ -104,18 +104,18 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     shards: their number, if it is not to follow from ``shard_words``.
     """
     shards = shards or shards_for(rows, share, shard_words)
-    plan = shard_plan(targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, cap), shards, block_words, seed)
+    sizes = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    plan = shard_plan(targets(sizes.drop("n_rows"), weights, share, cap), shards, block_words, seed).join(sizes.select("src", "n_rows"), "src")
     if plan.count() * (shards + 6) <= BROADCAST_NUMBERS:
         plan = F.broadcast(plan)
-    buckets = max(1, rows.count() // BUCKET_ROWS)
     key = F.xxhash64(F.lit(seed), "id", "size")
-    laid = rows.withColumn("key", key).withColumn("bucket", F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * buckets))
-    part = laid.groupBy("src", "bucket").agg(F.sum("size").alias("part"))
-    over = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part.select("src", "bucket", F.coalesce(F.sum("part").over(over), F.lit(0)).alias("offset"))
+    laid = rows.join(plan, "src").withColumn("key", key).withColumn("bucket", F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("n_rows") / BUCKET_ROWS)))
+    part = laid.groupBy("src", "bucket").agg(F.sum("size").alias("part")).withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS))
+    before = lambda by, order, n: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = part.groupBy("src", "group").agg(F.sum("part").alias("sum")).select("src", "group", before(["src"], "group", "sum").alias("first"))
+    offsets = part.withColumn("inside", before(["src", "group"], "bucket", "part")).join(groups, ["src", "group"]).select("src", "bucket", (F.col("first") + F.col("inside")).alias("offset"))
     inside = Window.partitionBy("src", "bucket").orderBy("key", "id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = laid.withColumn("end", F.sum("size").over(inside)).join(offsets, ["src", "bucket"]).withColumn("start", F.col("offset") + F.col("end") - F.col("size"))
-    laid = laid.join(plan, "src")
     total = F.greatest("source_size", F.lit(1))
     passes = F.floor(F.col("target") / total)
     rest = F.col("target") - passes * total
