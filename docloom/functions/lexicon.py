@@ -80,8 +80,8 @@ REQUESTS = ["peux-tu", "pouvez-vous", "pourriez-vous"]
 
 # Patterns of questions that retrieval answers, and of those that a model answers alone.
 RAG_PATTERNS = [
-    r"quand", r"quelle.*date", r"date.*limite", r"échéance", r"délai", r"calendrier", r"planning", r"agenda", r"quelles sont les dates",
-    r"quel.*montant", r"prix", r"coût", r"pénalité", r"indemnité", r"garantie", r"caution", r"taux", r"pourcentage", r"euro|EUR|€", r"dollar|\$",
+    r"quand", r"quelle.*date", r"date.*limite", r"échéance", r"délai", r"\bà quelle date\b", r"calendrier", r"planning", r"agenda", r"quelles sont les dates",
+    r"quel.*montant", r"\bcombien\b", r"prix", r"coût", r"pénalité", r"indemnité", r"garantie", r"caution", r"taux", r"pourcentage", r"euro|EUR|€", r"dollar|\$",
     r"montant.*total", r"budget", r"devis", r"facturation", r"acompte",
     r"quelles obligations", r"(qui|que) doit", r"responsabilité", r"responsabilités", r"contraintes", r"quelles exigences", r"quelles sont les modalités",
     r"(qui|quoi|que) fournir", r"livrable", r"attentes", r"requis", r"conformité",
@@ -93,6 +93,8 @@ RAG_PATTERNS = [
     r"compare.*(contrat|clause)", r"différence.*(entre|avec)", r"quelles? sont les différences", r"en quoi diffère",
 ]
 LLM_PATTERNS = [
+    r"\btradui[a-z]*\b", r"\brédige[a-z]*\b", r"\bmodèle\b", r"\bcourier\b", r"\bavenant\b", r"\bpropose[a-z]*\b", r"\bcrée\b", r"\bélabore\b",
+    r"\bdéveloppe\b", r"\bcréation\b",
     r"résum[eé]", r"reformule", r"simplifie", r"présente", r"draft", r"brouillon", r"comment rédiger", r"plan de", r"structure de", r"format de", r"template",
     r"écris", r"rédaction", r"formule", r"génère",
     r"analyse", r"évalue", r"interprète", r"impact", r"risque", r"avantage", r"recommande", r"suggestion", r"conseille", r"stratégie", r"approche",
@@ -104,14 +106,9 @@ LLM_PATTERNS = [
     r"alternatives?", r"scenario", r"options?", r"justifie", r"selon toi", r"ton opinion", r"que préconises-tu", r"comment aborder",
 ]
 
-# Line patterns for list items, in order: alpha, roman, numeric, bullet.
-LIST_TYPES = {
-    "alpha": r"^\s*(\([a-z]\)|[a-z]\))",
-    "roman": r"^\s*(\([ivx]+\)|[ivxlcdm]+\))",
-    "numeric": r"^\s*(\([0-9]+\)|[0-9]+\))",
-    "bullet": r"^\s*(-|\*|•)\s",
-}
-OBLIGATIONS = ["shall", "must", "will", "agree", "represent", "warrant", "indemnif", "terminat"]
+OBLIGATIONS = ["shall", "must", "will", "agree", "represent", "warrant", "indemnify", "liability"]
+
+# Lines that are titles.
 TITLE_PATTERNS = [
     r"^#+\s+\**[A-Za-z0-9]",
     r"^ARTICLE\s+[IVXLCDM]+\s*[:\.]",
@@ -123,5 +120,80 @@ TITLE_PATTERNS = [
     r"^\*\*[A-Z]",
     r"^[A-Z][A-Z\s]+:$",
     r"^[A-Z][A-Z\s]{1,30}$",
+    r"^#{1,6}\s+.*$",
+    r"^#{1,6}$",
     r"^(ARTICLE|Section|Chapter|§)\s+\d+(\.\d+)*",
+    r"^(\d+\.)+\d*\s+[A-Z][a-z]+.*$",
+]
+
+# Lines that begin a clause, define a term, belong to a list, refer elsewhere, or begin a section.
+CLAUSE_STARTS = [
+    r"^(\d+(?:\.\d+)*)\s+[A-Z]", r"^Article\s+\d+", r"^Section\s+\d+", r"^Clause\s+\d+", r"^ARTICLE\s+[IVX]+", r"^[A-Z\s]{5,}:", r"WHEREAS", r"NOW, THEREFORE",
+]
+DEFINITIONS = [r'^\s*".*"\s+is|means|shall mean', r'^\s*".*"\s+-\s+', r'^\s*[""].*[""] i(?:s|s\s+a|s\s+the|s\s+defined\s+as)', r'^\s*[Tt]he\s+term\s+[""].*[""]']
+LIST_ITEMS = [
+    r"^\s*(\([a-z]\)|\([ivx]+\)|[a-z]\)|[ivxlcdm]+\)|\([0-9]+\)|[0-9]+\)|\(\d+\.\d+\))", r"^\s*(-|\*|•|‣|◦|⁃|∙)\s", r"^\s*([A-Z]|[a-z]|[ivxlcdm]+|[IVXLCDM]+)\.(\s|$)",
+    r"^\s*([a-z]|[A-Z]|[0-9])\s", r"^\s*\d+\.\d+\s",
+]
+LIST_TYPES = {
+    "alpha": r"^\s*\([a-z]\)|^\s*[a-z]\)",
+    "roman": r"^\s*\([ivx]+\)|^\s*[ivxlcdm]+\)",
+    "numeric": r"^\s*\([0-9]+\)|^\s*[0-9]+\)",
+    "bullet": r"^\s*(-|\*|•)",
+}
+REFERRING = ["pursuant to", "as defined in", "in accordance with", "as per", "according to", "as set forth in", "as specified in", "as stipulated in"]
+SECTION_BREAK = r"^\d+(\.\d+){0,2}\.\s"
+
+# Words and patterns of lines with legal content.
+SHORT_LINE_WORDS = ["date", "signature", "between", "and", "list", "exhibit", "therefore", "contract", "shall", "mean", "defined", "pursuant", "under", "according", "damage", "payment"]
+LEGAL_WORDS = [
+    "notwithstanding", "shall be", "exclusive remedy", "sole and exclusive", "right to terminate", "limitation of liability", "indemnify", "warranty", "warranties", "liabilities",
+    "liability", "remedies", "remedy", "disclaims", "disclaim", "claims", "claim", "damages", "damage", "breach", "termination", "terminate", "force majeure",
+    "intellectual property", "confidential", "liquidated damages", "penalties", "penalty", "shall", "obligation", "obligations", "responsibility", "responsibilities",
+    "rights", "right", "terms", "conditions", "provisions", "stipulations", "agreement", "contract", "hereof", "herein", "thereof", "therein", "delivery", "deliver",
+    "payment", "pay", "price", "fee", "fees", "delay", "delays", "timely", "schedule", "schedules", "deadline", "milestones", "milestone", "completion", "complete",
+    "acceptance", "accepts", "accept", "approved", "approve", "approval", "rejected", "reject", "rejection", "dispute", "disputes", "resolution", "test", "testing",
+    "inspection", "inspect", "audit", "review", "pursuant", "accordance", "compliance", "comply", "applicable", "indemnification", "indemnified", "indemnities", "insurance",
+    "insured", "coverage", "purchaser", "supplier", "parties",
+]
+LEGAL_PATTERNS = [
+    r"(clause|article|section)\s+\d+(\.\d+)?", r"pursuant to|in accordance with|subject to|(appendix|annex) [a-z]", r"not be liable|no liability|shall not|exclude[sd]?|except|exempted",
+    r"limitation|limited to|restrict(ed|ion)|waive[sd]?|waiver", r"if\s+.*\s+(shall|may|must|will|is|are)\s+", r"(shall|may|must|will)\s+.*\s+(if|unless|until|provided that)",
+    r"^(the\s+)?(purchaser|supplier|contractor|client|party|parties)\s+(shall|may|will|must)", r"(documents?|delivery|payment|invoice|fee|compensation|reimbursement)",
+]
+
+# Words of the rules that correct a route.
+CREATION = ["rédige", "génère", "crée", "élabore", "propose", "modèle", "écris", "formule", "développe", "prépare", "établis", "conçois", "suggère", "améliore", "plan", "amélioration", "stratégie", "argumentaire"]
+EXTRACTION = [
+    "liste", "extrais", "extrait", "extraction", "trouve", "donne", "montre", "quand", "combien", "où", "quel", "identifie", "récupère", "recense", "analyse", "quelles sont",
+    "indique", "localise", "détermine", "examine", "énumère", "sélectionne", "cherche", "recherche", "explore",
+]
+STRATEGY = ["stratégie", "approche", "comment gérer", "comment réagir", "adopter face"]
+
+# Where a chunk names its section, the first that matches; then the shapes of chapter titles.
+CHUNK_SECTIONS = [
+    r"[-\*]\s*(\d+(?:\.\d+)*)", r"^(\d+(?:\.\d+)*)\s", r"Article\s+(\d+(?:\.\d+)*)", r"Section\s+(\d+(?:\.\d+)*)", r"Clause\s+(\d+(?:\.\d+)*)",
+    r"^\s*(\([a-z]\)|\([ivx]+\)|[a-z]\)|[ivxlcdm]+\))",
+]
+CHAPTER_SHAPES = r"^\d+\.\s+[A-Z]|^[A-Z][a-z]+\s+\d+|^[-\*]\s*\d+\.\d+\s+[A-Z]"
+
+# Lines that begin a section: what they must not begin with, then (pattern, group of the number, group of the title), the first that matches.
+NO_SECTION = r"^(?:page|version|document|file|date|time|author|status|confidential|proprietary|copyright|all rights reserved|©|\(c\)|\[|\]|\||\+|=|_|\s*$)"
+SHOUTED = r"[A-Z0-9\s'\-àáâäèéêëìíîïòóôöùúûüçÀÁÂÄÈÉÊËÌÍÎÏÒÓÔÖÙÚÛÜÇ_,;:()]+"
+SECTION_STARTS = [
+    (r"^#+\s*\*\*(\d+(?:\.\d+)*)\*\*\s+(.+)$", 1, 2),
+    (r"^\*\*(\d+(?:\.\d+)*)\*\*\s+([A-Z].*)$", 1, 2),
+    (r"^-\s*(\d+(?:\.\d+)+)\s*(.*?)$", 1, 2),
+    (r"^(?:[#*-]+\s*)?(\d+)\.\s+(.*?)$", 1, 2),
+    (r"^#+\s*\*\*(\d+)\.\s+(.*?)\*\*$", 1, 2),
+    (r"^#+\s*(\d+(?:\.\d+)+)\s*(.*?)$", 1, 2),
+    (r"^\*\*Titre du chapitre\*\*:\s*\*\*(\d+(?:\.\d+)*)\.?\s+(.*?)\*\*", 1, 2),
+    (r"^#+\s*([A-Z\s]+)\s*(\d+)\.?$", 2, 1),
+    (r"^#+\s*(\d+)\.\s*([A-Z\s]+)$", 1, 2),
+    (r"^#+\s*\*\*([A-Z\s]+)(\d+)\.?\*\*$", 2, 1),
+    (rf'^"{{0,3}}#+\s*\*\*(\d+(?:\.\d+)*)\*\*\s+({SHOUTED})"{{0,3}}$', 1, 2),
+    (rf'^"{{0,3}}#+\s*\*\*(\d+(?:\.\d+)*)\s+({SHOUTED})\*\*"{{0,3}}$', 1, 2),
+    (rf'^"{{0,3}}\*\*(\d+(?:\.\d+)*)\*\*\s+({SHOUTED})"{{0,3}}$', 1, 2),
+    (r"^(\d+\s+\d+)\s*(.*?)$", 1, 0),
+    (r"^(\d+(?:\.\d+)*)\s*(.*?)$", 1, 2),
 ]

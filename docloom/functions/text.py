@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
 
 
+def bound(col: Column, f: Callable[[Column], Column]) -> Column:
+    """f(col) with the column evaluated once, also where f uses it inside lambdas."""
+    return F.transform(F.array(col), f)[0]
+
+
 def squeezed(text: Column) -> Column:
     """White space of any kind to single spaces, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -62,8 +69,8 @@ def clause_type(text: Column) -> Column:
 
 
 def hierarchy(number: Column) -> Column:
-    """``3.4.1`` to [3, 3.4, 3.4.1]; list items such as (a), iv) or 1.2 stand alone."""
-    alone = number.rlike(r"^\(?[a-z]\)?$|^\(?[ivxlcdm]+\)?$|^\(?[0-9]+\)$|^[0-9a-zA-Z]+\.[0-9a-zA-Z]+$")
+    """``3.4.1`` to [3, 3.4, 3.4.1]; list items such as (a), iv) or (1.2a), with or without brackets, stand alone."""
+    alone = number.rlike(r"(?i)^\(?([a-z]|[ivxlcdm]+|[0-9]+|[0-9]+\.[0-9]+[a-z]*)\)?$")
     parts = F.split(number, r"\.")
     return F.when(alone, F.array(number)).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ".")))
 
@@ -72,11 +79,69 @@ def parent_section(number: Column) -> Column:
     return F.nullif(F.regexp_extract(number, r"^(.*)\.[^.]*$", 1), F.lit(""))
 
 
+def matches_any(text: Column, patterns: list[str], flags: str = "") -> Column:
+    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
+
+
+def is_upper(text: Column) -> Column:
+    """Has letters with case, and all of them are capitals."""
+    return (F.upper(text) == text) & (F.lower(text) != text)
+
+
 def is_title(line: Column) -> Column:
     duty = line.rlike(r"^#{1,6}\s+\d+(\.\d+)*\s+.*\b(shall|may|must|will)\b")
-    shaped = line.rlike("|".join(f"(?:{p})" for p in lexicon.TITLE_PATTERNS))
-    loud = (F.upper(line) == line) & (F.lower(line) != line) & (F.size(tokens(line)) <= 5)
-    return ~duty & (shaped | loud | line.rlike(r"^(\d+\.)+\d*\s+[A-Z][a-z]+.*$"))
+    return ~duty & (matches_any(line, lexicon.TITLE_PATTERNS) | (is_upper(line) & (F.size(tokens(line)) <= 5)))
+
+
+def is_legal(line: Column) -> Column:
+    """Whether a line holds legal content that must not get lost: a list item, or no title and one of the signs of such content."""
+    low, words = F.lower(line), F.size(tokens(line))
+    item = line.rlike(r"^\(?[a-zA-Z0-9]\)") & (line.rlike(r"^\([a-zA-Z0-9]\)") | line.rlike(r"^[a-zA-Z0-9]\)"))
+    prose = (words > 5) & ~line.rlike(r"^#|^\d+(\.\d+)*\s") & ~is_upper(line) & ~F.endswith(line, F.lit(":"))
+    short = (words <= 5) & contains_any(low, lexicon.SHORT_LINE_WORDS)
+    signs = line.rlike(r"^W(hereas|HEREAS),|^for the [A-Za-z]|^#{1,6}\s+\d+(\.\d+)*\s") | prose | short | contains_any(low, lexicon.LEGAL_WORDS) | matches_any(low, lexicon.LEGAL_PATTERNS)
+    return item | (~is_title(line) & signs)
+
+
+def section_number(number: Column) -> Column:
+    """Blanks inside become points, and points run together and go at the ends."""
+    bare = F.trim(number)
+    return F.when(bare.rlike(" "), F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+", "."), r"\.+", "."), F.lit("."))).otherwise(bare)
+
+
+def section_start(line: Column) -> Column:
+    """struct(number, title) where the line begins a section, else null."""
+    bare = F.trim(line)
+    fits = [F.when(bare.rlike(p), F.struct(section_number(F.regexp_extract(bare, p, n)).alias("number"), F.trim(F.regexp_extract(bare, p, t) if t else F.lit("")).alias("title"))) for p, n, t in lexicon.SECTION_STARTS]
+    return F.when(~bare.rlike(f"(?i){lexicon.NO_SECTION}") & bare.rlike(r"\d"), F.coalesce(*fits))
+
+
+def chunk_section(chunk: Column) -> Column:
+    """The section number that a chunk names, by the first pattern that matches anywhere in it."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(chunk, f"(?m){p}", 1), F.lit("")) for p in lexicon.CHUNK_SECTIONS))
+
+
+def chapter_title(chunk: Column) -> Column:
+    """Among the first five lines the first that looks like a title (11 to 99 characters), else the first line with text, cut at 100 characters."""
+    lines = F.transform(F.split(chunk, "\n"), F.trim)
+    named = F.filter(F.slice(lines, 1, 5), lambda x: F.length(x).between(11, 99) & (is_upper(x) | x.rlike(lexicon.CHAPTER_SHAPES)))
+    return F.coalesce(F.get(named, F.lit(0)), F.substring(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), 1, 100))
+
+
+def without_markers(text: Column) -> Column:
+    return F.regexp_replace(text, r"\[(?:CLAUSE_START|SECTION_BREAK|CROSS_REF|PARAGRAPH_END|IMPORTANT_CLAUSE|DEFINITION|LIST_START:\w+|LIST_ITEM:\w+)\]", "")
+
+
+def is_empty_section(content: Column, number: Column) -> Column:
+    """One line only, without a modal verb, that is the section's number and a title in capitals; or no line at all."""
+    lines = F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: x != "")
+    line = F.get(lines, F.lit(0))
+    bare = F.regexp_replace(F.regexp_replace(line, r"^#+\s*", ""), r"^\*\*(.*)\*\*$", "$1")
+    rest = F.substring(bare, F.length(number) + 1, F.length(bare))
+    titled = F.startswith(bare, number) & rest.rlike(r"^[\s\-.:]+[A-Z][A-Z\s]+$")
+    after = F.trim(F.regexp_replace(line, r"^.*? - ", ""))
+    dashed = (F.trim(F.substring_index(line, " - ", 1)) == number) & F.contains(line, F.lit(" - ")) & is_upper(after) & (F.size(tokens(after)) <= 5)
+    return number.isNotNull() & (number != "") & ((F.size(lines) == 0) | ((F.size(lines) == 1) & ~line.rlike(r"\b(shall|may|must|will)\b") & (titled | dashed)))
 
 
 def has_table(text: Column) -> Column:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import lexicon
-from docloom.functions.text import is_title, squeezed, tokens
+from docloom.functions.text import bound, chapter_title, chunk_section, clause_type, hierarchy, is_legal, matches_any, parent_section, section_start, squeezed, tokens, without_markers
 
 
 def without_repeated_lines(lines: DataFrame, by: str = "doc_id", least: int = 3) -> DataFrame:
@@ -63,13 +64,14 @@ def marked(lines: DataFrame, by: str = "doc_id") -> DataFrame:
     """Lines with a ``mark``: the first rule that fits, list runs told apart as START and ITEM."""
     line = F.col("line")
     w = Window.partitionBy(by).orderBy("line_no")
-    clause = line.rlike(r"^\s*(ARTICLE|Article|SECTION|Section|CHAPTER|Chapter|CLAUSE|Clause)\s+[0-9IVXLC]+") | line.rlike(r"^\s*\d+(\.\d+)*\.?\s+[A-Z][A-Z\s]{3,}$")
-    definition = line.rlike(r'(?i)^\s*".*"\s+is|means|shall mean') | line.rlike(r'^\s*".*"\s+-\s+')
-    kind = F.coalesce(*(F.when(line.rlike(p), F.lit(k)) for k, p in lexicon.LIST_TYPES.items()), F.when(line.rlike(r"^\s*([A-Z]|[a-z]|[0-9])[.\s]|^\s*\d+\.\d+\s"), F.lit("generic")))
+    clause = matches_any(line, lexicon.CLAUSE_STARTS)
+    definition = matches_any(line, lexicon.DEFINITIONS, "(?i)")
+    kind = F.when(matches_any(line, lexicon.LIST_ITEMS), F.coalesce(*(F.when(line.rlike(p), F.lit(k)) for k, p in lexicon.LIST_TYPES.items()), F.lit("generic")))
     ends = F.trim(line).rlike(r"[.:;]$") & F.trim(F.lead("line").over(w)).rlike(r"^\P{Ll}")
     weighty = (F.size(tokens(line)) > 20) & F.exists(F.array(*map(F.lit, lexicon.OBLIGATIONS)), lambda k: F.contains(F.lower(line), k))
     rule = F.when(clause, "CLAUSE_START").when(definition, "DEFINITION").when(kind.isNotNull(), F.concat(F.lit("LIST:"), kind))
-    rule = rule.when(line.rlike(r"(?i)\b(section|article|clause|annex|appendix)\s+\d+(\.\d+)*"), "CROSS_REF").when(line.rlike(r"^\d+(\.\d+){0,2}\.\s"), "SECTION_BREAK")
+    refers = line.rlike(rf"(?:{'|'.join(lexicon.REFERRING)}) (?:Section|Article|Clause) \d+")
+    rule = rule.when(refers, "CROSS_REF").when(line.rlike(lexicon.SECTION_BREAK), "SECTION_BREAK")
     rule = rule.when(ends, "PARAGRAPH_END").when(weighty, "IMPORTANT_CLAUSE")
     told = lines.withColumn("_rule", rule).withColumn("_list", F.when(F.startswith("_rule", F.lit("LIST:")), F.substring("_rule", 6, 20)))
     # A clause start ends a list; other lines do not.
@@ -89,6 +91,38 @@ def sections(lines: DataFrame, starts: Column, by: str = "doc_id", keep_preamble
     return out if keep_preamble else out.where("section_no > 0")
 
 
+def line_positions(docs: DataFrame, by: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(by, line_no, position, total) of each line, inside the row that holds the text."""
+    rows = bound(F.split(text_col, "\n", -1), lambda a: F.transform(a, lambda x, i: F.struct(i.alias("line_no"), (i + 1).alias("position"), F.size(a).cast("long").alias("total"))))
+    return docs.select(by, F.inline(rows))
+
+
+def line_neighbours(docs: DataFrame, alike: Callable[[Column, Column], Column], by: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(by, line_no, similarity) of each line with the next one, inside the row that holds the text."""
+    rows = bound(F.split(text_col, "\n", -1), lambda a: F.zip_with(F.sequence(F.lit(0), F.size(a) - 1), F.zip_with(a, F.slice(a, 2, F.size(a)), lambda x, y: F.when(y.isNotNull(), alike(x, y))), lambda i, s: F.struct(i.alias("line_no"), s.alias("similarity"))))
+    return docs.select(by, F.inline(rows)).where("similarity is not null")
+
+
+def line_frames(docs: DataFrame, by: str = "doc_id", text_col: str = "text", reach: int = 5) -> DataFrame:
+    """(by, line_no, line, frame): lines that are not blank with up to ``reach`` such lines before and after, inside the row that holds the text."""
+    numbered = F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
+    around = lambda a, i: F.concat(F.slice(a["line"], F.greatest(i - (reach - 1), F.lit(1)), F.least(i, F.lit(reach))), F.slice(a["line"], i + 2, reach))
+    rows = bound(numbered, lambda a: F.transform(a, lambda s, i: F.struct(s["line_no"].alias("line_no"), s["line"].alias("line"), around(a, i).alias("frame"))))
+    return docs.select(by, F.inline(rows))
+
+
+def line_sections(docs: DataFrame, starts: Callable[[Column], Column], by: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(by, section_no, first_line, n_lines, content) as ``sections`` gives them, inside the row that holds the text."""
+
+    def cut(a: Column) -> Column:
+        heads = F.filter(F.transform(a, lambda x, i: F.when(starts(x) | (i == 0), i)), lambda i: i.isNotNull())
+        lead = F.when(starts(F.get(a, F.lit(0))), 1).otherwise(0)
+        part = lambda h: F.transform(h, lambda s, k: F.struct((k + lead).cast("long").alias("section_no"), s.alias("first_line"), (F.coalesce(F.get(h, k + 1), F.size(a)) - s).alias("n_lines")))
+        return F.transform(bound(heads, part), lambda p: F.struct(p["section_no"].alias("section_no"), p["first_line"].alias("first_line"), p["n_lines"].cast("long").alias("n_lines"), F.array_join(F.slice(a, p["first_line"] + 1, p["n_lines"]), "\n").alias("content")))
+
+    return docs.select(by, F.inline(bound(F.split(text_col, "\n", -1), cut)))
+
+
 def with_frame(lines: DataFrame, by: str = "doc_id", reach: int = 5) -> DataFrame:
     """Lines that are not blank, with up to ``reach`` lines before and after as ``frame``."""
     w = Window.partitionBy(by).orderBy("line_no")
@@ -172,19 +206,74 @@ def chunks(docs: DataFrame, size: int = 1000, id_col: str = "doc_id", text_col:
 
 
 def best_chunk(lines: DataFrame, chunks_of: DataFrame, by: str = "doc_id") -> DataFrame:
-    """For each lost line (by, line_no, line, frame) the chunk of its document with the highest score.
+    """For each lost line (by, line_no, line, frame) the chunk of its document with the highest score; a null position where there is no chunk.
 
-    Score: 3 for each framing line that the chunk holds and 0.2 for each common
-    word; the first chunk wins among equals.
+    Score: 3 for each framing line that the chunk holds, 0.2 for each common word,
+    and 3 for each clause the line names whose number is part of the chunk's
+    ``section``.  Where no chunk has more than 1: the first chunk that holds the
+    line's first number, else the one with most of its words.  The first chunk wins
+    among equals.
     """
-    both = lines.join(chunks_of.select(by, "position", "content"), by)
-    held = F.size(F.filter("frame", lambda x: (F.trim(x) != "") & F.contains("content", x)))
-    common = F.size(F.array_intersect(tokens(F.lower("line")), tokens(F.lower("content"))))
-    return both.withColumn("score", F.round(3 * held + 0.2 * common, 6)).groupBy(by, "line_no", "line").agg(F.max_by(F.struct("position", "score"), F.struct("score", -F.col("position"))).alias("best")).select(by, "line_no", "line", "best.position", "best.score")
+    chunks_of = chunks_of if "section" in chunks_of.columns else chunks_of.withColumn("section", F.lit(None).cast("string"))
+    both = lines.join(chunks_of.select(by, "position", "content", "section"), by, "left")
+    low, flat = F.lower("content"), squeezed(F.lower("content"))
+    held = F.size(F.filter("frame", lambda x: F.contains(flat, squeezed(F.lower(x)))))
+    common = F.size(F.array_intersect(tokens(F.lower("line")), tokens(low)))
+    clauses = F.regexp_extract_all(F.lower("line"), F.lit(r"clause\s+(\d+(\.\d+)?)"), F.lit(1))
+    named = F.coalesce(F.size(F.filter(clauses, lambda n: F.contains("section", n))), F.lit(0))
+    number = F.nullif(F.regexp_extract("line", r"\b(\d+(\.\d+)?)\b", 1), F.lit(""))
+    has = F.coalesce(F.contains(low, number), F.lit(False)).cast("int")
+    told = both.withColumn("score", F.round(3 * held + 0.2 * common + 3 * F.when(F.col("section").isNull(), 0).otherwise(named), 6)).withColumn("_has", has).withColumn("_common", common)
+    first = lambda *order: F.max_by(F.struct("position", "score"), F.struct(*order, -F.col("position")))
+    best = told.groupBy(by, "line_no", "line").agg(first("score").alias("best"), first("_has", F.when(F.col("_has") == 0, F.col("_common")).otherwise(0)).alias("fallback"))
+    chosen = F.when(F.col("best.score") > 1, F.col("best")).otherwise(F.col("fallback"))
+    return best.select(by, "line_no", "line", chosen["position"].alias("position"), chosen["score"].alias("score"))
 
 
 def restored(chunks_of: DataFrame, assigned: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Chunks with the legal lines assigned to them appended in order; titles stay out."""
-    legal = assigned.where(~is_title(F.col("line")))
+    """Chunks with the legal lines assigned to them appended in order; lines of documents without chunks open one at position -1."""
+    legal = assigned.where(is_legal(F.col("line"))).withColumn("position", F.coalesce("position", F.lit(-1)))
     extra = legal.groupBy(by, "position").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n\n").alias("extra"))
-    return chunks_of.join(extra, [by, "position"], "left").withColumn("content", F.concat_ws("\n\n", "content", "extra")).drop("extra")
+    return chunks_of.join(extra, [by, "position"], "full").withColumn("content", F.concat_ws("\n\n", "content", "extra")).drop("extra")
+
+
+def main_sections(lines: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Sections at headings of levels 1 and 2, ``N. Title`` lines and ``CAPITALS:`` lines; nothing is lost."""
+    return sections(lines, F.col("line").rlike(r"^#{1,2}\s+|^\d+\.\s+[A-Z]|^[A-Z][A-Z\s]+:$"), by)
+
+
+def numbered_sections(lines: DataFrame, by: str = "doc_id") -> DataFrame:
+    """``sections`` at lines that begin a section, with its number, title, hierarchy and parent; empty ones and what precedes the first go."""
+    out = sections(lines, section_start(F.col("line")).isNotNull(), by, keep_preamble=False).where(F.trim("content") != "")
+    start = section_start(F.substring_index("content", "\n", 1))
+    out = out.withColumn("number", start["number"]).withColumn("title", start["title"])
+    return out.withColumn("hierarchy", hierarchy(F.col("number"))).withColumn("parent", parent_section(F.col("number")))
+
+
+def without_title(content: Column, number: Column) -> Column:
+    """The content less the first line that is a title: it holds the section's number, looks like a heading, has no modal verb and at most seven words."""
+    lines = F.filter(F.split(content, "\n"), lambda x, i: (F.trim(x) != "") | (i >= 3))
+    bare = lambda x: F.trim(x)
+    loud = lambda x: F.startswith(bare(x), F.lit("#")) | F.startswith(bare(x), F.lit("**")) | F.endswith(bare(x), F.lit("**")) | ((F.upper(x) == x) & (F.lower(x) != x))
+    title = lambda x: F.contains(x, number) & loud(x) & ~x.rlike(r"\b(shall|may|must|will)\b") & (F.size(tokens(x)) <= 7)
+    at = F.array_position(F.transform(lines, title), True)
+    return F.trim(F.array_join(F.filter(lines, lambda x, i: (at == 0) | (i + 1 != at)), "\n"), F.lit("\n "))
+
+
+def hybrid_chunks(numbered: DataFrame, whole: int = 1000, by: str = "doc_id") -> DataFrame:
+    """(by, number, position, content): sections under ``whole`` characters as they are, others cut, with the section's number."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_long(t, whole))
+
+    small, large = numbered.where(F.length("content") < whole), numbered.where(F.length("content") >= whole)
+    as_is = small.select(by, "number", "section_no", F.lit(1).alias("position"), "content")
+    return as_is.unionByName(large.select(by, "number", "section_no", F.posexplode(cut(F.col("content"))).alias("position", "content")).withColumn("position", F.col("position") + 1))
+
+
+def with_metadata(chunks_of: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Chunks (by, position, content) without markers, with section number, chapter title, hierarchy, parent, clause type and whether they refer elsewhere."""
+    clean = chunks_of.withColumn("has_cross_references", F.contains("content", F.lit("[CROSS_REF]"))).withColumn("content", without_markers(F.col("content")))
+    out = clean.withColumn("section_number", chunk_section(F.col("content"))).withColumn("chapter_title", chapter_title(F.col("content")))
+    return out.withColumn("hierarchy", hierarchy(F.col("section_number"))).withColumn("parent_section", parent_section(F.col("section_number"))).withColumn("clause_type", clause_type(F.col("content")))

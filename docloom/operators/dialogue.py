@@ -108,3 +108,70 @@ def fitted_router(labelled: DataFrame, text_col: str = "question", label_col: st
 
 def with_features(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumns(question_features(F.col(text_col)))
+
+
+def corrected(text: Column, mode: Column, confidence: Column, rag: Column, llm: Column) -> Column:
+    """struct(mode, confidence) after the rules that correct a route (RAG, LLM); the first that fits decides."""
+    low = F.lower(text)
+    has = lambda *words: contains_any(low, list(words))
+    mixed = (rag >= 1) & (llm >= 1) & contains_any(low, lexicon.CREATION) & contains_any(low, lexicon.EXTRACTION)
+    joined = low.rlike(r"(?U)\b(et|puis)\b")
+    planned = has("liste") & has("plan", "stratégie", "mitigation") & has("pénalités", "montants")
+    dated = has("échéances", "dates clés", "date butoir", "calendrier")
+    compared = has("compare") & has("contrat")
+    translated = (mode == "LLM") & (F.startswith(low, F.lit("traduis")) | has("comment traduire")) & has("article", "clause", "responsabilité", "obligation", "pénalité")
+    told = lambda m, c: F.struct(F.lit(m).alias("mode"), F.lit(c).alias("confidence"))
+    same = F.struct(mode.alias("mode"), confidence.cast("double").alias("confidence"))
+    rules = [
+        (mixed & contains_any(low, lexicon.STRATEGY) & ~joined, same),
+        (mixed, told("RAG", 0.85)),
+        (planned & has("propose", "suggère", "établis", "élabore"), told("LLM", 0.85)),
+        (planned, told("RAG", 0.85)),
+        (dated & (has("rappelle", "notifie", "alerte") | ~has("évalue", "analyse", "impact")), told("RAG", 0.9)),
+        (compared & has("contrat a", "contrat b", "contrat c") & has("indique", "quelle"), told("RAG", 0.85)),
+        (compared & has("standard", "norme", "iso", "pratique"), told("LLM", 0.9)),
+        (translated & has("chiffrées", "précise"), told("RAG", 0.85)),
+        ((mode == "LLM") & has("montant maximal", "garantie de bonne exécution", "puissance délivrée"), told("RAG", 0.9)),
+        (has("synthèse") & has("technique") & has("liste") & has("documents"), told("RAG", 0.85)),
+    ]
+    return F.coalesce(*(F.when(fits, out) for fits, out in rules), same)
+
+
+def similar_history(found: DataFrame, threshold: float = 0.7, n: int = 5, order: str = "pair_id") -> DataFrame:
+    """Of the past pairs found for each query (query_id, similarity), those at or above the threshold, at most ``n``, most similar first."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), order)
+    return found.where(F.col("similarity") >= threshold).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
+
+
+def answered_from_history(queries: DataFrame, history: DataFrame, text_col: str = "text") -> DataFrame:
+    """Queries with ``source``: history where similar pairs exist and the text does not hold ``#force``, else retrieval."""
+    known = history.select("query_id").distinct().withColumn("_known", F.lit(True))
+    forced = F.contains(F.col(text_col), F.lit("#force"))
+    return queries.join(known, "query_id", "left").withColumn("source", F.when(F.col("_known").isNotNull() & ~forced, "history").otherwise("retrieval")).drop("_known")
+
+
+def feedback_accuracy(rows: DataFrame, right: Column) -> DataFrame:
+    """One row: the share of corrections that agreed, 0 without any."""
+    return rows.agg(F.coalesce(F.round(F.avg(right.cast("double")), 6), F.lit(0.0)).alias("accuracy"), F.count("*").alias("n"))
+
+
+def stratified(rows: DataFrame, label_col: str, id_col: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """``rows`` with ``part``: of each label the ``share`` with the least hashes is test, the rest train; reruns agree."""
+    w = Window.partitionBy(label_col).orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
+    return rows.withColumn("part", F.when(F.row_number().over(w) <= F.round(share * F.count("*").over(Window.partitionBy(label_col))), "test").otherwise("train"))
+
+
+def mode_order(mode: Column) -> Column:
+    """classic, graph, advanced, then the others."""
+    return F.when(mode == "classic", 0).when(mode == "graph", 1).when(mode == "advanced", 2).otherwise(3)
+
+
+def answer_lines(text: Column) -> Column:
+    """The text less lines that begin with = or - or hold five dashes."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike("^[=-]") & ~F.contains(x, F.lit("-----"))), "\n")
+
+
+def labelled_blocks(lines: DataFrame, label: Column, by: str = "doc_id") -> DataFrame:
+    """Lines with the last label seen before or at them (``label``: null on other lines)."""
+    w = Window.partitionBy(by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("label", F.last(label, ignorenulls=True).over(w))

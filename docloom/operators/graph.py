@@ -69,13 +69,48 @@ def expand(seeds: DataFrame, edges: DataFrame, limit: int = 2) -> DataFrame:
     return hop.select("seed", "target", "relation", (F.round(1 - F.col("weight"), 6) + F.lit(0.0)).alias("distance"))
 
 
+def related(edges: DataFrame, nodes: DataFrame, relation: str | None = None) -> DataFrame:
+    """Targets of each of the ``nodes`` (id), of one relation or of all; parallel edges stay."""
+    kept = edges if relation is None else edges.where(F.col("relation") == relation)
+    return kept.join(nodes.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+
+
+def last_nodes(nodes: DataFrame, order: str) -> DataFrame:
+    """Nodes (id, ...), each id once: the row that was added last."""
+    rest = [c for c in nodes.columns if c != "id"]
+    return nodes.groupBy("id").agg(F.max_by(F.struct(*rest), F.col(order)).alias("n")).select("id", "n.*")
+
+
+def relation_counts(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("relation").agg(F.count("*").alias("n"))
+
+
+def largest_communities(labels: DataFrame, preview: int = 5) -> DataFrame:
+    """(community, size, members, place): the first ids of each, largest communities first.
+
+    Ids are ranked inside hash parts first, so that a large community never meets in one task.
+    """
+    part = Window.partitionBy("community", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
+    few = labels.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= preview)
+    first = few.groupBy("community").agg(F.slice(F.array_sort(F.collect_list("id")), 1, preview).alias("members"))
+    sizes = labels.groupBy("community").agg(F.count("*").alias("size")).join(first, "community")
+    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "community")).cast("long"))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among ``nodes`` (id)."""
     ids = nodes.select("id").distinct()
     return edges.join(ids, F.col("source") == F.col("id"), "left_semi").join(ids, F.col("target") == F.col("id"), "left_semi")
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
+def checkpoints(df: DataFrame) -> None:
+    """Sets the session's checkpoint folder where the context has none; ``/tmp/checkpoints`` only where the session names none."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is reachable; nodes without edges are their own.
 
     Labels take the minimum of their neighbours' and of their label's label, each
@@ -83,35 +118,46 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
     """
     links = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
     links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    checkpoints(edges)
     links = links.checkpoint()
     labels = nodes.select("id", F.col("id").alias("component"))
-    for _ in range(rounds):
+    while True:
         near = links.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("component").alias("low"))
         step = labels.join(near, F.col("id") == F.col("u"), "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("next"))
         jump = step.select(F.col("id").alias("root"), F.col("next").alias("higher"))
         moved = step.join(jump, F.col("next") == F.col("root"), "left").select("id", "component", F.least("next", F.coalesce("higher", "next")).alias("next")).checkpoint()
         labels = moved.select("id", F.col("next").alias("component"))
         if moved.where("component != next").isEmpty():
-            break
-    return labels
+            return labels
 
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, community) by label propagation: each round a node takes the label of most weight around it, smaller labels first.
 
-    A deterministic stand-in for randomised modularity methods; it does not give their partitions.
+    Rounds go on, each checkpointed, until no label changes, or labels come back that
+    were there before (a cycle); then each node takes the smallest label that it has
+    in the cycle.  A deterministic stand-in for randomised modularity methods; it
+    does not give their partitions.
     """
+    checkpoints(edges)
     links = undirected(edges)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).checkpoint()
     labels = nodes.select("id", F.col("id").alias("community"))
-    for _ in range(rounds):
+    seen: dict[tuple, int] = {}
+    rounds: list[DataFrame] = []
+    while True:
         votes = both.join(labels, F.col("b") == F.col("id")).groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("a").agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("best"))
-        labels = labels.join(best, F.col("id") == F.col("a"), "left").select("id", F.coalesce("best", "community").alias("community"))
-    return labels
+        best = votes.groupBy("a").agg(F.max_by("community", F.struct(F.round("w", 6), -F.col("community"))).alias("best"))
+        labels = labels.join(best, F.col("id") == F.col("a"), "left").select("id", F.coalesce("best", "community").alias("community")).checkpoint()
+        state = tuple(labels.agg(F.bit_xor(F.xxhash64("id", "community")), F.sum("community")).first())
+        rounds.append(labels)
+        if state in seen:
+            cycle = rounds[seen[state] + 1 :]
+            out = cycle[0]
+            for more in cycle[1:]:
+                out = out.unionByName(more)
+            return out.groupBy("id").agg(F.min("community").alias("community"))
+        seen[state] = len(rounds) - 1
 
 
 def community_stats(labels: DataFrame, label_col: str = "community") -> DataFrame:

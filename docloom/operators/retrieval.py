@@ -117,3 +117,36 @@ def coverage(whole: Column, part: Column) -> Column:
     words = F.array_distinct(tokens(F.lower(whole)))
     return F.when(F.size(words) > 0, 100 * F.size(F.array_intersect(words, F.array_distinct(tokens(F.lower(part))))) / F.size(words)).otherwise(0.0)
 
+
+
+def result_counts(results: DataFrame) -> DataFrame:
+    """One row: results in all, summaries, results of the graph, dated ones, and originals (the rest)."""
+    counts = {c: F.count_if(F.coalesce(c, F.lit(False))) for c in ("is_summary", "is_graph", "is_dated")}
+    return results.agg(F.count("*").alias("total"), *(n.alias(c) for c, n in counts.items())).withColumn("originals", F.col("total") - F.col("is_summary") - F.col("is_graph"))
+
+
+def keyword_totals(keywords: DataFrame, col: str = "keywords") -> DataFrame:
+    """(keyword, n): how many records hold each keyword, from arrays."""
+    return keywords.select(F.explode(F.array_distinct(col)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
+
+
+def shares_date(stored: Column, asked: Column) -> Column:
+    """Whether a record's dates (joined by ``; ``) hold one of those asked for."""
+    return F.coalesce(F.arrays_overlap(F.split(stored, "; "), asked), F.lit(False))
+
+
+def keyword_relevant(keywords: Column, query: Column) -> Column:
+    """Whether the query holds one of a record's keywords, in any case."""
+    return F.coalesce(F.exists(keywords, lambda k: F.contains(F.lower(query), F.lower(k))), F.lit(False))
+
+
+def date_merged(results: DataFrame, n: int, id_col: str, by: str = "query_id") -> DataFrame:
+    """Results found by date first, then by distance (1 where there is none), at most 2 ``n`` of each query."""
+    w = Window.partitionBy(by).orderBy(F.desc("from_date_search"), F.coalesce("distance", F.lit(1.0)), id_col)
+    return results.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= 2 * n)
+
+
+def prompt(context: Column, question: Column) -> Column:
+    """What a model is asked; a fixed sentence where no context was found."""
+    found = F.coalesce(F.nullif(context, F.lit("")), F.lit("No relevant document was found."))
+    return F.concat(F.lit("Context:\n"), found, F.lit("\n\nQuestion: "), question)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import dates, lexicon, text
@@ -66,23 +66,24 @@ e AS (SELECT source, target, round(similarity, 6) AS weight, row_number() OVER (
 # Vectors
 
 
-def first_vector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def query_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each twentieth vector as a query, and all."""
     records = read_table(spark, sf_dir, "embeddings")
-    return records.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), records
+    return records.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), records
 
 
-@query("""SELECT b.vec_id, b.label, round(1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) + 0.0 AS distance
-FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY distance, b.vec_id LIMIT 10""")
+ASKED = """q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT query_id, vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) + 0.0 AS distance FROM q, embeddings)"""
+
+
+@query(f"""WITH {ASKED} SELECT query_id, vec_id, label, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, records = first_vector(spark, sf_dir)
-    return retrieval.distances(q, records).orderBy("distance", "vec_id").limit(10).select("vec_id", "label", "distance")
+    return retrieval.nearest(retrieval.distances(*query_vectors(spark, sf_dir)), 10, "vec_id").select("query_id", "vec_id", "label", "distance", "rank")
 
 
-@query("""WITH d AS (SELECT b.vec_id, round(1 - list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) + 0.0 AS distance
-  FROM embeddings a, embeddings b WHERE a.vec_id = 0)
-SELECT vec_id, distance FROM (SELECT *, bool_or(distance <= 0.4) OVER () AS near FROM d) WHERE distance <= 0.4 OR NOT near""")
+@query(f"""WITH {ASKED} SELECT query_id, vec_id, distance FROM (SELECT *, bool_or(distance <= 0.4) OVER (PARTITION BY query_id) AS near FROM d WHERE query_id != vec_id) WHERE distance <= 0.4 OR NOT near""")
 def cosine_threshold_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.within(retrieval.distances(*first_vector(spark, sf_dir)), 0.6).select("vec_id", "distance")
+    return retrieval.within(retrieval.distances(*query_vectors(spark, sf_dir)).where("query_id != vec_id"), 0.6).select("query_id", "vec_id", "distance")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
@@ -161,7 +162,7 @@ def derived_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SECTIONS}, p AS (SELECT *, string_split(section, '.') AS parts FROM s)
-SELECT id, CASE WHEN len(parts) = 2 THEN section ELSE array_to_string(list_transform(generate_series(1, len(parts)), lambda i: array_to_string(parts[1:i], '.')), ' -> ') END AS hierarchy,
+SELECT id, CASE WHEN len(parts) <= 2 THEN section ELSE array_to_string(list_transform(generate_series(1, len(parts)), lambda i: array_to_string(parts[1:i], '.')), ' -> ') END AS hierarchy,
   nullif(array_to_string(parts[1:len(parts) - 1], '.'), '') AS parent FROM p""")
 def section_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived_sections(spark, sf_dir).select("id", F.array_join(text.hierarchy(F.col("section")), " -> ").alias("hierarchy"), text.parent_section(F.col("section")).alias("parent"))
@@ -198,9 +199,8 @@ SELECT doc_id, line_no, CASE WHEN trim(line) = '' OR trim(next) = '' THEN 0.0
   WHEN length(line) < 10 OR length(next) < 10 THEN CASE WHEN line = next THEN 1.0 ELSE 0.0 END
   ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END::DOUBLE AS similarity FROM w""")
 def line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = solid_lines(spark, sf_dir).withColumn("next", F.lead("line").over(w)).where("next is not null")
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.round(text.line_similarity(F.col("line"), F.col("next")), 6).alias("similarity"))
+    rows = chunking.line_neighbours(read_table(spark, sf_dir, "documents"), text.line_similarity)
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH {LINES}, h AS (SELECT doc_id, array_to_string(list(line ORDER BY line_no) FILTER (line_no % 2 = 0), chr(10)) AS half FROM l GROUP BY doc_id),
@@ -249,7 +249,7 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LINES}, s AS (SELECT *, sum(CASE WHEN contains(line, ':') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM l)
 SELECT doc_id, section_no::BIGINT AS section_no, min(line_no)::BIGINT AS first_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS content FROM s GROUP BY ALL""")
 def section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunking.sections(solid_lines(spark, sf_dir), F.contains("line", F.lit(":")))
+    out = chunking.line_sections(read_table(spark, sf_dir, "documents"), lambda line: F.contains(line, F.lit(":")))
     return out.withColumn("first_line", F.col("first_line").cast("long"))
 
 
@@ -257,15 +257,17 @@ def section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, line_no, line, array_to_string(list_concat(coalesce(list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []),
   coalesce(list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), [])), ' / ') AS frame FROM s""")
 def context_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.with_frame(solid_lines(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", F.array_join("frame", " / ").alias("frame"))
+    return chunking.line_frames(read_table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", F.array_join("frame", " / ").alias("frame"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS position, count(*) OVER (PARTITION BY doc_id) AS total FROM l")
 def position_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chunking.with_position(solid_lines(spark, sf_dir), "doc_id", "line_no")
+    out = chunking.line_positions(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("position").cast("long").alias("position"), "total")
 
 
+TITLE_SQL = f"""(NOT regexp_matches(line, '^#{{1,6}}\\s+\\d+(\\.\\d+)*\\s+.*\\b(shall|may|must|will)\\b') AND (
+  regexp_matches(line, {quoted('|'.join(f'(?:{p})' for p in lexicon.TITLE_PATTERNS))}) OR (upper(line) = line AND lower(line) != line AND len({words_sql('line')}) <= 5)))"""
 NORM = "trim(regexp_replace(line, '\\s+', ' ', 'g'))"
 
 
@@ -281,9 +283,7 @@ def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.marked(solid_lines(spark, sf_dir)).select("doc_id", "line_no", "mark")
 
 
-@query(f"""WITH {LINES} SELECT doc_id, line_no, NOT regexp_matches(line, '^#{{1,6}}\\s+\\d+(\\.\\d+)*\\s+.*\\b(shall|may|must|will)\\b') AND (
-  regexp_matches(line, {quoted('|'.join(f'(?:{p})' for p in lexicon.TITLE_PATTERNS))}) OR (upper(line) = line AND lower(line) != line AND len({words_sql('line')}) <= 5)
-  OR regexp_matches(line, '^(\\d+\\.)+\\d*\\s+[A-Z][a-z]+.*$')) AS title FROM l""")
+@query(f"""WITH {LINES} SELECT doc_id, line_no, {TITLE_SQL} AS title FROM l""")
 def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solid_lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), text.is_title(F.col("line")).alias("title"))
 
@@ -351,12 +351,13 @@ def dedup_prefix100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").groupBy(F.substring("text", 1, 100).alias("head")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("""WITH r AS (SELECT doc_id AS ord, source AS query_id, substr(text, 1, 20) AS head, doc_id % 3 = 0 AS is_summary FROM documents),
-s AS (SELECT query_id, head, min(ord) AS f FROM r WHERE is_summary GROUP BY ALL)
-SELECT r.query_id, ord, is_summary FROM r LEFT JOIN s ON r.query_id = s.query_id AND r.head = s.head WHERE is_summary OR f IS NULL OR ord < f""")
+@query("""WITH r AS (SELECT doc_id AS ord, source AS query_id, sha256(text) AS whole, doc_id % 3 = 0 AS is_summary FROM documents),
+s AS (SELECT query_id, whole, min(ord) AS f FROM r WHERE is_summary GROUP BY ALL)
+SELECT r.query_id, ord, is_summary FROM r LEFT JOIN s ON r.query_id = s.query_id AND r.whole = s.whole WHERE is_summary OR f IS NULL OR ord < f""")
 def summary_original_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 20)
-    rows = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("query_id"), head.alias("content"), (F.col("doc_id") % 3 == 0).alias("is_summary"), head.alias("original_content"))
+    """Whole contents are compared, by their digests."""
+    whole = F.sha2("text", 256)
+    rows = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("query_id"), whole.alias("content"), (F.col("doc_id") % 3 == 0).alias("is_summary"), whole.alias("original_content"))
     return retrieval.without_summarised(rows).select("query_id", "ord", "is_summary")
 
 
@@ -397,7 +398,7 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SECTIONS}, p AS (SELECT *, string_split(section, '.') AS parts FROM s),
-f AS (SELECT id, section, CASE WHEN len(parts) = 2 THEN section ELSE array_to_string(list_transform(generate_series(1, len(parts)), lambda i: array_to_string(parts[1:i], '.')), ' -> ') END AS hierarchy,
+f AS (SELECT id, section, CASE WHEN len(parts) <= 2 THEN section ELSE array_to_string(list_transform(generate_series(1, len(parts)), lambda i: array_to_string(parts[1:i], '.')), ' -> ') END AS hierarchy,
   coalesce(nullif(array_to_string(parts[1:len(parts) - 1], '.'), ''), 'unknown') AS parent FROM p)
 SELECT id, hierarchy, parent, 'Section: ' || section || chr(10) || 'Hierarchy: ' || hierarchy || chr(10) || 'Document: atlas' || chr(10) || 'Chapter: unknown' || chr(10) || 'Position: ' || id || '/' || 55 || chr(10) || 'Content: ' || section AS body FROM f""")
 def record_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,7 +451,7 @@ def history_last8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counted(patterns: list[str]) -> str:
-    return " + ".join(f"CASE WHEN regexp_matches(text, {quoted('(?i)' + p)}) THEN 1 ELSE 0 END" for p in patterns)
+    return " + ".join(f"CASE WHEN regexp_matches(text, {re2(p)}) THEN 1 ELSE 0 END" for p in patterns)
 
 
 def flagged(words: list[str]) -> str:

@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from docloom.plans import legal  # noqa: F401  it adds to both tables
 from docloom.plans.catalog import ORACLES, QUERIES
 from tests.conftest import SF
 

@@ -24,4 +24,4 @@ def test_without_subpackage(tmp_path):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 10
+    assert __spark_entry__.entry(spark).count() == 250

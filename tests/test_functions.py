@@ -48,7 +48,7 @@ def test_columns(spark):
 
 
 def test_marks(spark):
-    lines = ["(a) x", "(b) y", "1) z", "- w", "ARTICLE 2 Scope", "(c) v"]
+    lines = ["(a) x", "(b) y", "1) z", "- w", "Article 2 Scope", "(c) v"]
     rows = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "doc_id long, line_no int, line string")
     got = [r.mark for r in chunking.marked(rows).orderBy("line_no").collect()]
     assert got == ["LIST_START:alpha", "LIST_ITEM:alpha", "LIST_START:numeric", "LIST_START:bullet", "CLAUSE_START", "LIST_START:alpha"]
