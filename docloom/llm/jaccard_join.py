@@ -9,8 +9,9 @@ puts frequent shingles last (a bounded list, counted in a sample of documents;
 the list moves work, not results), so passages that many documents share seldom
 bring strangers together.  A block holds the classes that share one such shingle.
 
-First round: in each block every class is held against its neighbour and the
-first one, which joins groups of near copies with few comparisons.  Second
+First round: in the blocks of its first few shingles every class is held against
+its neighbour and the first one, which joins groups of near copies with few
+comparisons.  Second
 round: blocks that still hold different components get a signature tree.  Its
 leaves are the classes' bitmaps (a bit for each shingle hash, as many bits as
 twice the set's size), in order of size; a node holds the OR of its bitmaps, its
@@ -48,8 +49,10 @@ FREQUENT, SAMPLE, FREQUENT_FROM = 200_000, 16, 8
 SALTS = 64
 #: Ids up to this many are broadcast to pick texts (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: A class's shingles with the least hashes, so many, that the first round looks at; the second one looks at all.
+EARLY = 8
 #: Tasks over which blocks of the same first class may be spread; pairs that a task remembers.
-DEALS, REMEMBERED = 3, 500_000
+DEALS, REMEMBERED = 24, 500_000
 FANOUT = 8
 PAIRS_AT_ONCE = 50_000
 MULTIPLIERS = np.random.default_rng(8).integers(1 << 62, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -307,13 +310,14 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     late = F.broadcast(spark.createDataFrame([(int(t),) for t in frequent], "token long").withColumn("late", F.lit(True)))
-    tokens = classes.select("cls", "n", F.explode("tokens").alias("token")).join(late, "token", "left")
+    tokens = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "token")).join(late, "token", "left")
     salt = F.when(F.col("late"), F.pmod(F.xxhash64("token", "cls"), F.lit(SALTS))).otherwise(0)
     w = Window.partitionBy("token", "salt").orderBy("n", "cls")
-    runs = tokens.withColumn("salt", salt).select("token", "cls", "n", "late", F.lag("cls").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"), F.lead("cls").over(w).alias("next"), F.first("cls").over(w).alias("head"), F.first("n").over(w).alias("head_n"))
+    runs = tokens.withColumn("salt", salt).select("token", "cls", "n", "late", (F.col("pos") < EARLY).alias("early"), F.lag("cls").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"), F.lead("cls").over(w).alias("next"), F.first("cls").over(w).alias("head"), F.first("n").over(w).alias("head_n"))
     runs = scratch.table(runs.where("prev is not null or next is not null or late"), "runs")
 
-    other = runs.where("prev is not null and 5 * prev_n >= 4 * n").select(F.col("prev").alias("x"), "cls").unionByName(runs.where("head != cls and 5 * head_n >= 4 * n").select(F.col("head").alias("x"), "cls"))
+    near = runs.where("early")
+    other = near.where("prev is not null and 5 * prev_n >= 4 * n").select(F.col("prev").alias("x"), "cls").unionByName(near.where("head != cls and 5 * head_n >= 4 * n").select(F.col("head").alias("x"), "cls"))
     first_round = other.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
     links = verified(first_round, classes, docs, scratch)
 
