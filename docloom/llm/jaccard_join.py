@@ -9,9 +9,9 @@ puts frequent shingles last (a bounded list, counted in a sample of documents;
 the list moves work, not results), so passages that many documents share seldom
 bring strangers together.  A block holds the classes that share one such shingle.
 
-First round: in the blocks of its first few shingles every class is held against
-its neighbour and the first one, which joins groups of near copies with few
-comparisons.  Second
+First round: in each block every class is held against its neighbour and the
+first one, which joins groups of near copies with few comparisons; first in the
+blocks of a few shingles, then in all for classes still apart.  Second
 round: blocks that still hold different components get a signature tree.  Its
 leaves are the classes' bitmaps (a bit for each shingle hash, as many bits as
 twice the set's size), in order of size; a node holds the OR of its bitmaps, its
@@ -49,10 +49,10 @@ FREQUENT, SAMPLE, FREQUENT_FROM = 200_000, 16, 8
 SALTS = 64
 #: Ids up to this many are broadcast to pick texts (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: A class's shingles with the least hashes, so many, that the first round looks at; the second one looks at all.
+#: Of a class's first shingles those with the least hashes, so many, that the first round looks at before it looks at all.
 EARLY = 8
 #: Tasks over which blocks of the same first class may be spread; pairs that a task remembers.
-DEALS, REMEMBERED = 24, 500_000
+DEALS, REMEMBERED = 4, 500_000
 FANOUT = 8
 PAIRS_AT_ONCE = 50_000
 MULTIPLIERS = np.random.default_rng(8).integers(1 << 62, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -313,17 +313,24 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     tokens = classes.select("cls", "n", F.posexplode("tokens").alias("pos", "token")).join(late, "token", "left")
     salt = F.when(F.col("late"), F.pmod(F.xxhash64("token", "cls"), F.lit(SALTS))).otherwise(0)
     w = Window.partitionBy("token", "salt").orderBy("n", "cls")
-    runs = tokens.withColumn("salt", salt).select("token", "cls", "n", "late", (F.col("pos") < EARLY).alias("early"), F.lag("cls").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"), F.lead("cls").over(w).alias("next"), F.first("cls").over(w).alias("head"), F.first("n").over(w).alias("head_n"))
-    runs = scratch.table(runs.where("prev is not null or next is not null or late"), "runs")
-
-    near = runs.where("early")
-    other = near.where("prev is not null and 5 * prev_n >= 4 * n").select(F.col("prev").alias("x"), "cls").unionByName(near.where("head != cls and 5 * head_n >= 4 * n").select(F.col("head").alias("x"), "cls"))
-    first_round = other.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
-    links = verified(first_round, classes, docs, scratch)
-
-    labels = scratch.table(connected_components(links, scratch), "labels")
-    label = F.coalesce("root", "cls")
-    members = scratch.table(runs.select("token", "cls", "n").join(labels, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", label.alias("label")), "members")
+    ordered = tokens.withColumn("salt", salt).withColumn("early", F.col("pos") < EARLY)
+    runs = ordered.select("token", "salt", "cls", "n", "late", "early", F.lag("cls").over(w).alias("prev"), F.lead("cls").over(w).alias("next"))
+    runs = scratch.table(runs.where("prev is not null or next is not null or late").select("token", "salt", "cls", "n", "early"), "runs")
+
+    def neighbours(rows: DataFrame) -> DataFrame:
+        """(a, b): classes next to each other in a run, or to its first one, whose labels differ and whose sizes allow a link."""
+        told = rows.select("cls", "n", "label", F.lag(F.struct("cls", "n", "label")).over(w).alias("prev"), F.first(F.struct("cls", "n", "label")).over(w).alias("head"))
+        both = told.select("cls", "n", "label", F.explode(F.array("prev", "head")).alias("x")).where("x is not null and x.label != label and 5 * x.n >= 4 * n")
+        return both.select(F.least("x.cls", "cls").alias("a"), F.greatest("x.cls", "cls").alias("b")).distinct()
+
+    def labelled(links: DataFrame) -> DataFrame:
+        """runs with the component of each class by these links."""
+        labels = scratch.table(connected_components(links, scratch), "labels")
+        return scratch.table(runs.join(labels, F.col("cls") == F.col("node"), "left").select("token", "salt", "cls", "n", "early", F.coalesce("root", "cls").alias("label")), "members")
+
+    early = verified(neighbours(runs.where("early").withColumn("label", F.col("cls"))), classes, docs, scratch)
+    links = early.unionByName(verified(neighbours(labelled(early)), classes, docs, scratch))
+    members = labelled(links)
     mixed = members.groupBy("token").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("cls")).alias("list"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("cls").alias("head")).where("low != high")
     # Shingles with the same classes make the same block; one of them is enough.
     chosen = mixed.groupBy("many", "list", "head").agg(F.min("token").alias("token")).select("token", F.xxhash64("head", F.pmod("token", F.lit(DEALS))).alias("deal"))
