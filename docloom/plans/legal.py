@@ -52,7 +52,7 @@ def section_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A chunk for each order: a heading, a date line and prose.
-CHUNK = """concat(CASE o_orderkey % 5 WHEN 0 THEN concat('Article ', o_custkey % 9, '.', o_orderkey % 4, ' Of prices') WHEN 1 THEN concat(o_custkey % 9, '. Scope of the work') WHEN 2 THEN concat('(', 'a', ') delivery to the buyer')
+CHUNK = """concat(CASE o_orderkey % 5 WHEN 0 THEN concat('Article ', o_custkey % 9, '.', o_orderkey % 4, ' Of prices') WHEN 1 THEN concat(1 + o_custkey % 9, '. Scope of the work') WHEN 2 THEN concat('(', 'a', ') delivery to the buyer')
 WHEN 3 THEN 'GENERAL TERMS AND PAYMENT' ELSE 'short' END, chr(10), 'the buyer is number ', o_custkey, chr(10), lower(o_orderpriority))"""
 CHUNKED = f"c AS (SELECT o_orderkey AS id, o_custkey, o_orderpriority, {CHUNK} AS chunk FROM orders)"
 
@@ -62,7 +62,7 @@ def made_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CHUNKED} SELECT id, CASE id % 5 WHEN 0 THEN (o_custkey % 9) || '.' || (id % 4) WHEN 2 THEN '(a)' WHEN 1 THEN substr(o_orderpriority, 1, 1) ELSE substr(o_orderpriority, 1, 1) END AS number,
-CASE id % 5 WHEN 0 THEN 'Article ' || (o_custkey % 9) || '.' || (id % 4) || ' Of prices' WHEN 1 THEN (o_custkey % 9) || '. Scope of the work' WHEN 3 THEN 'GENERAL TERMS AND PAYMENT' WHEN 2 THEN '(a) delivery to the buyer' ELSE 'short' END AS chapter FROM c""")
+CASE id % 5 WHEN 0 THEN 'Article ' || (o_custkey % 9) || '.' || (id % 4) || ' Of prices' WHEN 1 THEN (1 + o_custkey % 9) || '. Scope of the work' WHEN 3 THEN 'GENERAL TERMS AND PAYMENT' WHEN 2 THEN '(a) delivery to the buyer' ELSE 'short' END AS chapter FROM c""")
 def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where no article or item names the section, a line that begins with a number does."""
     content = F.when((F.col("id") % 5).isin(0, 2), F.col("chunk")).otherwise(F.regexp_replace("chunk", r"\n(\d)-", "\n$1 "))
