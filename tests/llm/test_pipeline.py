@@ -78,3 +78,16 @@ def test_mix_and_encoding(stages):
 def test_run(spark, stages):
     key = lambda df: sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[5])
+
+
+def test_stages_bear_empty_tables_nulls_and_clashing_names(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, digest int, size string, n int, body string"
+    odd = [(k, t, None, s, None, "r", 1, "s", 2, "b") for k, (t, s) in enumerate([(None, None), ("", "a"), ("word " * 30, "a"), (" ".join(f"w{i}" for i in range(80)), None), (" ".join(f"w{i}" for i in range(80)), "b")])]
+    odd += [(None, " ".join(f"v{i}" for i in range(60)), "en", "a", 0, None, None, None, None, None)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "BPE":
+                assert out.columns == docs.columns
+            assert out.count() <= 2 * len(rows)
