@@ -44,7 +44,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
-        paths, self.paths = self.paths, []
+        self.remove(*self.paths)
+
+    def remove(self, *paths: str) -> None:
+        """Deletes tables that nothing will read any more."""
+        self.paths = [p for p in self.paths if p not in paths]
         if not paths or self.spark.sparkContext._jsc is None:
             return
         jvm = self.spark.sparkContext._jvm
