@@ -28,14 +28,9 @@ MOST_LEVELS = 4
 
 def widths_for(values: np.ndarray) -> list[int]:
     """Chunk widths with the fewest bits for these numbers, in at most ``MOST_LEVELS`` levels."""
-    lengths = np.zeros(65, np.int64)
-    size = np.zeros(len(values), np.int64)
-    left = values.astype(np.uint64)
-    while left.any():
-        size += left > 0
-        left >>= np.uint64(1)
-    np.add.at(lengths, size, 1)
-    top = max(1, int(size.max(initial=0)))
+    size = np.frexp(values.astype(np.float64))[1]  # bit lengths, exact below 2^53
+    lengths = np.bincount(size, minlength=1)
+    top = max(1, len(lengths) - 1)
     longer = [int(lengths[b + 1 :].sum()) for b in range(top + 1)]  # numbers that need more than b bits
     best = None
     for n in range(MOST_LEVELS):
@@ -53,16 +48,19 @@ def padded(data: bytes) -> bytes:
 
 def packed(values: np.ndarray, width: int) -> bytes:
     """Numbers of ``width`` bits one after another, low bits first, with a spare word at the end."""
-    words = np.zeros(-(-len(values) * width // 64) + 1, np.uint64)
-    at = np.arange(len(values), dtype=np.uint64) * np.uint64(width)
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    values = values.astype(np.uint64)
-    # Numbers that begin in one word have distinct bits, so sums over them are unions.
-    for part, where in ((values << shift, word), (np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0)), word + 1)):
-        if len(where):
-            first = np.flatnonzero(np.diff(where, prepend=-1))
-            words[where[first]] |= np.bitwise_or.reduceat(part, first)
-    return words.astype("<u8").tobytes()
+    size = -(-len(values) * width // 64) + 1
+    groups = np.zeros((-(-len(values) // 64), 64), np.uint64)
+    groups.ravel()[: len(values)] = values
+    words = np.zeros((len(groups), width + 1), np.uint64)
+    for j in range(64):  # 64 numbers fill ``width`` words, so the j-th of each such group lies alike
+        word, shift = divmod(j * width, 64)
+        words[:, word] |= groups[:, j] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, word + 1] |= groups[:, j] >> np.uint64(64 - shift)
+    out = np.zeros(size, np.uint64)
+    flat = words[:, :width].ravel()[: size - 1]
+    out[: len(flat)] = flat
+    return out.astype("<u8").tobytes()
 
 
 def unpacked(words: np.ndarray, width: int, start: int, stop: int) -> np.ndarray:
@@ -76,11 +74,11 @@ def unpacked(words: np.ndarray, width: int, start: int, stop: int) -> np.ndarray
 def encoded(ids: np.ndarray, first: np.ndarray, docs: list[int | None]) -> bytes:
     """The file of some documents: all their tokens, where each document's begin (and the end), and their ids."""
     widths, parts = widths_for(ids), []
-    levels, rest = [], ids.astype(np.uint64)
+    levels, rest = [], ids
     for k, width in enumerate(widths):
         levels.append((width, len(rest)))
-        parts.append(packed(rest & np.uint64((1 << width) - 1), width))
-        more = rest >> np.uint64(width)
+        parts.append(packed(rest & rest.dtype.type((1 << width) - 1), width))
+        more = rest >> rest.dtype.type(width)
         if k + 1 < len(widths):
             on = more > 0
             bits = np.packbits(on, bitorder="little").tobytes()

@@ -19,6 +19,7 @@ table gives an empty table and no file.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.addressable import Tokens, encoded
-from docloom.llm.shared import Scratch, slices, table
+from docloom.llm.shared import Scratch, table
 
 END = 1
 #: Tokens of one file, and of one slice that is read at a time; a longer document makes a larger file.
 FILE_TOKENS, SLICE_TOKENS = 8_000_000, 2_000_000
+#: Bytes of text that are cut into words at one time, and new words that go to the library as one text.
+SLICE_BYTES, RUN, BLOCK = 16_000_000, 64, 1 << 16
 #: Words that a worker keeps in one of two generations, and the longest of them.
 GENERATION, LONGEST = 400_000, 64
 FILES = "part int, file int, path string, docs long, tokens long"
@@ -55,48 +58,74 @@ class Words:
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        suffix = json.loads(model)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab_size(), *vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.marks = dict(zip(".,;:!?", self.singles(list(".,;:!?")), strict=True))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.generation = generation
 
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each of these distinct words."""
-        out = []
-        new = []
+    def singles(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def new(self, words: list[str]) -> list[bytes]:
+        """Ids of words as the library gives them.
+
+        A word of letters alone (and as many when lower-cased) is one unit of the tokenizer, and a mark after it
+        begins another.  So such words go to the library many at a time, without their mark, and are told apart
+        by the ids that end a unit; all others go one by one.
+        """
+        out: list[bytes | None] = [None] * len(words)
+        plain, stems = [], []
         for k, w in enumerate(words):
-            hit = self.young.get(w)
-            if hit is None and (hit := self.old.get(w)) is None:
-                new.append(k)
-            out.append(hit)
-        for k, e in zip(new, self.tokenizer.encode_batch_fast([words[k] for k in new], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, np.uint32)
-        for w, ids in zip(words, out, strict=True):
-            if len(w) <= LONGEST:
-                self.young[w] = ids
-        if len(self.young) > self.generation:
-            self.old, self.young = self.young, {}
+            stem = w[:-1] if w[-1:] in self.marks else w
+            if stem.isalpha() and len(stem.lower()) == len(stem):
+                plain.append(k)
+                stems.append(stem)
+        for i in range(0, len(plain) if self.ends.any() else 0, BLOCK):
+            texts = [" ".join(stems[j : j + RUN]) for j in range(i, min(i + BLOCK, len(stems)), RUN)]
+            for j, e in zip(range(i, len(stems), RUN), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=False):
+                run = plain[j : j + RUN]
+                ids = np.array(e.ids, np.uint32)
+                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(cuts) == len(run):
+                    data, begin = ids.tobytes(), 0
+                    for k, end in zip(run, cuts.tolist(), strict=True):
+                        out[k], begin = data[begin:end] + self.marks.get(words[k][-1], b""), end
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self.singles([words[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these distinct words, as unsigned 32-bit integers."""
+        young, old = self.young, self.old
+        out = list(map(young.get, words))
+        lacking = [k for k, ids in enumerate(out) if ids is None]
+        for k in lacking:
+            out[k] = old.get(words[k])
+        new = [k for k in lacking if out[k] is None]
+        for k, ids in zip(new, self.new([words[k] for k in new]), strict=True):
+            out[k] = ids
+        young.update((words[k], out[k]) for k in lacking if len(words[k]) <= LONGEST)
+        if len(young) > self.generation:
+            self.old, self.young = young, {}
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with the end id; how many each text has)."""
-        spaced = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
-        split = pc.split_pattern(spaced, " ")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        ids = self.ids(coded.dictionary.to_pylist())
-        width = np.array([len(x) for x in ids] or [0], np.int64)
-        pool, begins = np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate([[0], width.cumsum()[:-1]])
-        codes = coded.indices.to_numpy(zero_copy_only=False)
+        ids = [*self.ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint32(END).tobytes()]
+        width = np.array([len(x) // 4 for x in ids], np.int64)
+        pool = pa.LargeListArray.from_arrays(np.concatenate([[0], width.cumsum()]), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
         ends = np.diff(split.offsets.to_numpy(zero_copy_only=False)).cumsum()
-        placed = np.concatenate([[0], width[codes].cumsum()])
-        sizes = np.diff(placed[ends], prepend=0) + 1
-        total = width[codes]
-        # Each word's ids are copied from the pool; the end ids go between the texts.
-        source = np.arange(placed[-1]) + np.repeat(begins[codes] - placed[:-1], total)
-        out = np.full(int(sizes.sum()), END, np.uint32)
-        body = np.ones(len(out), bool)
-        body[sizes.cumsum() - 1] = False
-        out[body] = pool[source]
-        return out, sizes
+        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(ids) - 1)
+        placed = width[codes].cumsum()
+        sizes = np.diff(placed[ends + np.arange(len(ends))], prepend=0)
+        return pool.take(pa.array(codes)).flatten().to_numpy(), sizes
 
 
 @lru_cache(maxsize=2)
@@ -128,9 +157,14 @@ def written(batches: Iterator[pa.RecordBatch], model: str, root: str, file_token
 
     for batch in batches:
         keys = batch.column("id").to_pylist()
-        for start, texts in slices(batch, "text"):
-            got, size = words.encode(texts)
-            docs += keys[start : start + len(texts)]
+        texts = batch.column("text")
+        whole = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+        start = 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(whole, (whole[start - 1] if start else 0) + SLICE_BYTES, "right")))
+            got, size = words.encode(texts.slice(start, stop - start).cast(pa.large_string()))
+            docs += keys[start:stop]
+            start = stop
             ids.append(got)
             sizes.append(size)
             n += len(got)
@@ -192,7 +226,7 @@ def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     scratch = scratch or Scratch(docs.sparkSession)
     files = write_tokens(docs, tokenizer, scratch, id_col, text_col, file_tokens)
     root = scratch.root
-    listed = with_starts(files).select("path", "start").repartition("path")
+    listed = with_starts(files).select("path", "start").repartition(max(1, files.count()), "path")
     return listed.mapInArrow(lambda b: read_back(b, root, slice_tokens), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
