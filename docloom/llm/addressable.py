@@ -24,13 +24,16 @@ HEAD = np.dtype([("magic", "S4"), ("version", "<u4"), ("docs", "<u8"), ("tokens"
 LEVEL = np.dtype([("width", "<u8"), ("length", "<u8")])
 RANK_BITS = 512
 MOST_LEVELS = 4
+#: Numbers that are packed at one time, a multiple of 64.
+BLOCK = 1 << 19
 
 
 def widths_for(values: np.ndarray) -> list[int]:
     """Chunk widths with the fewest bits for these numbers, in at most ``MOST_LEVELS`` levels."""
-    size = np.frexp(values.astype(np.float64))[1]  # bit lengths, exact below 2^53
-    lengths = np.bincount(size, minlength=1)
-    top = max(1, len(lengths) - 1)
+    lengths = np.zeros(65, np.int64)
+    for i in range(0, len(values), BLOCK):  # bit lengths, exact below 2^53
+        lengths += np.bincount(np.frexp(values[i : i + BLOCK].astype(np.float64))[1], minlength=65)
+    top = max(1, int(np.flatnonzero(lengths).max(initial=0)))
     longer = [int(lengths[b + 1 :].sum()) for b in range(top + 1)]  # numbers that need more than b bits
     best = None
     for n in range(MOST_LEVELS):
@@ -48,7 +51,11 @@ def padded(data: bytes) -> bytes:
 
 def packed(values: np.ndarray, width: int) -> bytes:
     """Numbers of ``width`` bits one after another, low bits first, with a spare word at the end."""
-    size = -(-len(values) * width // 64) + 1
+    parts = [_packed(values[i : i + BLOCK], width) for i in range(0, len(values), BLOCK)]
+    return b"".join(parts) + bytes(8)
+
+
+def _packed(values: np.ndarray, width: int) -> bytes:
     groups = np.zeros((-(-len(values) // 64), 64), np.uint64)
     groups.ravel()[: len(values)] = values
     words = np.zeros((len(groups), width + 1), np.uint64)
@@ -57,10 +64,7 @@ def packed(values: np.ndarray, width: int) -> bytes:
         words[:, word] |= groups[:, j] << np.uint64(shift)
         if shift + width > 64:
             words[:, word + 1] |= groups[:, j] >> np.uint64(64 - shift)
-    out = np.zeros(size, np.uint64)
-    flat = words[:, :width].ravel()[: size - 1]
-    out[: len(flat)] = flat
-    return out.astype("<u8").tobytes()
+    return words[:, :width].ravel()[: -(-len(values) * width // 64)].astype("<u8").tobytes()
 
 
 def unpacked(words: np.ndarray, width: int, start: int, stop: int) -> np.ndarray:

@@ -40,9 +40,9 @@ END = 1
 #: Tokens of one file, and of one slice that is read at a time; a longer document makes a larger file.
 FILE_TOKENS, SLICE_TOKENS = 8_000_000, 2_000_000
 #: Bytes of text that are cut into words at one time, and new words that go to the library as one text.
-SLICE_BYTES, RUN, BLOCK = 16_000_000, 64, 1 << 16
+SLICE_BYTES, RUN, BLOCK = 12_000_000, 64, 1 << 16
 #: Words that a worker keeps in one of two generations, and the longest of them.
-GENERATION, LONGEST = 400_000, 64
+GENERATION, LONGEST = 300_000, 64
 FILES = "part int, file int, path string, docs long, tokens long"
 
 
