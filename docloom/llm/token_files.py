@@ -139,7 +139,7 @@ def opened(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root)
 
 
-def written(batches: Iterator[pa.RecordBatch], model: str, root: str, file_tokens: int) -> Iterator[pa.RecordBatch]:
+def written(batches: Iterator[pa.RecordBatch], model: str, root: str, file_tokens: int, slice_bytes: int) -> Iterator[pa.RecordBatch]:
     """Files of sorted rows (id, text); a row for each file."""
     context = TaskContext.get()
     part, attempt = (context.partitionId(), context.taskAttemptId()) if context else (0, 0)
@@ -161,7 +161,7 @@ def written(batches: Iterator[pa.RecordBatch], model: str, root: str, file_token
         whole = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
         start = 0
         while start < len(texts):
-            stop = max(start + 1, int(np.searchsorted(whole, (whole[start - 1] if start else 0) + SLICE_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(whole, (whole[start - 1] if start else 0) + slice_bytes, "right")))
             got, size = words.encode(texts.slice(start, stop - start).cast(pa.large_string()))
             docs += keys[start:stop]
             start = stop
@@ -175,7 +175,7 @@ def written(batches: Iterator[pa.RecordBatch], model: str, root: str, file_token
         yield flush()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Writes the files; gives a stored table (part, file, path, docs, tokens) of them, in order of (part, file).
 
     ``tokenizer`` is the place of a tokenizer file on the driver; tasks get its content, a few megabytes, as a broadcast.
@@ -186,7 +186,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, scratch: Scratch, id_col: str
     order = [F.asc_nulls_first("id"), F.asc("digest")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("id", "text")
     root = scratch.path("token-files")
-    return scratch.table(dealt.mapInArrow(lambda b: written(b, model.value, root, file_tokens), FILES), "token-file-list")
+    return scratch.table(dealt.mapInArrow(lambda b: written(b, model.value, root, file_tokens, slice_bytes), FILES), "token-file-list")
 
 
 def with_starts(files: DataFrame) -> DataFrame:
@@ -221,10 +221,10 @@ def read_back(batches: Iterator[pa.RecordBatch], root: str, slice_tokens: int) -
                     low = high
 
 
-def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, file_tokens: int = FILE_TOKENS, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
+def token_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, file_tokens: int = FILE_TOKENS, slice_tokens: int = SLICE_TOKENS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read from files that were written from ``docs``."""
     scratch = scratch or Scratch(docs.sparkSession)
-    files = write_tokens(docs, tokenizer, scratch, id_col, text_col, file_tokens)
+    files = write_tokens(docs, tokenizer, scratch, id_col, text_col, file_tokens, slice_bytes)
     root = scratch.root
     listed = with_starts(files).select("path", "start").repartition(max(1, files.count()), "path")
     return listed.mapInArrow(lambda b: read_back(b, root, slice_tokens), "doc_id long, start long, n_tokens long, ids_crc32 long")
