@@ -68,11 +68,13 @@ def month_of(date: Column) -> Column:
 
 
 def partial_match(a: Column, b: Column, strict_year: bool = True) -> Column:
-    """Whether two dates can be the same: equal years (or centuries, not ``strict_year``), and equal months where both name one.
+    """Whether two dates can be the same: equal years (or centuries, not ``strict_year``), equal months where both name one, and a number from 1 to 31 in common where both have such.
 
     Reads ``D/M/Y``, ``Y-M-D``, ``M/Y``, ``Y`` and month names in English or French.
     """
     year = lambda d: F.regexp_extract(d, r"((?:19|20)[0-9]{2})" if strict_year else r"(19|20)[0-9]{2}", 1)
     years = (year(a) == "") | (year(b) == "") | (year(a) == year(b))
     months = month_of(a).isNull() | month_of(b).isNull() | (month_of(a) == month_of(b))
-    return years & months
+    numbers = lambda d: F.regexp_extract_all(d, F.lit(r"\b(0?[1-9]|[12][0-9]|3[01])(?:st|nd|rd|th)?\b"), F.lit(1))
+    days = (F.size(numbers(a)) == 0) | (F.size(numbers(b)) == 0) | F.arrays_overlap(numbers(a), numbers(b))
+    return years & months & days

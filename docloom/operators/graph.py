@@ -2,52 +2,22 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import parent_section
+from docloom.operators.vectors import VectorIndex, nearest, search_index
 
-#: Rows of one block of the similarity join, on average.
-BLOCK_ROWS = 1000
 
+def similar_edges(records: DataFrame, threshold: float, n: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", index: VectorIndex | None = None) -> DataFrame:
+    """Edges ``similar_to`` from each record to the n most similar others above ``threshold``, weighted by similarity, larger ids first among equals.
 
-def similar_pairs(records: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(source, target, similarity) of all ordered pairs with a cosine above ``threshold``.
-
-    Records are dealt to blocks by hash; a task holds two blocks and multiplies
-    them as matrices, so it emits only pairs above the threshold.
+    Exact without an index, which compares each block of records with each other; with one, each record looks in the lists nearest to it.
     """
-    blocks = max(1, -(-records.count() // BLOCK_ROWS))
-    own = F.pmod(F.xxhash64(id_col), F.lit(blocks))
-    base = records.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), own.alias("block")).where("id is not null and vector is not null")
-    meets = F.sequence(F.lit(0), F.lit(blocks - 1))
-    rows = base.withColumn("other", F.explode(meets)).select("id", "vector", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        a, b = frame[frame.block == i], frame[frame.block == j]
-        if a.empty or b.empty:
-            return pd.DataFrame({"source": [], "target": [], "similarity": []})
-        x, y = (np.stack(f.vector.to_numpy()).astype(float) for f in (a, b))
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-        cos = x @ y.T
-        p, q = np.nonzero(cos > threshold)
-        out = pd.DataFrame({"source": a.id.to_numpy()[p], "target": b.id.to_numpy()[q], "similarity": cos[p, q]})
-        if i != j:
-            out = pd.concat([out, out.rename(columns={"source": "target", "target": "source"})])
-        return out[out.source != out.target]
-
-    return rows.groupBy("i", "j").applyInPandas(run, "source long, target long, similarity double")
-
-
-def top_edges(pairs: DataFrame, n: int = 3) -> DataFrame:
-    """The n most similar targets of each source, larger ids first among equals: edges ``similar_to`` weighted by similarity."""
-    w = Window.partitionBy("source").orderBy(F.desc("weight"), F.desc("target"))
-    edges = pairs.select("source", "target", F.lit("similar_to").alias("relation"), F.round("similarity", 6).alias("weight"))
-    return edges.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
+    asked = records.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("query_vector"))
+    options = {"above": threshold, "others": True, "larger_first": True}
+    found = search_index(index, asked, n, **options) if index else nearest(asked, records, n, id_col, vector_col, **options)
+    return found.select(F.col("query_id").alias("source"), F.col("id").alias("target"), F.lit("similar_to").alias("relation"), F.col("similarity").alias("weight"), "rank")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

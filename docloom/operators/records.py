@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import contains_any, tokens
-from docloom.operators.retrieval import distances, is_date_query, without_summarised
+from docloom.operators.retrieval import is_date_query, without_summarised
+from docloom.operators.vectors import nearest
 
 # Words that make a chunk one to keep whole.
 IMPORTANT = [
@@ -53,17 +54,21 @@ def first_holder(results: DataFrame, nodes: DataFrame, by: list[str]) -> DataFra
     return both.groupBy(*by, "result_id").agg(F.min_by("node_id", "ord").alias("node_id"))
 
 
-def search(queries: DataFrame, records: DataFrame, n: int, id_col: str, date_col: str | None = None) -> DataFrame:
-    """For each query of a stated set (query_id, query_vector, query_text): its n nearest records.
+def search(queries: DataFrame, records: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "embedding", date_col: str | None = None) -> DataFrame:
+    """For each query of a stated set (query_id, query_vector, query_text): the n nearest records among 2n that are fetched.
 
-    A question about dates takes records with a date first; originals that follow
-    their summary (is_summary, original_content) are dropped before the cut.
+    A question about dates fetches 2n with a date as well and takes these first; originals
+    that follow their summary (is_summary, original_content) are dropped before the cut.
     """
-    found = distances(queries, records).join(F.broadcast(queries.select("query_id", is_date_query(F.col("query_text")).alias("asks_date"))), "query_id")
-    dated = F.col(date_col).isNotNull() if date_col else F.lit(False)
-    order = [(F.col("asks_date") & dated).desc(), F.col("distance"), F.col(id_col)]
-    w = Window.partitionBy("query_id").orderBy(*order)
-    ranked = found.withColumn("ord", F.row_number().over(w))
+    asks = queries.select("query_id", F.coalesce(is_date_query(F.col("query_text")), F.lit(False)).alias("_asks"))
+    found = nearest(queries, records, 2 * n, id_col, vector_col).select("query_id", F.col("id").alias(id_col), "distance", F.lit(1).alias("_branch"))
+    if date_col:
+        about = queries.join(asks.where("_asks"), "query_id", "left_semi")
+        dated = nearest(about, records.where(F.col(date_col).isNotNull()), 2 * n, id_col, vector_col)
+        found = dated.select("query_id", F.col("id").alias(id_col), "distance", F.lit(0).alias("_branch")).unionByName(found)
+    once = found.groupBy("query_id", id_col).agg(F.min_by(F.struct("distance", "_branch"), "_branch").alias("f")).select("query_id", id_col, "f.*")
+    w = Window.partitionBy("query_id").orderBy("_branch", "distance", id_col)
+    ranked = once.withColumn("ord", F.row_number().over(w)).drop("_branch").join(records, id_col)
     if "is_summary" in records.columns:
         ranked = without_summarised(ranked)
     last = Window.partitionBy("query_id").orderBy("ord")

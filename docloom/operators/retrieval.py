@@ -10,26 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.lexicon import DATE_WORDS
-from docloom.functions.text import contains_any, cosine, sigmoid, tokens
-
-
-def distances(queries: DataFrame, records: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    """Each record with its cosine distance to each query of a stated set (query_id, query_vector), which is broadcast."""
-    both = records.join(F.broadcast(queries.select("query_id", "query_vector")))
-    return both.withColumn("distance", F.round(1 - cosine(F.col(vector_col), F.col("query_vector")), 6) + F.lit(0.0)).drop("query_vector")
-
-
-def nearest(found: DataFrame, k: int, id_col: str, by: str = "query_id") -> DataFrame:
-    """The k nearest records of each query; ties by id."""
-    w = Window.partitionBy(by).orderBy("distance", id_col)
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+from docloom.functions.text import contains_any, sigmoid, tokens
 
 
 def within(found: DataFrame, threshold: float, by: str = "query_id") -> DataFrame:
-    """Records at most ``1 - threshold`` away; all of a query's records where none is so near."""
+    """Of the few records that were fetched for each query those at most ``1 - threshold`` away; all of them where none is so near."""
     near = F.col("distance") <= 1 - threshold
-    any_near = found.groupBy(by).agg(F.max(near).alias("_any"))
-    return found.join(F.broadcast(any_near), by).where(near | ~F.col("_any")).drop("_any")
+    return found.withColumn("_any", F.max(near).over(Window.partitionBy(by))).where(near | ~F.col("_any")).drop("_any")
 
 
 def is_date_query(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import dates, lexicon, text
-from docloom.operators import chunking, dialogue, graph, records, retrieval
+from docloom.operators import chunking, dialogue, graph, records, retrieval, vectors
 from docloom.sources.tables import names_document, read_table, without_document
 from docloom.streaming import metrics
 
@@ -78,12 +78,24 @@ d AS (SELECT query_id, vec_id, label, round(1 - list_cosine_similarity(embedding
 
 @query(f"""WITH {ASKED} SELECT query_id, vec_id, label, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.nearest(retrieval.distances(*query_vectors(spark, sf_dir)), 10, "vec_id").select("query_id", "vec_id", "label", "distance", "rank")
+    asked, records = query_vectors(spark, sf_dir)
+    found = vectors.nearest(asked, records, 10).withColumnRenamed("id", "vec_id")
+    return found.join(records.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", "distance", "rank")
 
 
-@query(f"""WITH {ASKED} SELECT query_id, vec_id, distance FROM (SELECT *, bool_or(distance <= 0.4) OVER (PARTITION BY query_id) AS near FROM d WHERE query_id != vec_id) WHERE distance <= 0.4 OR NOT near""")
+@query(f"""WITH {ASKED}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d WHERE query_id != vec_id)
+SELECT query_id, vec_id, distance FROM (SELECT *, bool_or(distance <= 0.63) OVER (PARTITION BY query_id) AS near FROM f WHERE rank <= 5) WHERE distance <= 0.63 OR NOT near""")
 def cosine_threshold_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.within(retrieval.distances(*query_vectors(spark, sf_dir)).where("query_id != vec_id"), 0.6).select("query_id", "vec_id", "distance")
+    """Of the five that were fetched those within the threshold, or all five; at 0.37, for about half of these vectors have such a neighbour."""
+    found = vectors.nearest(*query_vectors(spark, sf_dir), 5, others=True).withColumnRenamed("id", "vec_id")
+    return retrieval.within(found, 0.37).select("query_id", "vec_id", "distance")
+
+
+@query()
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cosine_topk`` through the index: nearly all of its rows, from the lists nearest to each query."""
+    asked, records = query_vectors(spark, sf_dir)
+    return vectors.search_index(vectors.build_index(records), asked, 10).select("query_id", F.col("id").alias("vec_id"), "distance", "rank")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
@@ -91,13 +103,11 @@ d AS (SELECT query_id, vec_id, round(1 - list_cosine_similarity(embedding::DOUBL
 SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5""")
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each twentieth vector as a query against all."""
-    records = read_table(spark, sf_dir, "embeddings")
-    q = records.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return retrieval.nearest(retrieval.distances(q, records), 5, "vec_id").select("query_id", "vec_id", "distance", "rank")
+    return vectors.nearest(*query_vectors(spark, sf_dir), 5).select("query_id", F.col("id").alias("vec_id"), "distance", "rank")
 
 
 def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.top_edges(graph.similar_pairs(read_table(spark, sf_dir, "embeddings"), 0.35))
+    return graph.similar_edges(read_table(spark, sf_dir, "embeddings"), 0.35)
 
 
 @query(f"WITH {PAIRS} SELECT source, target, 'similar_to' AS relation, weight, rank FROM e WHERE rank <= 3")
@@ -432,7 +442,7 @@ def date_first_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").withColumn("dates", F.when(F.col("label") < 3, F.lit("2020")))
     asked = F.when(F.col("vec_id") % 40 == 0, "which date").otherwise("what")
     q = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), asked.alias("query_text"))
-    return records.search(q, rows, 5, "vec_id", "dates").select("query_id", "vec_id", "distance", "rank")
+    return records.search(q, rows, 5, date_col="dates").select("query_id", "vec_id", "distance", "rank")
 
 
 # Dialogue

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import lexicon, text
-from docloom.operators import chunking, dialogue, graph, retrieval
+from docloom.operators import chunking, dialogue, graph, retrieval, vectors
 from docloom.plans.catalog import COUNTS, LINES, PAIRS, TITLE_SQL, edges_of, query, quoted, re2, solid_lines, words_sql
 from docloom.sources.tables import read_table
 
@@ -204,7 +204,7 @@ d AS (SELECT query_id, vec_id AS pair_id, round(list_cosine_similarity(embedding
 def past_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_table(spark, sf_dir, "embeddings")
     q = records.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return retrieval.distances(q, records).where("vec_id != query_id").select("query_id", F.col("vec_id").alias("pair_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
+    return vectors.nearest(q, records, 5, least=0.4, others=True).select("query_id", F.col("id").alias("pair_id"), "similarity")
 
 
 @query(f"""WITH {HISTORY_SQL} SELECT query_id, pair_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, pair_id) AS rank FROM d WHERE similarity >= 0.4) WHERE rank <= 5""")

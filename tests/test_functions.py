@@ -63,12 +63,6 @@ def test_graph_components_and_blocks(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "source long, target long")
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6)], "id long")
     assert {(r.id, r.component) for r in graph.components(edges, nodes).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5)}
-    vectors = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(7)], "vec_id long, embedding array<float>")
-    graph.BLOCK_ROWS, before = 2, graph.BLOCK_ROWS
-    try:
-        assert graph.similar_pairs(vectors, -1.0).count() == 42
-    finally:
-        graph.BLOCK_ROWS = before
 
 
 def test_summaries(spark):
