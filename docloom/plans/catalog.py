@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import dates, lexicon, text
-from docloom.operators import chunking, dialogue, graph, records, retrieval, vectors
+from docloom.operators import chunking, dialogue, graph, modularity, records, retrieval, vectors
 from docloom.sources.tables import names_document, read_table, without_document
 from docloom.streaming import metrics
 
@@ -132,6 +132,11 @@ def label_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(edges_of(spark, sf_dir), read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")))
 
 
+@query()
+def modular_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modularity.modular_communities(edges_of(spark, sf_dir), read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")))
+
+
 @query("""WITH s AS (SELECT label, count(*) AS size FROM embeddings GROUP BY label)
 SELECT count(*) AS communities, round(avg(size), 1) AS mean_size, max(size) AS largest, min(size) AS smallest FROM s""")
 def community_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
