@@ -197,3 +197,25 @@ SECTION_STARTS = [
     (r"^(\d+\s+\d+)\s*(.*?)$", 1, 0),
     (r"^(\d+(?:\.\d+)*)\s*(.*?)$", 1, 2),
 ]
+
+# Signs of a table in a text (one row of three columns is enough of a sign), lines of a table, and white space.
+TABLES = [
+    r"[\|\+][-\+]+[\|\+]",
+    r"\|.*\|.*\|",
+    r"\t.*\t",
+    r"(?:\s{2,}[^\s]+){3}",
+    r"^[^:]+:\s+[^:]+(?:\s{2,}[^:]+:\s+[^:]+)+$",
+]
+TABLE_LINES = [
+    r"^\s*\|.*\|\s*$",
+    r"^\s*\+[-+]+\+\s*$",
+    r"^\s*[-]+\s*$",
+    r"^\s*[_]+\s*$",
+    r"^\s*[=]+\s*$",
+    r"^\s*[A-Za-z0-9\s]+\s*\|\s*[A-Za-z0-9\s]+\s*$",
+    r"^\s*[A-Za-z0-9\s]+\s*[,;]\s*[A-Za-z0-9\s]+\s*$",
+    r"^\s*\|.*$",
+    r"^\s*\+.*$",
+    r"^\s*[-_=]+\s*$",
+]
+BLANKS = [" ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u2003", "\u2009", "\u202f", "\u3000"]

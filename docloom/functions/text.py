@@ -144,9 +144,35 @@ def is_empty_section(content: Column, number: Column) -> Column:
     return number.isNotNull() & (number != "") & ((F.size(lines) == 0) | ((F.size(lines) == 1) & ~line.rlike(r"\b(shall|may|must|will)\b") & (titled | dashed)))
 
 
+def common_columns(text: Column) -> Column:
+    """How many places hold white space in every line that is not blank; 0 for fewer than three such lines.
+
+    Lines are read no further than the shortest of them, and lists of places are folded by intersection.
+    """
+    solid = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"(?U)\S"))
+    blank = lambda c: c.isin(*lexicon.BLANKS)
+    shortest = lambda a: F.array_min(F.transform(a, F.length))
+    places = lambda x, n: F.filter(F.transform(F.split(F.substring(x, F.lit(1), n), ""), lambda c, i: F.when(blank(c), i)), lambda i: i.isNotNull())
+    fold = lambda a: bound(shortest(a), lambda n: F.size(F.aggregate(F.slice(a, 2, F.size(a) - 1), places(a[0], n), lambda held, x: F.array_intersect(held, places(x, n)))))
+    return F.coalesce(bound(solid, lambda a: F.when(F.size(a) > 2, fold(a)).otherwise(0)), F.lit(0))
+
+
 def has_table(text: Column) -> Column:
-    """Rows between bars, or bars with a rule, or columns set apart by tabs."""
-    return text.rlike(r"(?m)^\s*\|.*\|.*\|\s*$") | text.rlike(r"(?m)^\s*[-+]{3,}\s*\|") | text.rlike(r"(?m)^[^\t\n]+\t[^\t\n]+\t[^\t\n]+$") | text.rlike(r"(?m)\S+ \| \S+ \| \S+")
+    """A rule, bars, tabs, spaced columns or pairs of keys and values; else two columns of white space through all of three lines or more."""
+    return matches_any(text, lexicon.TABLES, "(?m)") | (common_columns(text) >= 2)
+
+
+def is_table_line(line: Column) -> Column:
+    """Whether a line begins a table or goes on with one: bars, rules, or two cells; a line that begins a section does not."""
+    return matches_any(line, lexicon.TABLE_LINES) & section_start(line).isNull()
+
+
+def table_blocks(text: Column) -> Column:
+    """Arrays of (first_line, n_lines) of a text's tables: table lines, blank ones between them, up to the first other line."""
+    flags = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.when(~x.rlike(r"(?U)\S"), "B").when(is_table_line(x), "T").otherwise("O")), "")
+    runs = F.regexp_extract_all(flags, F.lit(r"(T(?:B*+T)*+|[^T]++)"), F.lit(1))
+    ends = lambda r: F.transform(r, lambda x, i: F.struct(F.startswith(x, F.lit("T")).alias("table"), F.length(F.array_join(F.slice(r, 1, i), "")).alias("first_line"), F.length(x).alias("n_lines")))
+    return F.transform(F.filter(bound(runs, ends), lambda t: t["table"]), lambda t: F.struct(t["first_line"].alias("first_line"), t["n_lines"].alias("n_lines")))
 
 
 def list_types(marked: Column) -> Column:

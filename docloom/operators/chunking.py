@@ -230,16 +230,13 @@ def best_chunk(lines: DataFrame, chunks_of: DataFrame, by: str = "doc_id") -> Da
     return best.select(by, "line_no", "line", chosen["position"].alias("position"), chosen["score"].alias("score"))
 
 
-def restored(chunks_of: DataFrame, assigned: DataFrame, by: str = "doc_id") -> DataFrame:
-    """Chunks with the legal lines assigned to them appended in order; lines of documents without chunks open one at position -1."""
-    legal = assigned.where(is_legal(F.col("line"))).withColumn("position", F.coalesce("position", F.lit(-1)))
-    extra = legal.groupBy(by, "position").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n\n").alias("extra"))
-    return chunks_of.join(extra, [by, "position"], "full").withColumn("content", F.concat_ws("\n\n", "content", "extra")).drop("extra")
+def main_start(line: Column) -> Column:
+    return line.rlike(r"^#{1,2}\s+|^\d+\.\s+[A-Z]|^[A-Z][A-Z\s]+:$")
 
 
 def main_sections(lines: DataFrame, by: str = "doc_id") -> DataFrame:
     """Sections at headings of levels 1 and 2, ``N. Title`` lines and ``CAPITALS:`` lines; nothing is lost."""
-    return sections(lines, F.col("line").rlike(r"^#{1,2}\s+|^\d+\.\s+[A-Z]|^[A-Z][A-Z\s]+:$"), by)
+    return sections(lines, main_start(F.col("line")), by)
 
 
 def numbered_sections(lines: DataFrame, by: str = "doc_id") -> DataFrame:

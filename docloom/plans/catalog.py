@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import dates, lexicon, text
-from docloom.operators import chunking, dialogue, graph, modularity, records, retrieval, vectors
+from docloom.operators import chunking, dialogue, graph, modularity, records, restoration, retrieval, semantic, vectors
 from docloom.sources.tables import names_document, read_table, without_document
 from docloom.streaming import metrics
 
@@ -303,12 +303,55 @@ def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solid_lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), text.is_title(F.col("line")).alias("title"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(?m)^\s*\|.*\|.*\|\s*$') OR regexp_matches(text, '(?m)^\s*[-+]{3,}\s*\|') OR regexp_matches(text, '(?m)^[^\t\n]+\t[^\t\n]+\t[^\t\n]+$')
-OR regexp_matches(text, '(?m)\S+ \| \S+ \| \S+') AS has_table FROM documents""")
+SOLID = "list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\x0b\\x{85}\\p{Z}]'))"
+PLACES = f"list_filter(generate_series(1, n), lambda i: substr(x, i, 1) IN ({', '.join(f'chr({ord(c)})' for c in lexicon.BLANKS)}))"
+
+
+@query(f"""WITH a AS (SELECT doc_id, text, {SOLID} AS l FROM documents), b AS (SELECT *, list_min(list_transform(l, lambda x: length(x))) AS n FROM a),
+c AS (SELECT *, CASE WHEN len(l) > 2 THEN len(list_reduce(list_transform(l, lambda x: {PLACES}), lambda p, q: list_intersect(p, q))) ELSE 0 END AS columns FROM b)
+SELECT doc_id, {' OR '.join(f"regexp_matches(text, {quoted('(?m)' + p)})" for p in lexicon.TABLES)} OR columns >= 2 AS has_table FROM c""")
 def table_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", text.has_table(F.col("text")).alias("has_table"))
 
 
+#: Sections by the letters of their sentences: a window's counts are sums over its sentences, as a space adds no letter.
+LETTERS = ", ".join(f"length(low) - length(replace(low, '{c}', ''))" for c in "eniatsro")
+
+
+@query(f"""WITH {LINES}, s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{{1,2}}\\s+|^\\d+\\.\\s+[A-Z]|^[A-Z][A-Z\\s]+:$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section_no FROM l),
+c AS (SELECT doc_id, section_no::BIGINT AS section_no, string_agg(line, chr(10) ORDER BY line_no) AS content FROM s GROUP BY ALL),
+k AS (SELECT *, len({words_sql('content')}) > 80 AS long FROM c WHERE regexp_matches(content, '\\S')),
+p AS (SELECT doc_id, section_no, content, string_split(regexp_replace(content, '([.?!])[\\t\\n\\x0b\\f\\r ]+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM k WHERE long),
+t AS (SELECT doc_id, section_no, unnest(generate_series(1, len(parts))) AS i, unnest(parts) AS sentence, lower(unnest(parts)) AS low FROM p),
+v AS (SELECT *, [{LETTERS}] AS counts FROM t),
+w AS (SELECT doc_id, section_no, i, sentence, list_transform(generate_series(1, 8), lambda j: counts[j] + coalesce(b[j], 0) + coalesce(f[j], 0))::DOUBLE[] AS x
+  FROM (SELECT *, lag(counts) OVER o AS b, lead(counts) OVER o AS f FROM v WINDOW o AS (PARTITION BY doc_id, section_no ORDER BY i))),
+d AS (SELECT *, CASE WHEN y IS NULL THEN NULL WHEN list_sum(x) = 0 OR list_sum(y) = 0 THEN 1.0 ELSE round(1 - list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))), 6) END AS distance
+  FROM (SELECT *, lead(x) OVER (PARTITION BY doc_id, section_no ORDER BY i) AS y FROM w)),
+g AS (SELECT *, distance > round(quantile_cont(distance, 0.9) OVER (PARTITION BY doc_id, section_no), 9) AS cut FROM d),
+n AS (SELECT *, coalesce(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, section_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS piece, count(*) FILTER (cut) OVER (PARTITION BY doc_id, section_no) AS cuts FROM g)
+SELECT doc_id, section_no, 1 AS position, 'whole' AS kind, md5(content) AS digest FROM k WHERE NOT long
+UNION ALL SELECT doc_id, section_no, piece::BIGINT + 1, 'semantic', md5(string_agg(sentence, ' ' ORDER BY i)) FROM n WHERE cuts > 0 GROUP BY doc_id, section_no, piece
+UNION ALL SELECT doc_id, section_no, 1, 'recursive', md5(regexp_replace(content, '[\\s\\x0b]', '', 'g')) FROM p WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = p.doc_id AND n.section_no = p.section_no AND cuts > 0)""")
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections over 80 words by the letters of their sentences; pieces of sections without a cut are put together again, less white space."""
+    found = semantic.semantic_chunks(read_table(spark, sf_dir, "documents"), words=100, percent=90)
+    again = F.regexp_replace("content", r"\s", "")
+    parts = found.where("kind = 'recursive'").groupBy("doc_id", "section_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", again.alias("c")))), lambda x: x["c"]), "").alias("content"))
+    whole = parts.select("doc_id", "section_no", F.lit(1).cast("long").alias("position"), F.lit("recursive").alias("kind"), F.md5("content").alias("digest"))
+    return found.where("kind != 'recursive'").select("doc_id", "section_no", "position", "kind", F.md5("content").alias("digest")).unionByName(whole)
+
+
+@query()
+def restored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose chunks have their even lines only, and each tenth document without chunks, with the legal lines put back."""
+    docs = read_table(spark, sf_dir, "documents")
+    even = solid_lines(spark, sf_dir).where("line_no % 2 = 0 and doc_id % 10 != 0")
+    kept = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content")
+    pieces = even.groupBy("doc_id", F.floor(F.col("line_no") / 10).alias("position")).agg(kept).withColumn("section", F.concat(F.lit("4."), F.col("position")))
+    return restoration.with_restored(docs, pieces).select("doc_id", "position", "section", "restored", F.md5("content").alias("digest"))
+
+
 @query()
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(read_table(spark, sf_dir, "documents")).select("doc_id", "position", F.length("content").alias("size"), F.xxhash64("content").alias("hash"))

@@ -116,6 +116,20 @@ def empty_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), text.is_empty_section(content, F.lit("4.1")).alias("empty_section"), chunking.without_title(content, F.lit("4.1")).alias("body"))
 
 
+#: A line for each part, in twelve shapes: tables with and without bars, blanks inside them, a section and prose.
+ROW = """CASE p_partkey % 12 WHEN 0 THEN '| name | size |' WHEN 1 THEN '+----+---+' WHEN 2 THEN concat('| ', p_name, ' | ', p_size, ' |') WHEN 3 THEN '' WHEN 4 THEN '| more | 3 |'
+WHEN 5 THEN concat('prose of ', p_size) WHEN 6 THEN '----' WHEN 7 THEN concat('alpha ; ', p_size) WHEN 8 THEN 'more (prose)' WHEN 9 THEN '4.2 | a section' WHEN 10 THEN '__' ELSE ' ' END"""
+
+
+@query(f"""WITH l AS (SELECT p_partkey // 12 AS doc_id, p_partkey % 12 AS k, {ROW} AS line FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS line_no FROM l),
+g AS (SELECT *, sum(CASE WHEN k IN (5, 8, 9) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM n)
+SELECT doc_id, min(line_no)::INTEGER AS first_line, (max(line_no) - min(line_no) + 1)::INTEGER AS n_lines FROM g WHERE k NOT IN (3, 5, 8, 9, 11) GROUP BY doc_id, run""")
+def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 12).alias("doc_id"), (F.col("p_partkey") % 12).alias("k"), F.expr(ROW).alias("line"))
+    docs = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return docs.select("doc_id", F.inline(text.table_blocks(F.col("text"))))
+
+
 # Content that must not get lost
 
 LEGAL_SQL = f"""(regexp_matches(line, '^\\([a-zA-Z0-9]\\)|^[a-zA-Z0-9]\\)') OR (NOT {TITLE_SQL} AND (regexp_matches(line, '^W(hereas|HEREAS),') OR regexp_matches(line, '^for the [A-Za-z]')
