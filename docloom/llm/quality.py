@@ -10,7 +10,10 @@ one half.
 Junk is of many kinds that have little in common, so there is one class for good
 documents and one for each rule's defect.  No rate is fixed: ``PRIOR`` says what
 is expected of each, with the weight of a share of the corpus (``WEIGHT``), so
-the same mixture is judged alike at any size, and counts overrule it.  At the
+equal patterns in equal shares are judged alike whatever their number, and counts
+overrule it.  Symbols are counted against words and against characters, so that a
+text marred by them has two witnesses and its verdict does not hang on how many
+others of its kind show a further defect.  At the
 start a lone bad vote is believed as far as its rule agrees with others: twice
 the share of the rule's bad votes that come with another's.  So a rule whose bad
 votes mostly stand alone ends as one that errs on good documents and is
@@ -114,6 +117,7 @@ def votes() -> dict[str, Column]:
         "length": ballot(n < 10, n >= 50),
         "word_length": ballot((F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n), F.col("word_chars").between(3 * n, 12 * n)),
         "symbols": ballot(10 * F.col("n_symbols") > n, 100 * F.col("n_symbols") <= n),
+        "symbol_share": ballot(50 * F.col("n_symbols") > F.col("word_chars"), 200 * F.col("n_symbols") <= F.col("word_chars")),
         "lines": ballot((10 * F.col("n_dup_lines") > 3 * lines) & (F.col("n_dup_lines") > 1), F.col("n_dup_lines") == 0),
         "repeats": ballot(100 * F.col("n_repeat_words") > 20 * n, 100 * F.col("n_repeat_words") <= 5 * n),
         "capitals": ballot((2 * F.col("n_upper") > letters) & (letters > 20), 5 * F.col("n_upper") <= letters),

@@ -170,6 +170,25 @@ def test_quality_counts(docs, rows, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_patterns_have_one_verdict(spark):
+    verdicts, right, overruled = {}, [], []
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        told = quality.judged(quality.with_counts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")))
+        labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select("doc_id", "quality")
+        rows = told.where("not base_failed").withColumn("doc_id", F.col("doc.doc_id")).join(labels, "doc_id", "left")
+        names = [f"vote_{k}" for k in quality.votes()]
+        for r in rows.groupBy(*names, "kept", "quality").count().collect():
+            bad = tuple(k for k in names if r[k] < 0)
+            verdicts.setdefault(bad, set()).add(r.kept)
+            if r.quality is not None:
+                right += [(r.kept == (r.quality == 1))] * r["count"]
+                overruled += [(r.kept == (r.quality == 1))] * r["count"] if r.kept == bool(bad) else []
+    assert all(len(v) == 1 for v in verdicts.values()), verdicts
+    assert np.mean(right) > 0.999 and len(right) > 4000
+    assert not overruled or np.mean(overruled) > 0.5
+    assert verdicts[("vote_symbols", "vote_symbol_share")] == {False}
+
+
 def test_quality_agrees_with_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     told = quality.quality_rules(docs).join(labels, "doc_id").where("not base_failed")
