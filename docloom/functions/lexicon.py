@@ -141,8 +141,22 @@ LIST_TYPES = {
     "numeric": r"^\s*\([0-9]+\)|^\s*[0-9]+\)",
     "bullet": r"^\s*(-|\*|•)",
 }
-REFERRING = ["pursuant to", "as defined in", "in accordance with", "as per", "according to", "as set forth in", "as specified in", "as stipulated in"]
-SECTION_BREAK = r"^\d+(\.\d+){0,2}\.\s"
+# References to other parts, and the starts of sections by depth.
+REFERRING = [
+    r"pursuant to (?:Section|Article|Clause) (\d+(?:\.\d+)*)",
+    r"as defined in (?:Section|Article|Clause) (\d+(?:\.\d+)*)",
+    r"in accordance with (?:Section|Article|Clause) (\d+(?:\.\d+)*)",
+    r"as per (?:Section|Article|Clause) (\d+(?:\.\d+)*)",
+    r"according to (?:Section|Article|Clause) (\d+(?:\.\d+)*)",
+    r"as set forth in (?:Section|Article|Clause) (\d+(?:\.\d+)*)",
+    r"as specified in (?:Section|Article|Clause) (\d+(?:\.\d+)*)",
+    r"as stipulated in (?:Section|Article|Clause) (\d+(?:\.\d+)*)",
+]
+SECTION_BREAKS = [
+    r"^\d+\.\s",
+    r"^\d+\.\d+\.\s",
+    r"^\d+\.\d+\.\d+\.\s",
+]
 
 # Words and patterns of lines with legal content.
 SHORT_LINE_WORDS = ["date", "signature", "between", "and", "list", "exhibit", "therefore", "contract", "shall", "mean", "defined", "pursuant", "under", "according", "damage", "payment"]
@@ -156,11 +170,32 @@ LEGAL_WORDS = [
     "inspection", "inspect", "audit", "review", "pursuant", "accordance", "compliance", "comply", "applicable", "indemnification", "indemnified", "indemnities", "insurance",
     "insured", "coverage", "purchaser", "supplier", "parties",
 ]
+# References to clauses, exclusions, conditions, duties, and documents or payments.
 LEGAL_PATTERNS = [
-    r"(clause|article|section)\s+\d+(\.\d+)?", r"pursuant to|in accordance with|subject to|(appendix|annex) [a-z]", r"not be liable|no liability|shall not|exclude[sd]?|except|exempted",
-    r"limitation|limited to|restrict(ed|ion)|waive[sd]?|waiver", r"if\s+.*\s+(shall|may|must|will|is|are)\s+", r"(shall|may|must|will)\s+.*\s+(if|unless|until|provided that)",
-    r"^(the\s+)?(purchaser|supplier|contractor|client|party|parties)\s+(shall|may|will|must)", r"(documents?|delivery|payment|invoice|fee|compensation|reimbursement)",
-]
+    r"clause\s+\d+(\.\d+)?",
+    r"article\s+\d+(\.\d+)?",
+    r"section\s+\d+(\.\d+)?",
+    r"pursuant to",
+    r"in accordance with",
+    r"subject to",
+    r"appendix [a-z]",
+    r"annex [a-z]",
+    r"not be liable",
+    r"no liability",
+    r"shall not",
+    r"exclude[sd]?",
+    r"except",
+    r"exempted",
+    r"limitation",
+    r"limited to",
+    r"restrict(ed|ion)",
+    r"waive[sd]?",
+    r"waiver",
+    r"if\s+.*\s+(shall|may|must|will|is|are)\s+",
+    r"(shall|may|must|will)\s+.*\s+(if|unless|until|provided that)",
+    r"^(the\s+)?(purchaser|supplier|contractor|client|party|parties)\s+(shall|may|will|must)",
+    r"(documents?|delivery|payment|invoice|fee|compensation|reimbursement)",
+]
 
 # Words of the rules that correct a route.
 CREATION = ["rédige", "génère", "crée", "élabore", "propose", "modèle", "écris", "formule", "développe", "prépare", "établis", "conçois", "suggère", "améliore", "plan", "amélioration", "stratégie", "argumentaire"]

@@ -70,8 +70,8 @@ def marked(lines: DataFrame, by: str = "doc_id") -> DataFrame:
     ends = F.trim(line).rlike(r"[.:;]$") & F.trim(F.lead("line").over(w)).rlike(r"^\P{Ll}")
     weighty = (F.size(tokens(line)) > 20) & F.exists(F.array(*map(F.lit, lexicon.OBLIGATIONS)), lambda k: F.contains(F.lower(line), k))
     rule = F.when(clause, "CLAUSE_START").when(definition, "DEFINITION").when(kind.isNotNull(), F.concat(F.lit("LIST:"), kind))
-    refers = line.rlike(rf"(?:{'|'.join(lexicon.REFERRING)}) (?:Section|Article|Clause) \d+")
-    rule = rule.when(refers, "CROSS_REF").when(line.rlike(lexicon.SECTION_BREAK), "SECTION_BREAK")
+    refers = matches_any(line, lexicon.REFERRING)
+    rule = rule.when(refers, "CROSS_REF").when(matches_any(line, lexicon.SECTION_BREAKS), "SECTION_BREAK")
     rule = rule.when(ends, "PARAGRAPH_END").when(weighty, "IMPORTANT_CLAUSE")
     told = lines.withColumn("_rule", rule).withColumn("_list", F.when(F.startswith("_rule", F.lit("LIST:")), F.substring("_rule", 6, 20)))
     # A clause start ends a list; other lines do not.
