@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -53,10 +54,17 @@ def whole_word(text: Column, word: str) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    """Sorted contract terms, in either language, that the text holds as whole words."""
+    """Sorted contract terms, in either language, that the text holds as whole words.
+
+    Terms of one word are looked up among the text's distinct words; only terms of several words, and only where
+    the text has them at all, are searched for.
+    """
     words = sorted({w for pair in lexicon.TERMS.items() for w in pair})
+    single = [w for w in words if re.fullmatch(r"\w+", w)]
     low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)) & whole_word(text, w), F.lit(w)) for w in words)))
+    held = F.array_intersect(F.array(*map(F.lit, single)), F.split(low, r"[^\p{L}\p{N}_]+"))
+    phrases = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)) & whole_word(text, w), F.lit(w)) for w in words if w not in single)))
+    return F.array_sort(F.concat(held, phrases))
 
 
 def clause_type(text: Column) -> Column:

@@ -10,8 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import dates, lexicon, text
+from docloom.functions import dates, lexicon, predicates, text
 from docloom.operators import chunking, dialogue, graph, modularity, records, restoration, retrieval, semantic, vectors
+from docloom.sources import embedding_cache
+from docloom.sources.shared import shared_path
 from docloom.sources.tables import names_document, read_table, without_document
 from docloom.streaming import metrics
 
@@ -255,6 +257,33 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"), F.size(text.tokens(F.col("text"))).cast("long").alias("words"))
 
 
+#: A condition for each operator, and what it says.
+CONDITIONS = {
+    "eq": ({"lang": "fr"}, "lang = 'fr'"), "ne": ({"lang": {"$ne": "fr"}}, "coalesce(lang != 'fr', true)"), "gt": ({"n_chars": {"$gt": 500, "$lte": 5000}}, "n_chars > 500 AND n_chars <= 5000"),
+    "gte": ({"n_chars": {"$gte": 1000}}, "n_chars >= 1000"), "lt": ({"n_chars": {"$lt": 100}}, "n_chars < 100"), "within": ({"lang": {"$in": ["de", "es"]}}, "lang IN ('de', 'es')"),
+    "outside": ({"lang": {"$nin": ["de", "es"]}}, "coalesce(lang NOT IN ('de', 'es'), true)"), "holds": ({"source": {"$contains": "1"}}, "contains(source, '1')"), "lacks": ({"source": {"$not_contains": "1"}}, "coalesce(NOT contains(source, '1'), true)"),
+    "nested": ({"$or": [{"lang": "en"}, {"$and": [{"source": {"$contains": "2"}}, {"n_chars": {"$gt": 200}}]}], "n_chars": {"$lt": 3000}}, "(lang = 'en' OR (contains(source, '2') AND n_chars > 200)) AND n_chars < 3000"),
+}
+
+
+@query(f"SELECT doc_id, {', '.join(f'coalesce({sql}, false) AS fits_{name}' for name, (_, sql) in CONDITIONS.items())} FROM documents")
+def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", *(F.coalesce(predicates.condition(w), F.lit(False)).alias(f"fits_{name}") for name, (w, _) in CONDITIONS.items()))
+
+
+@query(f"SELECT doc_id, lang, source, n_chars FROM documents WHERE {CONDITIONS['nested'][1]}")
+def matching_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicates.matching(read_table(spark, sf_dir, "documents"), CONDITIONS["nested"][0]).select("doc_id", "lang", "source", "n_chars")
+
+
+@query("SELECT doc_id, 64::INTEGER AS width, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 1.0 ELSE 0.0 END AS norm FROM documents")
+def cached_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct text goes to the provider once, however many rows have it."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = embedding_cache.with_cached_embeddings(docs, retrieval.hashing_embeddings, shared_path(spark, "embedding-cache"))
+    return told.select("doc_id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
+
+
 @query("""SELECT doc_id, k // 400 AS position, substr(text, k + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 400)) AS k FROM documents WHERE length(text) > 0)""")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").where("text is not null")
