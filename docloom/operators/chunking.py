@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import lexicon
-from docloom.functions.text import bound, chapter_title, chunk_section, clause_type, hierarchy, is_legal, matches_any, parent_section, section_start, squeezed, tokens, without_markers
+from docloom.functions.text import bound, chapter_title, chunk_section, clause_type, hierarchy, is_empty_section, matches_any, parent_section, section_start, squeezed, tokens, without_markers
 
 
 def without_repeated_lines(lines: DataFrame, by: str = "doc_id", least: int = 3) -> DataFrame:
@@ -240,10 +240,11 @@ def main_sections(lines: DataFrame, by: str = "doc_id") -> DataFrame:
 
 
 def numbered_sections(lines: DataFrame, by: str = "doc_id") -> DataFrame:
-    """``sections`` at lines that begin a section, with its number, title, hierarchy and parent; empty ones and what precedes the first go."""
-    out = sections(lines, section_start(F.col("line")).isNotNull(), by, keep_preamble=False).where(F.trim("content") != "")
+    """``sections`` at lines that begin a section, with its number, title, body (less its title line), hierarchy and parent; those of a title alone and what precedes the first go."""
+    out = sections(lines, section_start(F.col("line")).isNotNull(), by, keep_preamble=False)
     start = section_start(F.substring_index("content", "\n", 1))
-    out = out.withColumn("number", start["number"]).withColumn("title", start["title"])
+    out = out.withColumn("number", start["number"]).withColumn("title", start["title"]).where(~is_empty_section(F.col("content"), F.col("number")))
+    out = out.withColumn("body", without_title(F.col("content"), F.col("number")))
     return out.withColumn("hierarchy", hierarchy(F.col("number"))).withColumn("parent", parent_section(F.col("number")))
 
 
