@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import parent_section
 from docloom.operators.vectors import VectorIndex, nearest, search_index
+from docloom.sources.shared import stored
 
 
 def similar_edges(records: DataFrame, threshold: float, n: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", index: VectorIndex | None = None) -> DataFrame:
@@ -73,29 +74,26 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids, F.col("source") == F.col("id"), "left_semi").join(ids, F.col("target") == F.col("id"), "left_semi")
 
 
-def checkpoints(df: DataFrame) -> None:
-    """Sets the session's checkpoint folder where the context has none; ``/tmp/checkpoints`` only where the session names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+def kept(df: DataFrame) -> DataFrame:
+    """A round's table, written and read again: a checkpoint would carry estimated sizes along, which square with each join of a table with itself."""
+    return stored(df, "rounds")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the smallest id that is reachable; nodes without edges are their own.
 
     Labels take the minimum of their neighbours' and of their label's label, each
-    round checkpointed, until none changes.
+    round written, until none changes.
     """
     links = edges.select(F.col("source").alias("u"), F.col("target").alias("v"))
     links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    checkpoints(edges)
-    links = links.checkpoint()
+    links = kept(links)
     labels = nodes.select("id", F.col("id").alias("component"))
     while True:
         near = links.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("component").alias("low"))
         step = labels.join(near, F.col("id") == F.col("u"), "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("next"))
         jump = step.select(F.col("id").alias("root"), F.col("next").alias("higher"))
-        moved = step.join(jump, F.col("next") == F.col("root"), "left").select("id", "component", F.least("next", F.coalesce("higher", "next")).alias("next")).checkpoint()
+        moved = kept(step.join(jump, F.col("next") == F.col("root"), "left").select("id", "component", F.least("next", F.coalesce("higher", "next")).alias("next")))
         labels = moved.select("id", F.col("next").alias("component"))
         if moved.where("component != next").isEmpty():
             return labels
@@ -104,21 +102,20 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, community) by label propagation: each round a node takes the label of most weight around it, smaller labels first.
 
-    Rounds go on, each checkpointed, until no label changes, or labels come back that
+    Rounds go on, each written, until no label changes, or labels come back that
     were there before (a cycle); then each node takes the smallest label that it has
     in the cycle.  A deterministic stand-in for randomised modularity methods; it
     does not give their partitions.
     """
-    checkpoints(edges)
     links = undirected(edges)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).checkpoint()
+    both = kept(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
     labels = nodes.select("id", F.col("id").alias("community"))
     seen: dict[tuple, int] = {}
     rounds: list[DataFrame] = []
     while True:
         votes = both.join(labels, F.col("b") == F.col("id")).groupBy("a", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("a").agg(F.max_by("community", F.struct(F.round("w", 6), -F.col("community"))).alias("best"))
-        labels = labels.join(best, F.col("id") == F.col("a"), "left").select("id", F.coalesce("best", "community").alias("community")).checkpoint()
+        labels = kept(labels.join(best, F.col("id") == F.col("a"), "left").select("id", F.coalesce("best", "community").alias("community")))
         state = tuple(labels.agg(F.bit_xor(F.xxhash64("id", "community")), F.sum("community")).first())
         rounds.append(labels)
         if state in seen:

@@ -65,6 +65,12 @@ def test_graph_components_and_blocks(spark):
     assert {(r.id, r.component) for r in graph.components(edges, nodes).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5)}
 
 
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([((k * 7) % 307, ((k + 1) * 7) % 307) for k in range(306)], "source long, target long")
+    got = graph.components(edges, spark.range(307)).collect()
+    assert {r.component for r in got} == {0} and len(got) == 307
+
+
 def test_summaries(spark):
     rows = spark.createDataFrame([(1, 0, "a", False, None), (1, 1, "s", True, "a"), (1, 2, "a", False, None)], "query_id int, ord int, content string, is_summary boolean, original_content string")
     assert [r.ord for r in retrieval.without_summarised(rows).orderBy("ord").collect()] == [0, 1]
