@@ -100,9 +100,57 @@ def test_mixture_rows(spark, docs):
 
 def test_splitting_tree():
     quotas = np.array([100, 0, 7, 1000])
-    parts = mixing.split(quotas, 5, np.random.default_rng(1))
+    parts = np.zeros((4, 5), np.int64)
+    for shard, which, blocks in mixing.split(np.arange(4), quotas, 0, 5, 1, seed=1):
+        parts[which, shard] = blocks
     assert (parts.sum(1) == quotas).all() and (parts >= 0).all()
     assert parts.sum(0).max() - parts.sum(0).min() <= 3
+    ranges = {k: dict(zip(which.tolist(), blocks.tolist(), strict=True)) for k, which, blocks in mixing.split(np.arange(4), quotas, 0, 5, 2, seed=1)}
+    assert sorted(ranges) == [0, 1, 2] and sum(sum(r.values()) for r in ranges.values()) == quotas.sum()
+
+
+def test_mixing_intervals(spark, monkeypatch):
+    """Stretches of a source lie end to end, and shards are as long as one another, over ranges of shards."""
+    monkeypatch.setattr(mixing, "RANGE_SHARDS", 4)
+    quotas = [("0a", 1000), ("0b", 333), ("0c", 0), ("1", 1)]
+    got = mixing.shard_intervals(spark.createDataFrame(quotas, "src string, quota long"), 11, 3, Scratch(spark)).collect()
+    for src, quota in quotas:
+        runs = sorted((r.first, r["last"], r.shard) for r in got if r.src == src)
+        assert sum(b - a for a, b, _ in runs) == quota and [a for a, *_ in runs] == [0, *(b for _, b, _ in runs)][: len(runs)]
+        assert [s for *_, s in runs] == sorted({s for *_, s in runs})
+    lengths = Counter()
+    for r in got:
+        lengths[r.shard] += r["last"] - r.first
+    assert set(lengths) == set(range(11)) and max(lengths.values()) - min(lengths.values()) <= 4
+
+
+def test_mixing_by_joins(spark, docs, monkeypatch):
+    """The shuffled form deals the same shards as the broadcast one."""
+    key = lambda df: sorted((str(r.doc_id), r.taken, sorted(r.shards)) for r in df.collect())
+    want = key(mixing.mixed_sizes(docs, block_words=50, shards=4))
+    monkeypatch.setattr(mixing, "BROADCAST_STRETCHES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert key(mixing.mixed_sizes(docs, block_words=50, shards=4)) == want
+
+
+def test_mixing_of_huge_sources(spark):
+    """Sizes of 2 * 10^9 blocks of the usual length and more: blocks get longer, targets stay exact."""
+    scratch = Scratch(spark)
+    rows = spark.range(40).select("id", F.col("id").alias("row"), F.when(F.col("id") < 30, "0a").otherwise("0b").alias("src"), F.lit(500_000_000_000).alias("size"))
+    got = mixing.mix(scratch.table(rows, "huge"), scratch, shards=5).collect()
+    assert sum(r["size"] for r in got) * mixing.SHARE / mixing.BLOCK_WORDS > 2e9
+    for n, ids in ((30, range(30)), (10, range(30, 40))):
+        mine = [r for r in got if r.id in ids]
+        assert len(mine) == n and abs(sum(r.taken for r in mine) - mine[0].target) <= 500_000_000_000
+        assert all(len(r.draws) * r["size"] == r.taken and all(0 <= d.shard < 5 for d in r.draws) for r in mine)
+
+
+def test_mixing_of_many_sources(spark):
+    scratch = Scratch(spark)
+    rows = spark.range(200_000).select("id", F.col("id").alias("row"), F.format_string("0%06d", "id").alias("src"), (F.col("id") % 7).alias("size"))
+    got = mixing.mix(scratch.table(rows, "many"), scratch, shards=3, block_words=2)
+    r = got.agg(F.count("*").alias("n"), F.sum("target").alias("target"), F.sum("size").alias("size"), F.max(F.size("draws") * F.col("size") - F.col("taken")).alias("off"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).first()
+    assert r.n == 200_000 and r.target == pytest.approx(1.5 * r["size"]) and r.off == 0 and r.over <= 0
 
 
 def test_url_filter(spark):
