@@ -254,3 +254,45 @@ TABLE_LINES = [
     r"^\s*[-_=]+\s*$",
 ]
 BLANKS = [" ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u2003", "\u2009", "\u202f", "\u3000"]
+
+#: Lines of an agreement in seven languages, by language and kind (pages of contracts name parties, dates and signatures so).
+AGREEMENT_LINES = {
+    "fr": {
+        "signature": [r"^(?:Signé|Fait à|À|En foi de quoi|Par les présentes|En conséquence|En foi de quoi|En conséquence de quoi)\s*:?\s*$"],
+        "date": [r"^(?:Fait à|À|Le|En date du|Le présent contrat est établi le)\s+.+,\s+(?:le\s+)?(\d{1,2}\s+\w+\s+\d{4}|\d{1,2}/\d{1,2}/\d{4})"],
+        "party": [r"^Entre\s+les\s+soussignés\s*:", r"^D'une\s+part\s*:", r"^D'autre\s+part\s*:", r"^Entre\s+:", r"^D'une\s+part\s*,\s*([^,]+)", r"^D'autre\s+part\s*,\s*([^,]+)", r"^Le\s+client\s*:", r"^Le\s+prestataire\s*:", r"^La\s+société\s*:", r"^L'entreprise\s*:"],
+    },
+    "en": {
+        "signature": [r"^(?:Signed|Done at|In witness whereof|By these presents|In consideration|In witness whereof|In consideration whereof)\s*:?\s*$"],
+        "date": [r"^(?:Done at|At|On|Dated|This agreement is made on)\s+.+,\s+(?:the\s+)?(\d{1,2}\s+\w+\s+\d{4}|\d{1,2}/\d{1,2}/\d{4})"],
+        "party": [r"^Between\s*:", r"^Party\s+A\s*:", r"^Party\s+B\s*:", r"^First\s+Party\s*:", r"^Second\s+Party\s*:", r"^The\s+Client\s*:", r"^The\s+Provider\s*:", r"^The\s+Company\s*:", r"^The\s+Business\s*:"],
+    },
+    "es": {
+        "signature": [r"^(?:Firmado|Hecho en|En fe de lo cual|Por las presentes|En consideración|En fe de lo cual|En consideración de lo cual)\s*:?\s*$"],
+        "date": [r"^(?:Hecho en|En|El|Con fecha|El presente contrato se celebra el)\s+.+,\s+(?:el\s+)?(\d{1,2}\s+\w+\s+\d{4}|\d{1,2}/\d{1,2}/\d{4})"],
+        "party": [r"^Entre\s+los\s+abajo\s+firmados\s*:", r"^Por\s+una\s+parte\s*:", r"^Por\s+otra\s+parte\s*:", r"^Entre\s+:", r"^Por\s+una\s+parte\s*,\s*([^,]+)", r"^Por\s+otra\s+parte\s*,\s*([^,]+)", r"^El\s+cliente\s*:", r"^El\s+proveedor\s*:", r"^La\s+empresa\s*:", r"^La\s+sociedad\s*:"],
+    },
+    "de": {
+        "signature": [r"^(?:Unterschrieben|Geschehen zu|Zu\s+Urkund\s+dessen|Durch\s+diese\s+Urkunde|In\s+Erwägung|Zu\s+Urkund\s+dessen|In\s+Erwägung\s+dessen)\s*:?\s*$"],
+        "date": [r"^(?:Geschehen zu|Zu|Am|Datiert|Dieser\s+Vertrag\s+wird\s+geschlossen\s+am)\s+.+,\s+(?:den\s+)?(\d{1,2}\.\s+\w+\s+\d{4}|\d{1,2}\.\d{1,2}\.\d{4})"],
+        "party": [r"^Zwischen\s*:", r"^Einerseits\s*:", r"^Andererseits\s*:", r"^Zwischen\s+:", r"^Einerseits\s*,\s*([^,]+)", r"^Andererseits\s*,\s*([^,]+)", r"^Der\s+Kunde\s*:", r"^Der\s+Anbieter\s*:", r"^Die\s+Firma\s*:", r"^Das\s+Unternehmen\s*:"],
+    },
+    "it": {
+        "signature": [r"^(?:Firmato|Fatto a|In\s+fede\s+di\s+che|Per\s+le\s+presenti|In\s+considerazione|In\s+fede\s+di\s+che|In\s+considerazione\s+di\s+che)\s*:?\s*$"],
+        "date": [r"^(?:Fatto a|A|Il|In\s+data|Il\s+presente\s+contratto\s+è\s+stipulato\s+il)\s+.+,\s+(?:il\s+)?(\d{1,2}\s+\w+\s+\d{4}|\d{1,2}/\d{1,2}/\d{4})"],
+        "party": [r"^Tra\s+i\s+sottoscritti\s*:", r"^Da\s+una\s+parte\s*:", r"^Dall'altra\s+parte\s*:", r"^Tra\s+:", r"^Da\s+una\s+parte\s*,\s*([^,]+)", r"^Dall'altra\s+parte\s*,\s*([^,]+)", r"^Il\s+cliente\s*:", r"^Il\s+fornitore\s*:", r"^La\s+società\s*:", r"^L'impresa\s*:"],
+    },
+    "pt": {
+        "signature": [r"^(?:Assinado|Feito em|Em\s+testemunho\s+do\s+que|Por\s+estas\s+presentes|Em\s+consideração|Em\s+testemunho\s+do\s+que|Em\s+consideração\s+do\s+que)\s*:?\s*$"],
+        "date": [r"^(?:Feito em|Em|O|Com\s+data|O\s+presente\s+contrato\s+é\s+celebrado\s+em)\s+.+,\s+(?:o\s+)?(\d{1,2}\s+\w+\s+\d{4}|\d{1,2}/\d{1,2}/\d{4})"],
+        "party": [r"^Entre\s+os\s+abaixo\s+assinados\s*:", r"^Por\s+uma\s+parte\s*:", r"^Por\s+outra\s+parte\s*:", r"^Entre\s+:", r"^Por\s+uma\s+parte\s*,\s*([^,]+)", r"^Por\s+outra\s+parte\s*,\s*([^,]+)", r"^O\s+cliente\s*:", r"^O\s+fornecedor\s*:", r"^A\s+empresa\s*:", r"^A\s+sociedade\s*:"],
+    },
+    "nl": {
+        "signature": [r"^(?:Ondertekend|Gedaan te|Ten\s+blijke\s+waarvan|Bij\s+deze|In\s+overweging|Ten\s+blijke\s+waarvan|In\s+overweging\s+waarvan)\s*:?\s*$"],
+        "date": [r"^(?:Gedaan te|Te|Op|Gedateerd|Dit\s+contract\s+wordt\s+gesloten\s+op)\s+.+,\s+(?:de\s+)?(\d{1,2}\s+\w+\s+\d{4}|\d{1,2}-\d{1,2}-\d{4})"],
+        "party": [r"^Tussen\s*:", r"^Enerzijds\s*:", r"^Anderzijds\s*:", r"^Tussen\s+:", r"^Enerzijds\s*,\s*([^,]+)", r"^Anderzijds\s*,\s*([^,]+)", r"^De\s+klant\s*:", r"^De\s+aanbieder\s*:", r"^Het\s+bedrijf\s*:", r"^De\s+onderneming\s*:"],
+    },
+}
+
+#: What a model that reads page images adds to a page: marks between pages and remarks of its own.
+PAGE_REMARKS = [r"---\s*Page \d+.*?---", r"The (scanned page|document|image) (shows|is|appears).*?\n", r"This document appears to be.*?\n", r"The text is.*?\n"]

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from docloom.plans import answers, legal  # noqa: F401  they add to both tables
+from docloom.plans import answers, legal, scans  # noqa: F401  they add to both tables
 from docloom.plans.catalog import ORACLES, QUERIES
 from tests.conftest import SF
 
