@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import lexicon
-from docloom.operators import pages
+from docloom.functions.text import windows
+from docloom.operators import ingest, pages
 from docloom.plans.catalog import query, quoted
 from docloom.sources.tables import read_table
 
@@ -73,3 +74,27 @@ SELECT doc_id, line_no::INTEGER AS line_no, line, language, kind FROM l, r WHERE
 def agreement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.expr(HEAD), F.lit("\n"), "text", F.lit("\n"), F.expr(TAIL))
     return pages.agreement_lines(read_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+
+
+# What arrives of a document
+
+
+@query(rf"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), {any_script(r'\s+')}), lambda w: w <> '') AS w FROM documents), o AS (SELECT doc_id, w, list_distinct(list_transform(w, lambda x: lower(x))) AS own FROM d),
+k AS (SELECT doc_id, unnest(range(0, length(text), 800)) AS pos, text FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, list_filter(regexp_split_to_array(substr(text, pos + 1, 500), {any_script(r'\s+')}), lambda w: w <> '') AS w FROM k),
+h AS (SELECT doc_id, sum(len(w)) AS n, list_distinct(flatten(list(list_transform(w, lambda x: lower(x))))) AS held FROM c GROUP BY doc_id),
+b AS (SELECT o.doc_id, len(o.w) AS n_words, coalesce(n, 0)::BIGINT AS n_chunk_words, len(own) AS n_own, list_filter(own, lambda x: NOT list_contains(coalesce(held, []), x)) AS gone FROM o LEFT JOIN h USING (doc_id)),
+s AS (SELECT *, 100 * (n_own - len(gone)) / nullif(n_own, 0) AS share FROM b)
+SELECT doc_id, n_words, n_chunk_words, round(share, 6) AS coverage, round(100 * n_chunk_words / nullif(n_words, 0), 6) AS ratio, coalesce(share < 90, false) AS warn,
+md5(CASE WHEN share < 90 THEN array_to_string(list_sort(list_filter(gone, lambda x: length(x) > 3))[:50], ' ') ELSE '' END) AS missing FROM s""")
+def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of pieces of 500 characters, one each 800 characters, so that words are missing."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = docs.select("doc_id", F.explode(windows(F.col("text"), 500, 800)).alias("content"))
+    return ingest.coverage(docs, pieces).withColumn("missing", F.md5(F.array_join("missing", " ")))
+
+
+@query()
+def ingested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all documents; hand-written contracts and the words that must arrive are tested."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("title", F.concat_ws("-", "source", "doc_id"))
+    return ingest.ingested(docs).drop("embedded_text").withColumn("content", F.md5("content"))
