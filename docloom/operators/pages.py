@@ -16,6 +16,8 @@ NUMBERED = r"(?:Article |Section |Clause )?\d+(?:\.\d+)*\."
 HEADING = r"(?:###|\d+(?:\.\d+)*\.)"
 #: White space within a line.
 BLANK = r"[\s&&[^\n]]"
+#: A text without white space at its edges, as the first group; read in linear time.
+INNER = r"(?Us)^\s*+(.*\S|)"
 
 
 def clean_page(text: Column) -> Column:
@@ -27,8 +29,8 @@ def clean_page(text: Column) -> Column:
         text = F.regexp_replace(text, f"(?dU){remark}", "")
     text = F.regexp_replace(text, rf"(?dU)\*\*(?:({BLANK}*{NUMBERED}.*?)|.*?)\*\*", "$1")
     text = F.regexp_replace(text, r"(?U)\n\s*\n\s*\n", "\n\n")
-    text = F.regexp_replace(text, rf"(?U){BLANK}*\n{BLANK}*", "\n")
-    return F.concat(F.regexp_replace(text, r"(?U)^\s+|\s+\z", ""), F.lit("\n"))
+    text = F.regexp_replace(text, rf"(?U)(?:(?<!{BLANK}){BLANK}++)?+\n{BLANK}*+", "\n")
+    return F.concat(F.regexp_extract(text, INNER, 1), F.lit("\n"))
 
 
 def page_groups(pages: DataFrame, id_col: str = "doc_id", page_col: str = "page_no", text_col: str = "text") -> DataFrame:
@@ -75,7 +77,7 @@ def agreement_line(line: Column, rules: dict[str, dict[str, list[str]]] = lexico
         return F.when(word.isin(every), F.array_compact(F.array(*fits)))
 
     none = F.array().cast("array<struct<language:string,kind:string>>")
-    return F.coalesce(bound(F.regexp_replace(line, r"(?U)^\s+|\s+\z", ""), found), none)
+    return F.coalesce(bound(F.regexp_extract(line, INNER, 1), found), none)
 
 
 def agreement_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,6 +19,7 @@ def test_clean_page(spark):
         ("**a\n1.** b", "**a\n1.** b\n"),
         ("", "\n"),
         (" \t\r\n", "\n"),
+        ("a" + " " * 300_000 + "b", "a" + " " * 300_000 + "b\n"),
         ("x" * 1_000_000, "x" * 1_000_000 + "\n"),
     ]
     got = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k long, text string").select("k", pages.clean_page(F.col("text")).alias("out")).collect()
@@ -61,6 +62,7 @@ def test_agreement_lines(spark):
         "Tussen :": [("nl", "party")],
         "Signed by hand": [],
         "The client: x": [],
+        "On " + "a, " * 50_000 + " " * 300_000 + ".": [],
         "we are Between: x": [],
         "": [],
     }
