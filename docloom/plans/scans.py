@@ -65,12 +65,11 @@ def merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Lines before and after a document's text.
 HEAD = """CASE doc_id % 8 WHEN 0 THEN 'Entre les soussignés :' WHEN 1 THEN ' Between: ' WHEN 2 THEN 'Zwischen :' WHEN 3 THEN 'Por una parte, ACME' WHEN 4 THEN 'Tra i sottoscritti: A' WHEN 5 THEN 'Entre :' WHEN 6 THEN 'De klant:' ELSE 'between:' END"""
 TAIL = """CASE doc_id % 7 WHEN 0 THEN concat('Fait à Paris, le ', 1 + doc_id % 28, ' mars 2020') WHEN 1 THEN 'Signed:' WHEN 2 THEN 'Geschehen zu Bonn, den 3.4.2020' WHEN 3 THEN 'Hecho en Madrid, el 1/2/2020' WHEN 4 THEN 'Feito em' WHEN 5 THEN 'Te Gent, de 3-4-2020' ELSE 'Signed by hand' END"""
-RULES = ", ".join(f"({quoted(language)}, {quoted(kind)}, {any_script('|'.join(f'(?:{p})' for p in patterns))})" for language, kinds in lexicon.AGREEMENT_LINES.items() for kind, patterns in kinds.items())
+FITS = " UNION ALL ".join(f"SELECT doc_id, line_no, line, {quoted(language)} AS language, {quoted(kind)} AS kind FROM b WHERE regexp_matches(bare, {any_script('|'.join(f'(?:{p})' for p in patterns))})" for language, kinds in lexicon.AGREEMENT_LINES.items() for kind, patterns in kinds.items())
 
 
 @query(f"""WITH t AS (SELECT doc_id, string_split({HEAD} || chr(10) || text || chr(10) || {TAIL}, chr(10)) AS a FROM documents), l AS (SELECT doc_id, unnest(range(0, len(a))) AS line_no, unnest(a) AS line FROM t),
-r(language, kind, pattern) AS (VALUES {RULES})
-SELECT doc_id, line_no::INTEGER AS line_no, line, language, kind FROM l, r WHERE regexp_matches({trimmed('line')}, pattern)""")
+b AS MATERIALIZED (SELECT doc_id, line_no::INTEGER AS line_no, line, {trimmed('line')} AS bare FROM l) {FITS}""")
 def agreement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.expr(HEAD), F.lit("\n"), "text", F.lit("\n"), F.expr(TAIL))
     return pages.agreement_lines(read_table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
