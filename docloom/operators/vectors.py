@@ -91,7 +91,8 @@ def nearest(queries: DataFrame, records: DataFrame, k: int, id_col: str = "vec_i
     ``others`` leaves out a query's own id.
     """
     grid_rows, grid_columns = (max(1, -(-df.count() // block_rows)) for df in (queries, records))
-    deal = lambda df, name, own, other: df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(grid_rows if own == "i" else grid_columns))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit((grid_columns if own == "i" else grid_rows) - 1))))
+    # Both sides' places are ints: keys of different types are hashed differently and would not meet.
+    deal = lambda df, name, own, other: df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(grid_rows if own == "i" else grid_columns)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit((grid_columns if own == "i" else grid_rows) - 1))))
     left = deal(_rows(queries, "query_id", "query_vector", "query_id", width), "query_id", "i", "j")
     right = deal(_rows(records, id_col, vector_col, "id", width), "id", "j", "i")
     run = _best_of_blocks(k, above, least, others, larger_first)

@@ -52,6 +52,19 @@ def test_nearest_by_blocks(spark, rows, options):
     assert vectors.nearest(asked.limit(0), records, 4).collect() == []
 
 
+def test_blocks_meet_in_any_number_of_partitions(spark, rows):
+    asked, records = frames(spark, rows)
+    every = records.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    try:
+        assert listed(vectors.nearest(every, records, 4, width=8, block_rows=50)) == plain(rows, rows, 4)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_no_pair_is_a_row(spark, rows):
     asked, records = frames(spark, rows)
     plan = vectors.nearest(asked, records, 4, width=8)._jdf.queryExecution().toString()
