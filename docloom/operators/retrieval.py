@@ -66,7 +66,11 @@ def with_embeddings(docs: DataFrame, embed: Callable[[list[str]], np.ndarray], t
 
 
 def hashing_embeddings(texts: list[str], width: int = 64) -> np.ndarray:
-    """A stand-in provider: hashed bag of words, unit length.  It knows no meaning."""
+    """A stand-in provider: hashed bag of words, unit length.  It knows no meaning.
+
+    A text whose words cancel each other out, or that no word is split from though it is
+    not blank, takes the place of its own hash; only blank texts are zero.
+    """
     import xxhash
 
     out = np.zeros((len(texts), width))
@@ -74,6 +78,8 @@ def hashing_embeddings(texts: list[str], width: int = 64) -> np.ndarray:
         for word in text.lower().split():
             h = xxhash.xxh64_intdigest(word)
             row[h % width] += 1 if h >> 63 else -1
+        if not row.any() and text.strip("\t\n\f\r "):
+            row[xxhash.xxh64_intdigest(text.lower()) % width] = 1
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

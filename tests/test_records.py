@@ -53,3 +53,12 @@ def test_provider_sees_each_text_once(spark, tmp_path):
     embedding_cache.cached(spark, path).limit(3).write.mode("append").parquet(path)  # as after a repeated write
     assert embedding_cache.with_cached_embeddings(docs, embed, path).count() == 52 and calls.value == 9
     assert embedding_cache.with_cached_embeddings(docs.limit(0), embed, str(tmp_path / "none")).collect() == []
+
+
+def test_only_blank_texts_have_no_vector():
+    words = [f"w{k}" for k in range(400)]
+    rows = hashing_embeddings(words)
+    at = {(int(np.argmax(np.abs(r))), float(r.sum())): w for w, r in zip(words, rows, strict=True)}
+    place = next(p for p, sign in at if (p, -sign) in at)
+    found = hashing_embeddings([f"{at[place, 1.0]} {at[place, -1.0]}", "\xa0", "\x0b", "", " \t\n"])
+    assert np.linalg.norm(found, axis=1).tolist() == [1, 1, 1, 0, 0]
