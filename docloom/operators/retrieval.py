@@ -13,12 +13,6 @@ from docloom.functions.lexicon import DATE_WORDS
 from docloom.functions.text import contains_any, sigmoid, tokens
 
 
-def within(found: DataFrame, threshold: float, by: str = "query_id") -> DataFrame:
-    """Of the few records that were fetched for each query those at most ``1 - threshold`` away; all of them where none is so near."""
-    near = F.col("distance") <= 1 - threshold
-    return found.withColumn("_any", F.max(near).over(Window.partitionBy(by))).where(near | ~F.col("_any")).drop("_any")
-
-
 def is_date_query(text: Column) -> Column:
     return contains_any(F.lower(text), DATE_WORDS)
 

@@ -2,7 +2,8 @@
 
 Both ways end in the same step: a task holds one block of records and one block of
 queries, multiplies them as matrices, and hands on the best k of each query alone, so
-what is shuffled afterwards is k rows for each query and block.  No pair is a row.
+what is shuffled afterwards is k rows for each query and block.  No pair is a row, but
+where a query asks for every record within a threshold.
 
 Rows without a vector, and vectors of another width than ``width``, are left out; a
 vector without length is 0 alike to all.  Similarities are rounded to six places before
@@ -16,13 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.sources.shared import stored
 
 #: Rows of a block, on average: what a task multiplies are two blocks.
 BLOCK_ROWS = 10_000
+#: Similarities that a task holds at once.
+CELLS = 1_000_000
+#: Rows of a block where every pair may be a row of the result.
+PAIR_ROWS = 2_000
 #: Largest number of lists of an index, and vectors that its centroids are fitted on, 256 a list at most.
 MAX_LISTS, SAMPLE_ROWS = 4096, 65_536
 FOUND = "query_id long, id long, similarity double"
@@ -39,11 +44,12 @@ def best(queries: np.ndarray, query_ids: np.ndarray, records: np.ndarray, ids: n
     order = np.argsort(-ids if larger_first else ids, kind="stable")
     records, ids = records[order], ids[order]
     out = []
-    for low in range(0, len(queries), 1024):
-        cos = queries[low : low + 1024] @ records.T
+    some = max(1, CELLS // max(1, len(records)))
+    for low in range(0, len(queries), some):
+        cos = queries[low : low + some] @ records.T
         seen = np.round(cos, 6)
         if others:
-            seen[query_ids[low : low + 1024, None] == ids[None, :]] = -np.inf
+            seen[query_ids[low : low + some, None] == ids[None, :]] = -np.inf
         if above is not None:
             seen[cos <= above] = -np.inf
         if least is not None:
@@ -78,9 +84,19 @@ def ranked(found: DataFrame, k: int, larger_first: bool = False) -> DataFrame:
     return out.withColumn("distance", F.round(1 - F.col("similarity"), 6) + F.lit(0.0))
 
 
-def _rows(df: DataFrame, id_col: str, vector_col: str, name: str, width: int | None) -> DataFrame:
+def _rows(df: DataFrame, id_col: str, vector_col: str, name: str, width: int | None, *more: Column) -> DataFrame:
     fits = F.col(vector_col).isNotNull() if width is None else F.size(vector_col) == width
-    return df.where(F.col(id_col).isNotNull() & fits).select(F.col(id_col).cast("long").alias(name), F.col(vector_col).cast("array<float>").alias("vector"))
+    return df.where(F.col(id_col).isNotNull() & fits).select(F.col(id_col).cast("long").alias(name), F.col(vector_col).cast("array<float>").alias("vector"), *more)
+
+
+def _grid(left: DataFrame, right: DataFrame, queries: int, records: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Each row of the queries in all blocks (i, j) of its row of the grid, each record in those of its column."""
+    grid_rows, grid_columns = (max(1, -(-n // block_rows)) for n in (queries, records))
+    # Both sides' places are ints: keys of different types are hashed differently and would not meet.
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("i", own("query_id", grid_rows)).withColumn("j", every(grid_columns))
+    return left, right.withColumn("j", own("id", grid_columns)).withColumn("i", every(grid_rows))
 
 
 def nearest(queries: DataFrame, records: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", width: int | None = None, above: float | None = None, least: float | None = None, others: bool = False, larger_first: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -90,16 +106,44 @@ def nearest(queries: DataFrame, records: DataFrame, k: int, id_col: str = "vec_i
     ``above`` keeps similarities over a bound, ``least`` rounded ones of at least a bound,
     ``others`` leaves out a query's own id.
     """
-    grid_rows, grid_columns = (max(1, -(-df.count() // block_rows)) for df in (queries, records))
-    # Both sides' places are ints: keys of different types are hashed differently and would not meet.
-    deal = lambda df, name, own, other: df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(grid_rows if own == "i" else grid_columns)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit((grid_columns if own == "i" else grid_rows) - 1))))
-    left = deal(_rows(queries, "query_id", "query_vector", "query_id", width), "query_id", "i", "j")
-    right = deal(_rows(records, id_col, vector_col, "id", width), "id", "j", "i")
+    left, right = _grid(_rows(queries, "query_id", "query_vector", "query_id", width), _rows(records, id_col, vector_col, "id", width), queries.count(), records.count(), block_rows)
     run = _best_of_blocks(k, above, least, others, larger_first)
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, FOUND)
     return ranked(found, k, larger_first)
 
 
+def alike(queries: DataFrame, records: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", width: int | None = None, others: bool = False, block_rows: int = PAIR_ROWS) -> DataFrame:
+    """(query_id, id, similarity, distance) of every record that is at least as similar to a query (query_id, query_vector, least) as the query asks; without a bound all are.
+
+    Pairs are rows here, so blocks are small: a task holds those of two blocks.
+    """
+    asked = _rows(queries, "query_id", "query_vector", "query_id", width, F.coalesce(F.col("least"), F.lit(-2.0)).alias("least"))
+    left, right = _grid(asked, _rows(records, id_col, vector_col, "id", width), queries.count(), records.count(), block_rows)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        query_ids, ids, least = left.column("query_id").to_numpy(), right.column("id").to_numpy(), left.column("least").to_numpy()
+        out = [pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})]
+        x, y = matrix(left.column("vector"), left.num_rows), matrix(right.column("vector"), right.num_rows)
+        some = max(1, CELLS // max(1, len(y)))
+        for low in range(0, len(x) if len(y) else 0, some):
+            seen = np.round(x[low : low + some] @ y.T, 6)
+            fits = seen >= least[low : low + some, None]
+            if others:
+                fits &= query_ids[low : low + some, None] != ids[None, :]
+            p, q = np.nonzero(fits)
+            out.append(pa.table({"query_id": query_ids[p + low], "id": ids[q], "similarity": seen[p, q] + 0.0}))
+        return pa.concat_tables(out)
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, FOUND)
+    return found.withColumn("distance", F.round(1 - F.col("similarity"), 6) + F.lit(0.0))
+
+
+def alike_or_all(queries: DataFrame, records: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", width: int | None = None, others: bool = False) -> DataFrame:
+    """``alike`` with one threshold for all queries; those without so similar a record get all records."""
+    best = nearest(queries, records, 1, id_col, vector_col, width, others=others).select("query_id", F.when(F.col("similarity") >= threshold, threshold).alias("least"))
+    return alike(queries.join(best, "query_id"), records, id_col, vector_col, width, others)
+
+
 @dataclass
 class VectorIndex:
     """Every record in the list of its nearest centroid.  ``records``: list, id, vector, stored by list; ``lists``: list, n."""

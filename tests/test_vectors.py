@@ -65,6 +65,23 @@ def test_blocks_meet_in_any_number_of_partitions(spark, rows):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_all_within_a_threshold_or_all(spark, rows):
+    asked, records = frames(spark, rows)
+    want, held = {}, [r for r in rows if r[0] % 20 == 0 or r[0] > 299]
+    near = plain(held, rows, len(rows), least=0.8, others=True)
+    for q, _ in held:
+        want[q] = sorted(near.get(q) or [i for i, _ in rows if i != q])
+    found = vectors.alike_or_all(asked, records, 0.8, width=8, others=True)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert {q: sorted(ids) for q, ids in got.items()} == want
+    assert max(map(len, near.values())) > 1 and len(near) < len(held)
+    bounds = asked.withColumn("least", F.when(F.col("query_id") != 0, 0.5))
+    some, every = (sorted((r.query_id, r.id, r.similarity) for r in vectors.alike(bounds, records, width=8, block_rows=b).collect()) for b in (13, 10_000))
+    assert some == every and sum(q == 0 for q, *_ in some) == len(rows)
+
+
 def test_no_pair_is_a_row(spark, rows):
     asked, records = frames(spark, rows)
     plan = vectors.nearest(asked, records, 4, width=8)._jdf.queryExecution().toString()
