@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,18 @@ from docloom.functions import lexicon
 from docloom.functions.text import bound, chapter_title, chunk_section, clause_type, hierarchy, is_empty_section, matches_any, parent_section, section_start, squeezed, tokens, without_markers
 
 
+#: Bytes of a batch that a task turns into Python objects at one time, on average.
+SLICE_BYTES = 1_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about ``SLICE_BYTES``, so that a task's memory follows its longest rows and not its number of rows."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def without_repeated_lines(lines: DataFrame, by: str = "doc_id", least: int = 3) -> DataFrame:
     """Lines less those (trimmed, not blank, no table row) that a document has ``least`` times or more."""
     key = F.trim("line")
@@ -53,11 +66,12 @@ def cleaned(text: str | None, similarity: float = 0.8, least: int = 3) -> str |
 def without_headers(docs: DataFrame, text_col: str = "text", similarity: float = 0.8, least: int = 3) -> DataFrame:
     """``docs`` with cleaned texts; the order-dependent grouping runs inside one text at a time."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cleaned(t, similarity, least))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = pa.array([cleaned(t, similarity, least) for t in batch.column(text_col).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
-    return docs.withColumn(text_col, run(text_col))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def marked(lines: DataFrame, by: str = "doc_id") -> DataFrame:
@@ -198,11 +212,14 @@ def split_long(text: str, size: int, separators: tuple[str, ...] = ("\n\n\n", "\
 def chunks(docs: DataFrame, size: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, position from 1, content) by recursive splitting; null and blank texts have no chunks."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_long(t or "", size))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [split_long(t or "", size) for t in batch.column(text_col).to_pylist()]
+            rows = pa.array([row for row, pieces in enumerate(found) for _ in pieces], pa.int64())
+            places = pa.array([k + 1 for pieces in found for k in range(len(pieces))], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(rows), places, pa.array([c for pieces in found for c in pieces], pa.string())], names=[id_col, "position", "content"])
 
-    return docs.select(id_col, F.posexplode(run(F.col(text_col))).alias("position", "content")).withColumn("position", F.col("position") + 1)
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, position int, content string")
 
 
 def best_chunk(lines: DataFrame, chunks_of: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import bound, is_legal, squeezed
+from docloom.operators.chunking import slices
 
 NEAR = 5
 NEW_CHUNK = {"section": "unknown", "chapter": "Restored Legal Content", "parent": "Restored Content"}
@@ -95,13 +96,17 @@ def with_restored(docs: DataFrame, chunks: DataFrame, by: str = "doc_id", text_c
     told = both.select(by, F.coalesce("_text", F.lit("")).alias("_text"), chunk_list.alias("chunks"))
     told = told.select(by, "chunks", solid(F.col("_text")).alias("lines"), lost_lines(F.col("_text"), F.col("chunks")["content"]).alias("lost"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for name, held, lines, lost in zip(frame[by], frame["chunks"], frame["lines"], frame["lost"], strict=True):
-                contents = fold(list(lines), list(lost), [(c["content"] or "", c["section"]) for c in held]) if len(lost) else [c["content"] for c in held]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            at, out = [], []
+            for row, (held, lines, lost) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("chunks", "lines", "lost")), strict=True)):
+                contents = fold(lines, lost, [(c["content"] or "", c["section"]) for c in held]) if lost else [c["content"] for c in held]
                 places = [(c["position"], c["section"]) for c in held] or [(1, NEW_CHUNK["section"])]
-                out += [(name, *place, content, len(lost)) for place, content in zip(places, contents, strict=False)]
-            yield pd.DataFrame(out, columns=[by, "position", "section", "content", "restored"])
-
-    return told.mapInPandas(run, f"{by} {docs.schema[by].dataType.simpleString()}, position long, section string, content string, restored long")
+                found = [(*place, content, len(lost)) for place, content in zip(places, contents, strict=False)]
+                at += [row] * len(found)
+                out += found
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(at, pa.int64())), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=[by, "position", "section", "content", "restored"])
+
+    return told.mapInArrow(run, f"{by} {docs.schema[by].dataType.simpleString()}, position long, section string, content string, restored long")
