@@ -177,14 +177,23 @@ def merged_small(sizes: list[int], important: list[bool], lists: list[str], targ
 def merge_small(pieces: DataFrame, target: int, by: str = "doc_id") -> DataFrame:
     """Pieces (by, position, content, important, list_type) merged in order inside each document; contents joined by blank lines."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("position")
-        home = merged_small([len(c.split()) for c in frame.content], frame.important.tolist(), frame.list_type.fillna("").tolist(), target)
-        grouped = frame.assign(chunk=home).groupby("chunk", sort=True).content.agg("\n\n".join)
-        return pd.DataFrame({by: frame[by].iloc[0], "chunk": grouped.index, "content": grouped.to_numpy()})
-
     kind = pieces.schema[by].dataType.simpleString()
-    return pieces.select(by, "position", "content", "important", "list_type").groupBy(by).applyInPandas(run, f"{by} {kind}, chunk long, content string")
+    whole = pieces.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("position", "content", "important", "list_type"))).alias("pieces"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows, numbers, contents = [], [], []
+            for row, held in enumerate(batch.column("pieces").to_pylist()):
+                home = merged_small([len(p["content"].split()) for p in held], [p["important"] for p in held], [p["list_type"] or "" for p in held], target)
+                chunks: list[list[str]] = [[] for _ in range(home[-1] + 1)]
+                for k, p in zip(home, held, strict=True):
+                    chunks[k].append(p["content"])
+                rows += [row] * len(chunks)
+                numbers += range(len(chunks))
+                contents += map("\n\n".join, chunks)
+            yield pa.RecordBatch.from_arrays([batch.column(by).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int64()), pa.array(contents, pa.string())], names=[by, "chunk", "content"])
+
+    return whole.mapInArrow(run, f"{by} {kind}, chunk long, content string")
 
 
 def split_long(text: str, size: int, separators: tuple[str, ...] = ("\n\n\n", "\n\n", "\n", " ")) -> list[str]:
