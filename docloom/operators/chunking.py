@@ -241,15 +241,18 @@ def best_chunk(lines: DataFrame, chunks_of: DataFrame, by: str = "doc_id") -> Da
     among equals.
     """
     chunks_of = chunks_of if "section" in chunks_of.columns else chunks_of.withColumn("section", F.lit(None).cast("string"))
-    both = lines.join(chunks_of.select(by, "position", "content", "section"), by, "left")
-    low, flat = F.lower("content"), squeezed(F.lower("content"))
-    held = F.size(F.filter("frame", lambda x: F.contains(flat, squeezed(F.lower(x)))))
-    common = F.size(F.array_intersect(tokens(F.lower("line")), tokens(low)))
+    # What a side alone decides is made before the join, once a line or chunk and not once a pair.
+    low = F.lower("content")
+    held_by = chunks_of.select(by, "position", "section", low.alias("_low"), squeezed(low).alias("_flat"), F.array_distinct(tokens(low)).alias("_words"))
     clauses = F.regexp_extract_all(F.lower("line"), F.lit(r"clause\s+(\d+(\.\d+)?)"), F.lit(1))
-    named = F.coalesce(F.size(F.filter(clauses, lambda n: F.contains("section", n))), F.lit(0))
     number = F.nullif(F.regexp_extract("line", r"\b(\d+(\.\d+)?)\b", 1), F.lit(""))
-    has = F.coalesce(F.contains(low, number), F.lit(False)).cast("int")
-    told = both.withColumn("score", F.round(3 * held + 0.2 * common + 3 * F.when(F.col("section").isNull(), 0).otherwise(named), 6)).withColumn("_has", has).withColumn("_common", common)
+    asked = lines.select(by, "line_no", "line", F.transform("frame", lambda x: squeezed(F.lower(x))).alias("_frame"), F.array_distinct(tokens(F.lower("line"))).alias("_own"), clauses.alias("_clauses"), number.alias("_number"))
+    both = asked.join(held_by, by, "left")
+    held = F.size(F.filter("_frame", lambda x: F.contains("_flat", x)))
+    named = F.coalesce(F.size(F.filter("_clauses", lambda n: F.contains("section", n))), F.lit(0))
+    has = F.coalesce(F.contains("_low", "_number"), F.lit(False)).cast("int")
+    told = both.withColumn("_common", F.size(F.array_intersect("_own", "_words"))).withColumn("_has", has)
+    told = told.withColumn("score", F.round(3 * held + 0.2 * F.col("_common") + 3 * F.when(F.col("section").isNull(), 0).otherwise(named), 6))
     first = lambda *order: F.max_by(F.struct("position", "score"), F.struct(*order, -F.col("position")))
     best = told.groupBy(by, "line_no", "line").agg(first("score").alias("best"), first("_has", F.when(F.col("_has") == 0, F.col("_common")).otherwise(0)).alias("fallback"))
     chosen = F.when(F.col("best.score") > 1, F.col("best")).otherwise(F.col("fallback"))

@@ -1,11 +1,12 @@
 """Semantic chunks, restored lines and tables on hand-written texts."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import restoration, semantic
+from docloom.operators import chunking, restoration, semantic
 
 DOCS = "doc_id long, text string, section_no int, content string"
 
@@ -112,3 +113,33 @@ def test_table_blocks(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "text string")
     assert {r.text: [tuple(b) for b in r.b] for r in df.select("text", text.table_blocks(F.col("text")).alias("b")).collect()} == cases
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_go_in_parts():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 10_000] * 1000)], names=["text"])
+    parts = list(chunking.slices([batch, batch.slice(0, 0)]))
+    assert max(p.nbytes for p in parts) <= 1.1 * chunking.SLICE_BYTES and sum(p.num_rows for p in parts) == 1000
+    assert [p.num_rows for p in chunking.slices([pa.RecordBatch.from_arrays([pa.array(["x" * 3_000_000] * 2)], names=["text"])])] == [1, 1]
+
+
+def test_texts_pass_in_batches_and_not_as_series(spark):
+    docs = spark.createDataFrame([(k, "a b\n" * 30, "x") for k in range(5)], "doc_id long, text string, more string")
+    pieces = chunking.chunks(docs, 20).withColumn("important", F.lit(None).cast("boolean")).withColumn("list_type", F.lit(None).cast("string"))
+    for df in (chunking.without_headers(docs), chunking.merge_small(pieces, 20), semantic.semantic_chunks(docs)):
+        plan = plan_of(df)
+        assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan and "ArrowEvalPython" not in plan
+    assert {r.doc_id: r.n for r in chunking.merge_small(pieces, 100).groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {k: 2 for k in range(5)}
+    assert chunking.without_headers(docs).columns == docs.columns
+
+
+def test_lines_and_chunks_are_prepared_before_they_meet(spark):
+    lines = spark.createDataFrame([(1, 3, "Clause 4.2 pays", ["a  b", "c"])], "doc_id long, line_no int, line string, frame array<string>")
+    chunks = spark.createDataFrame([(1, 1, "x A b\ny", "4.2"), (1, 2, "pays", None)], "doc_id long, position int, content string, section string")
+    found = chunking.best_chunk(lines, chunks)
+    above = plan_of(found).split("Join")[0]
+    assert "regexp_replace" not in above and "split(" not in above
+    assert [(r.position, r.score) for r in found.collect()] == [(1, 6.0)]
