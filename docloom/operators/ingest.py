@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import bound, hierarchy, parent_section, tokens
 from docloom.operators import records, restoration, semantic
 from docloom.operators.chunking import with_metadata
+from docloom.sources.shared import stored
 
 META = ["chapter_title", "clause_type", "has_cross_references"]
 #: What a report of missing words names, and the share of words below which it is due.
@@ -25,7 +26,7 @@ def ingested(docs: DataFrame, embed: semantic.Provider = semantic.letter_embeddi
     cut = semantic.semantic_chunks(docs.select(by, text_col), embed, by=by, text_col=text_col, **how)
     order = Window.partitionBy(by).orderBy("section_no", "position")
     numbered = cut.withColumn("place", F.row_number().over(order).cast("long")).select(by, F.col("place").alias("position"), "content")
-    told = with_metadata(numbered, by)
+    told = stored(with_metadata(numbered, by), "ingest")  # two joins read it
     whole = restoration.with_restored(docs.select(by, text_col), told.select(by, "position", "content", F.col("section_number").alias("section")), by, text_col)
     opened = ~F.col("known")
     kept = whole.join(told.select(by, "position", *META, F.lit(True).alias("known")), [by, "position"], "left").withColumn("known", F.coalesce("known", F.lit(False)))

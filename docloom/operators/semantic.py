@@ -6,11 +6,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.chunking import line_sections, main_start, split_long
+from docloom.operators.chunking import line_sections, main_start, slices, split_long
 
 SENTENCE_END = re.compile(r"(?<=[.?!])[\t\n\x0b\f\r ]+")
 #: Texts whose windows go to the provider at one time, in characters.
@@ -61,16 +61,17 @@ def semantic_chunks(docs: DataFrame, embed: Provider = letter_embeddings, words:
             out[k] = [("semantic", c) for c in chunks] if len(chunks) > 1 else [("recursive", c) for c in split_long(texts[k], words)]
         return out
 
-    @F.pandas_udf("array<struct<kind: string, content: string>>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            texts, out, start, size = batch.tolist(), [], 0, 0
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, out, start, size = batch.column("content").to_pylist(), [], 0, 0
             for k, t in enumerate(texts):
                 size += len(t)
                 if size > SLICE_CHARS or k + 1 == len(texts):
                     out += run(texts[start : k + 1])
                     start, size = k + 1, 0
-            yield pd.Series([[{"kind": a, "content": b} for a, b in x] for x in out])
+            rows = pa.array([row for row, x in enumerate(out) for _ in x], pa.int64())
+            places = pa.array([k + 1 for x in out for k in range(len(x))], pa.int64())
+            kinds, contents = (pa.array([p[side] for x in out for p in x], pa.string()) for side in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(by).take(rows), batch.column("section_no").take(rows), places, kinds, contents], names=[by, "section_no", "position", "kind", "content"])
 
-    told = cut.select(by, "section_no", F.posexplode(pieces(F.col("content"))).alias("position", "p"))
-    return told.select(by, "section_no", (F.col("position") + 1).cast("long").alias("position"), "p.kind", "p.content")
+    return cut.select(by, "section_no", "content").mapInArrow(pieces, f"{by} {docs.schema[by].dataType.simpleString()}, section_no long, position long, kind string, content string")

@@ -43,3 +43,8 @@ def test_coverage(spark):
         4: (300_000, 1, 100.0, 0.000333, False, []),
         5: (0, 0, None, None, False, []),
     }
+
+
+def test_chunks_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "t", CONTRACT)], "doc_id long, title string, text string")
+    assert ingest.ingested(docs)._jdf.queryExecution().optimizedPlan().toString().count("InArrow") == 1
