@@ -170,3 +170,17 @@ def test_retrieval_of_hand_written_records(spark):
     got = {(r.query_id, r.id, r.source) for r in search.context_of(none, q, records).collect()}
     assert got == {(1, 7, "exact"), (2, 4, "first"), (2, 5, "first"), (2, 7, "first")}
     assert search.retrieve(q.limit(0).select("query_id", "query_text", "query_vector"), records).collect() == []
+
+
+def test_a_block_needs_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, ids = rng.normal(0, 1, (1200, 4)), np.arange(10_000)
+    y = rng.normal(0, 1, (10_000, 4))
+    tracemalloc.start()
+    p, q, s = vectors.best(x, ids[:1200], y, ids, 3, None, None, False, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and len(p) == 3600
+    assert np.allclose(s[:3], np.sort(x[0] @ y.T)[::-1][:3])
