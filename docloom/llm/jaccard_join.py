@@ -18,9 +18,11 @@ twice the set's size), in order of size; a node holds the OR of its bitmaps, its
 size range and its largest slack (shingles that share a bit).  The tree is
 walked against itself by pairs of nodes, and a pair is left as soon as sizes,
 the largest possible overlap (common bits plus slack) or a common component rule
-out a new link.  Leaf pairs that remain are verified on the whole sets.  So no
-link between different components is missed, and pairs inside one component are
-not listed.
+out a new link.  Classes of leaf pairs that remain meet once more in their blocks,
+now with their whole sets, and are compared there; a task joins components as it
+finds links.  So no link between different components is missed, and no list of
+pairs is made: the first walk hands on classes of a block, the second fewer links
+than its task has components.
 
 Defined results: null and empty texts have an empty set (n_shingles 0) and are
 their own component; a text of 1 to 4 words has one shingle, the whole sequence;
@@ -53,6 +55,8 @@ BROADCAST_IDS = 1_000_000
 EARLY = 8
 #: Tasks over which blocks of the same first class may be spread; pairs that a task remembers.
 DEALS, REMEMBERED = 4, 500_000
+#: Sets that one set is compared with at a time.
+COMPARED = 512
 FANOUT = 8
 PAIRS_AT_ONCE = 50_000
 MULTIPLIERS = np.random.default_rng(8).integers(1 << 62, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -233,45 +237,95 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def tree_pairs(blocks: DataFrame) -> DataFrame:
-    """(a, b) that the trees leave, from rows (block, deal, cls, n, label, bits).
+def tree_classes(blocks: DataFrame) -> DataFrame:
+    """(block, deal, cls, label) of the classes that the trees leave in a pair, from rows (block, deal, cls, n, label, bits).
 
     Blocks of the same first class mostly hold the same classes, so they are dealt
-    to a few tasks, and a task gives each pair once (as long as it remembers it).
+    to a few tasks, and a task counts each pair once (as long as it remembers it).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple[int, int]] = set()
         for block in by_block(batches):
             if block.num_rows > 1:
-                columns = [block.column(c).to_numpy() for c in ("cls", "n", "label")]
+                columns, held = [block.column(c).to_numpy() for c in ("cls", "n", "label")], np.zeros(0, np.int64)
                 for a, b in block_pairs(*columns, block.column("bits").to_pylist()):
                     new = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - given
                     given = new if len(given) > REMEMBERED else given
                     given |= new
-                    if new:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*new, strict=True)], names=["a", "b"])
+                    held = np.unique(np.concatenate([held, *zip(*new, strict=True)]))
+                if len(held):
+                    yield from block.select(["block", "deal", "cls", "label"]).filter(pa.array(np.isin(columns[0], held))).to_batches()
+
+    return blocks.repartition("deal").sortWithinPartitions("deal", "block").mapInArrow(run, "block long, deal long, cls long, label long")
+
+
+class Joined:
+    """Components of labels, as a task joins them."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(p, p)
+            x = p
+        return x
+
+    def roots(self, labels: np.ndarray) -> np.ndarray:
+        return np.array([self.top(x) for x in labels.tolist()], np.int64)
+
+
+def block_links(cls: np.ndarray, label: np.ndarray, sets: list[np.ndarray], joined: Joined) -> tuple[list[int], list[int]]:
+    """Links (a, b) of a block's classes with these sets; each joins two components that were apart."""
+    n, root = np.array([len(s) for s in sets], np.int64), joined.roots(label)
+    codes, ends = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32), np.cumsum(n)
+    codes, has = np.split(codes, ends[:-1]), np.zeros(int(codes.max()) + 1, bool)
+    order = np.argsort(cls)
+    place = lambda c: order[np.searchsorted(cls, c, sorter=order)]
+    out: tuple[list[int], list[int]] = ([], [])
+    for a, b in block_pairs(cls, n, root, [bitmap(s) for s in sets]):
+        a, b = place(a), place(b)
+        by_a = np.argsort(a, kind="stable")
+        a, b = a[by_a], b[by_a]
+        cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            i = a[s]
+            has[codes[i]] = True
+            for k in range(s, e, COMPARED):
+                others = b[k : min(e, k + COMPARED)]
+                others = others[root[others] != root[i]]
+                if not len(others):
+                    continue
+                begin = np.cumsum(n[others]) - n[others]
+                common = np.add.reduceat(has[np.concatenate([codes[j] for j in others])], begin, dtype=np.int64)
+                for j in others[100 * common >= 80 * (n[i] + n[others] - common)].tolist():
+                    if (low := min(root[i], root[j])) != (high := max(root[i], root[j])):
+                        joined.parent[int(high)] = int(low)
+                        root[root == high] = low
+                        out[0].append(int(cls[i]))
+                        out[1].append(int(cls[j]))
+            has[codes[i]] = False
+    return out
 
-    return blocks.repartition("deal").sortWithinPartitions("deal", "block").mapInArrow(run, "a long, b long").distinct()
 
+def linked(blocks: DataFrame) -> DataFrame:
+    """(a, b): links that join components, from rows (block, deal, cls, label, shingles)."""
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 0.8 or more: bitmaps first, then the whole sets."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = Joined()
+        for block in by_block(batches):
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in block.column("shingles")]
+            a, b = block_links(block.column("cls").to_numpy(), block.column("label").to_numpy(), sets, joined)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                slack = min(n - popcount(p), m - popcount(q))
-                while len(p) != len(q):
-                    p, q = (p[: len(q)] | p[len(q) :], q) if len(p) == 2 * len(q) else (q, p) if len(q) == 2 * len(p) else (p[:0], q[:0])
-                keep.append(5 * min(n, m) >= 4 * max(n, m) and 9 * (slack + int(popcount(p & q)) if len(p) else 0) >= 4 * (n + m))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return blocks.repartition("deal").sortWithinPartitions("deal", "block").mapInArrow(run, "a long, b long").distinct()
 
-    left = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(by_bits, "a long, b long"), "pairs")
-    needed = classes.join(left.select(F.col("a").alias("cls")).union(left.select("b")).distinct(), "cls", "left_semi").select("cls", "digest", F.xxhash64("first_id").alias("key"))
+
+def whole_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cls, shingles) of the classes in ``needed`` (cls)."""
+    needed = classes.join(needed.distinct(), "cls", "left_semi").select("cls", "digest", F.xxhash64("first_id").alias("key"))
     needed = scratch.table(needed, "needed")
     keys = needed.select("key").distinct()
     if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
@@ -285,7 +339,29 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scr
                 yield pa.RecordBatch.from_arrays([pa.array([blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
     sets = bodies.mapInArrow(full, "digest binary, shingles binary").join(needed.select("cls", "digest"), "digest").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    sets = scratch.table(sets, "sets")
+    return scratch.table(sets, "sets")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 0.8 or more: bitmaps first, then the whole sets."""
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+
+    def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True):
+                if not (fits := 5 * min(n, m) >= 4 * max(n, m)):
+                    keep.append(fits)
+                    continue
+                p, q = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+                # Such sizes are at most one width apart.  A folded bitmap has more shingles that share a bit, so slack is counted after.
+                q = q if len(q) == len(p) else q[: len(p)] | q[len(p) :]
+                slack = min(min(n, m) - popcount(p), max(n, m) - popcount(q))
+                keep.append(9 * int(slack + popcount(p & q)) >= 4 * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(by_bits, "a long, b long"), "pairs")
+    sets = whole_sets(left.select(F.col("a").alias("cls")).union(left.select("b")), classes, docs, scratch)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +411,8 @@ def jaccard_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # Shingles with the same classes make the same block; one of them is enough.
     chosen = mixed.groupBy("many", "list", "head").agg(F.min("token").alias("token")).select("token", F.xxhash64("head", F.pmod("token", F.lit(DEALS))).alias("deal"))
     blocks = members.join(chosen, "token").join(classes.select("cls", "bits"), "cls").select(F.col("token").alias("block"), "deal", "cls", "n", "label", "bits")
-    more = verified(scratch.table(tree_pairs(blocks), "tree-pairs"), classes, docs, scratch)
+    asked = scratch.table(tree_classes(blocks), "tree-classes")
+    more = scratch.table(linked(asked.join(whole_sets(asked.select("cls"), classes, docs, scratch), "cls").select("block", "deal", "cls", "label", "shingles")), "links-found")
 
     roots = connected_components(links.unionByName(more), scratch)
     named = classes.select("cls", "digest", "first_id").join(roots, F.col("cls") == F.col("node"), "left").select("digest", "first_id", F.coalesce("root", "cls").alias("root"))

@@ -437,6 +437,40 @@ def test_tree_loses_no_link():
     assert linked <= found and len(found) < len(cls) * (len(cls) - 1) // 4
 
 
+def test_links_across_widths_of_bitmaps(spark):
+    # 64 and 70 shingles have bitmaps of 128 and 256 bits; 60 of them in common are 0.81.
+    rng, rows = np.random.default_rng(4), []
+    for k in range(60):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, 84)]
+        rows += [(2 * k, " ".join(w[:68])), (2 * k + 1, " ".join(w[74:78] + w[4:74]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (64 + 6 * (i % 2), i - i % 2) for i in range(120)}
+
+
+def test_near_copies_give_no_list_of_pairs(spark):
+    # 150 sets that share 100 shingles of 119 to 126: candidates of each other by their bitmaps, of which few are links.
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 100)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 62, 19 + k % 8)])) for k in range(150)]
+    sets += [np.unique(np.concatenate([s[1:], rng.integers(0, 1 << 62, 1)])) for s in sets[:50]]
+    cls, many = np.arange(200), len(sets)
+    candidates = sum(len(a) for a, _ in jaccard_join.block_pairs(cls, np.array([len(s) for s in sets]), cls, [jaccard_join.bitmap(s) for s in sets]))
+    assert candidates > 10 * many
+    rows = [(1, 1, int(c), len(sets[c]), int(c), jaccard_join.bitmap(sets[c]), sets[c].tobytes()) for c in cls]
+    blocks = spark.createDataFrame(rows, "block long, deal long, cls long, n long, label long, bits binary, shingles binary")
+    asked = jaccard_join.tree_classes(blocks.drop("shingles"))
+    assert 0 < asked.count() <= many
+    found = {(r.a, r.b) for r in jaccard_join.linked(asked.join(blocks.select("cls", "shingles"), "cls").select("block", "deal", "cls", "label", "shingles")).collect()}
+    alike = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    assert all(alike(a, b) for a, b in found) and len(found) < many
+    parts = [list(range(many)), list(range(many))]
+    for part, links in zip(parts, (found, {(a, b) for a in range(many) for b in range(a) if alike(a, b)}), strict=True):
+        for a, b in links:
+            x, y = sorted((part[a], part[b]))
+            part[:] = [x if p == y else p for p in part]
+    assert parts[0] == parts[1]
+
+
 @pytest.mark.parametrize("one_task", [0, 1000])
 def test_components(spark, one_task):
     rng = np.random.default_rng(4)
