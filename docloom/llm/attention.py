@@ -14,7 +14,7 @@ import numpy as np
 CONTEXT, STRIDE, WIDTH, HIDDEN = 20, 14, 8, 24
 #: Classes in a group; the number of classes is a multiple.
 MEMBERS = 8
-WINDOWS_AT_ONCE = 1024
+WINDOWS_AT_ONCE = 512
 #: Logits of attention are held within these bounds, so that a row's sum needs no maximum first.
 BOUND = 60
 SEEN = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
@@ -63,7 +63,7 @@ def direct_rows(mass: np.ndarray) -> Direct:
 def segments(group: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order that brings targets of equal groups together, and (group, first, end) of each."""
     ends = np.cumsum(np.bincount(group, minlength=groups)).tolist()
-    return np.argsort(group, kind="stable"), [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+    return np.argsort(group.astype(np.min_scalar_type(groups)), kind="stable"), [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -86,60 +86,97 @@ def rows(t: np.ndarray) -> np.ndarray:
     return t.reshape(-1, t.shape[-1])
 
 
-def hidden(p: Params, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """x: (windows, CONTEXT) inputs.  The last one is the rectified layer."""
-    e = p["emb"][x] + p["pos"]
-    q, k, v = e @ p["wq"] * np.float32(WIDTH**-0.5), e @ p["wk"], e @ p["wv"]
+def projections(p: Params) -> np.ndarray:
+    """The weights of queries, keys and values side by side."""
+    return np.concatenate([p["wq"] * np.float32(WIDTH**-0.5), p["wk"], p["wv"]], 1)
+
+
+def attention(p: Params, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """x: (windows, CONTEXT) inputs.  Embeddings; queries, keys and values side by side; shares of attention; and the values they take."""
+    e = p["emb"][x]
+    e += p["pos"]
+    qkv = (rows(e) @ projections(p)).reshape(*x.shape, -1)
+    q, k, v = (qkv[..., at : at + WIDTH] for at in (0, WIDTH, 2 * WIDTH))
     a = attended(q @ k.transpose(0, 2, 1))
-    o = a @ v + e
-    return e, q, k, v, a, o, np.maximum(o @ p["w1"] + p["b1"], 0)
+    return e, qkv, a, a @ v
 
 
 def forward(p: Params, x: np.ndarray, direct: Direct) -> np.ndarray:
     """Log probabilities of all classes at each position; the slow and plain way."""
-    h = hidden(p, x)[-1]
+    e, _, _, taken = attention(p, x)
+    h = np.maximum((taken + e) @ p["w1"] + p["b1"], 0)
     groups, members = h @ p["w2"] + p["b2"] + direct[0][x], np.einsum("nth,ghm->ntgm", h, p["w3"]) + p["b3"] + direct[1][x]
     groups, members = (t - np.log(np.exp(t).sum(-1, keepdims=True)) for t in (groups, members))
     return (groups[..., None] + members).reshape(*x.shape, -1)
 
 
-def slopes(p: Params, x: np.ndarray, direct: Direct, y: np.ndarray, w: np.ndarray) -> tuple[float, Params, np.ndarray]:
-    """Mean cross-entropy of targets y where w is 1, its gradient but for the embeddings, and that at each input.
+def rectified(p: Params, o: np.ndarray) -> np.ndarray:
+    """The rectified layer, a column for each row of ``o``, and a last row of ones, which the biases of the next layer meet."""
+    h = np.ones((HIDDEN + 1, len(o)), np.float32)
+    np.matmul(p["w1"].T, o.T, out=h[:HIDDEN])
+    h[:HIDDEN] += p["b1"][:, None]
+    np.maximum(h[:HIDDEN], 0, out=h[:HIDDEN])
+    return h
+
+
+def with_biases(p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the two steps of the softmax with their biases as a last row."""
+    return np.concatenate([p["w2"], p["b2"][None]]), np.concatenate([p["w3"], p["b3"][:, None]], 1)
+
 
-    Logits have a column for each target, so that maxima and sums go along the memory.
+def direct_of(direct: Direct, row: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A column for each input: what is added to the logits of the groups, and of the members of its target's group."""
+    groups = direct[0].shape[1]
+    return np.take(direct[0], row, 0).T, np.ascontiguousarray(np.take(direct[1].reshape(-1, MEMBERS), row * groups + group, 0).T)
+
+
+def slopes(p: Params, x: np.ndarray, direct: Direct, y: np.ndarray, w: np.ndarray, with_loss: bool = True) -> tuple[float, Params, np.ndarray]:
+    """Mean cross-entropy (0 without ``with_loss``) of targets y where w is 1, its gradient but for the embeddings, and that at each input.
+
+    What follows attention has a column for each target, so that maxima and sums go
+    along the memory, and targets of equal groups together.
     """
-    e, q, k, v, a, o, h = hidden(p, x)
-    h, row, group, member = rows(h), x.ravel(), (y // MEMBERS).ravel(), (y % MEMBERS).ravel()
-    each, share = np.arange(len(row)), (w / max(1.0, float(w.sum()))).ravel()
-    g2 = softmax(p["w2"].T @ h.T + p["b2"][:, None] + direct[0][row].T)
-    loss = -float(np.log(g2[group, each] + 1e-20) @ share)
-    g2[group, each] -= 1
-    g2 *= share
-    gh = g2.T @ p["w2"].T
-    out = {"w2": h.T @ g2.T, "b2": g2.sum(1), "w3": np.zeros_like(p["w3"]), "b3": np.zeros_like(p["b3"])}
-    order, parts = segments(group, len(p["b2"]))
-    near, below, member, share = h[order], np.ascontiguousarray(direct[1][row[order], group[order]].T), member[order], share[order]
+    e, qkv, a, taken = attention(p, x)
+    q, k, v = (qkv[..., at : at + WIDTH] for at in (0, WIDTH, 2 * WIDTH))
+    order, parts = segments((y // MEMBERS).ravel(), len(p["b2"]))
+    y, share = y.ravel()[order], (w / max(1.0, float(w.sum()))).ravel()[order]
+    group, member, each = y // MEMBERS, y % MEMBERS, np.arange(len(y))
+    o = rows(taken + e)[order]
+    h, (w2, w3) = rectified(p, o), with_biases(p)
+    groups, members = direct_of(direct, x.ravel()[order], group)
+    g2, below = w2.T @ h, np.empty_like(members)
+    g2 += groups
     for g, s, t in parts:
-        below[:, s:t] += p["w3"][g].T @ near[s:t].T + p["b3"][g][:, None]
-    g3 = softmax(below)
-    loss -= float(np.log(g3[member, each] + 1e-20) @ share)
-    g3[member, each] -= 1
-    g3 *= share
-    back = np.empty_like(near)
+        np.matmul(w3[g].T, h[:, s:t], out=below[:, s:t])
+    below += members
+    loss = 0.0
+    for at, target in ((g2, group), (below, member)):
+        softmax(at)
+        seat = target * np.int64(len(y)) + each
+        if with_loss:
+            loss -= float(np.log(at.ravel()[seat] + 1e-20) @ share)
+        at.ravel()[seat] -= 1
+        at *= share
+    own, many = h @ g2.T, np.zeros_like(w3)
+    gh = np.empty_like(h[:HIDDEN])
     for g, s, t in parts:
-        out["w3"][g], out["b3"][g] = near[s:t].T @ g3[:, s:t].T, g3[:, s:t].sum(1)
-        back[s:t] = g3[:, s:t].T @ p["w3"][g].T
-    gh[order] += back
-    gh *= h > 0
-    out |= {"w1": rows(o).T @ gh, "b1": gh.sum(0)}
-    go = (gh @ p["w1"].T).reshape(o.shape)
+        many[g] = h[:, s:t] @ below[:, s:t].T
+        np.matmul(p["w3"][g], below[:, s:t], out=gh[:, s:t])
+    gh += p["w2"] @ g2
+    gh *= h[:HIDDEN] > 0
+    out = {"w1": o.T @ gh.T, "b1": gh.sum(1), "w2": own[:-1], "b2": own[-1], "w3": many[:, :-1], "b3": many[:, -1]}
+    go = np.empty_like(e)
+    rows(go)[order] = (p["w1"] @ gh).T
     gs = go @ v.transpose(0, 2, 1)
-    gs -= (rows(gs * a) @ ONES).reshape(*a.shape[:-1], 1)
+    # The sum of a row's slopes by its shares is that of what it took.
+    gs -= np.einsum("nti,nti->nt", go, taken)[..., None]
     gs *= a
-    gq, gk, gv = gs @ k * np.float32(WIDTH**-0.5), gs.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ go
-    out |= {n: rows(e).T @ rows(t) for n, t in (("wq", gq), ("wk", gk), ("wv", gv))}
-    ge = go + gq @ p["wq"].T + gk @ p["wk"].T + gv @ p["wv"].T
-    return loss, out | {"pos": ge.sum(0)}, rows(ge)
+    back = np.concatenate([gs @ k, gs.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ go], -1)
+    to = rows(e).T @ rows(back)
+    out |= {"wq": to[:, :WIDTH] * np.float32(WIDTH**-0.5), "wk": to[:, WIDTH : 2 * WIDTH], "wv": to[:, 2 * WIDTH :]}
+    ge = rows(back) @ projections(p).T
+    ge += rows(go)
+    return loss, out | {"pos": ge.reshape(e.shape).sum(0)}, ge
 
 
 def gradient(p: Params, x: np.ndarray, direct: Direct, y: np.ndarray, w: np.ndarray) -> tuple[float, Params]:
@@ -163,19 +200,32 @@ def train(p: Params, direct: Direct, inputs: np.ndarray, targets: np.ndarray, ma
 
     A step moves the embeddings of its own inputs only, so its cost doesn't depend on how many inputs there are.
     """
-    p = {k: v.copy() for k, v in p.items()}
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
+    names = [k for k in p if k != "emb"]
+    sizes = np.cumsum([p[k].size for k in names])
+    # All but the embeddings lie in one vector, which a step moves at once.
+    rest = np.concatenate([p[k].ravel() for k in names])
+    p = {"emb": p["emb"].copy()} | {k: part.reshape(p[k].shape) for k, part in zip(names, np.split(rest, sizes[:-1]), strict=True)}
+    m, s = np.zeros_like(rest), np.zeros_like(rest)
+    m_emb, s_emb = np.zeros_like(p["emb"]), np.zeros_like(p["emb"])
+    seen, seats = np.zeros(len(p["emb"]), bool), np.zeros(len(p["emb"]), np.int64)
+
+    def moved(g: np.ndarray, m: np.ndarray, s: np.ndarray, t: int) -> np.ndarray:
+        m += np.float32(0.1) * (g - m)
+        s += np.float32(0.01) * (g * g - s)
+        return np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(s / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+
     for t, at in enumerate(range(0, len(inputs), batch), 1):
-        x = inputs[at : at + batch]
-        _, g, at_inputs = slopes(p, x, direct, targets[at : at + batch], mask[at : at + batch])
-        own, seat = np.unique(x, return_inverse=True)
-        g["emb"] = np.stack([np.bincount(seat.ravel(), column, len(own)) for column in at_inputs.T], 1).astype(at_inputs.dtype)
-        for k in p:
-            part = own if k == "emb" else slice(None)
-            m[k][part] += np.float32(0.1) * (g[k] - m[k][part])
-            s[k][part] += np.float32(0.01) * (g[k] ** 2 - s[k][part])
-            p[k][part] -= np.float32(rate) * (m[k][part] / np.float32(1 - 0.9**t)) / (np.sqrt(s[k][part] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+        x = inputs[at : at + batch].astype(np.int64)
+        _, g, at_inputs = slopes(p, x, direct, targets[at : at + batch], mask[at : at + batch], with_loss=False)
+        rest -= moved(np.concatenate([g[k].ravel() for k in names]), m, s, t)
+        seen[x] = True
+        own = np.flatnonzero(seen)
+        seen[own], seats[own] = False, np.arange(len(own))
+        seat = seats[x.ravel()]
+        g = np.stack([np.bincount(seat, column, len(own)) for column in at_inputs.T], 1).astype(at_inputs.dtype)
+        m_own, s_own = m_emb[own], s_emb[own]
+        p["emb"][own] -= moved(g, m_own, s_own, t)
+        m_emb[own], s_emb[own] = m_own, s_own
     return p
 
 
@@ -183,10 +233,15 @@ class Scorer:
     """Log probabilities of the inputs' successors.  Products of embeddings with weights are made once."""
 
     def __init__(self, p: Params, direct: Direct):
-        self.p = p
-        self.groups, self.members = direct[0] + p["b2"], direct[1] + p["b3"]
-        self.table = np.concatenate([p["emb"] @ p["wq"] * np.float32(WIDTH**-0.5), p["emb"] @ p["wk"], p["emb"] @ p["wv"], p["emb"]], axis=1)
-        self.place = np.concatenate([p["pos"] @ p["wq"] * np.float32(WIDTH**-0.5), p["pos"] @ p["wk"], p["pos"] @ p["wv"], p["pos"]], axis=1)
+        self.p, self.direct = p, direct
+        self.w1 = np.concatenate([p["w1"], p["b1"][None]]).T.copy()
+        w2, w3 = with_biases(p)
+        self.w2, self.w3 = w2.T.copy(), w3.transpose(0, 2, 1).copy()
+        # Queries, keys, values and a one beside them, embeddings and a zero beside them.
+        spot = np.zeros((WIDTH, 1), np.float32)
+        weights = np.concatenate([projections(p), spot, np.eye(WIDTH, dtype=np.float32), spot], 1)
+        self.table, self.place = p["emb"] @ weights, p["pos"] @ weights
+        self.place[:, 3 * WIDTH] = 1
 
     def picked(self, logits: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log P(y) of each column."""
@@ -196,18 +251,29 @@ class Scorer:
 
     def block(self, x: np.ndarray, y: np.ndarray, first: int) -> np.ndarray:
         """log P(y) for the window positions from ``first`` on; y has these positions only."""
-        t = self.table[x] + self.place
+        t = np.take(self.table, x, 0)
+        t += self.place
         d = WIDTH
-        a = attended(t[:, first:, :d] @ t[:, :, d : 2 * d].transpose(0, 2, 1), SEEN[first:])
-        o = a @ t[:, :, 2 * d : 3 * d] + t[:, first:, 3 * d :]
-        h = np.maximum(o.reshape(-1, d) @ self.p["w1"] + self.p["b1"], 0)
-        row, group, member = x[:, first:].ravel(), (y // MEMBERS).ravel(), (y % MEMBERS).ravel()
-        out = self.picked(self.p["w2"].T @ h.T + self.groups[row].T, group)
-        order, parts = segments(group, len(self.p["b2"]))
-        h, below = h[order], np.ascontiguousarray(self.members[row[order], group[order]].T)
+        a = t[:, first:, :d] @ t[:, :, d : 2 * d].transpose(0, 2, 1)
+        np.exp(np.clip(a, -BOUND, BOUND, out=a), out=a)
+        a *= SEEN[first:]
+        # The ones sum the shares, and are ones again for the biases of the next layer.
+        o = a @ t[:, :, 2 * d : 3 * d + 1]
+        o /= o[..., d:].copy()
+        o += t[:, first:, 3 * d + 1 :]
+        order, parts = segments((y // MEMBERS).ravel(), len(self.p["b2"]))
+        target = y.ravel()[order]
+        h = np.ones((HIDDEN + 1, len(target)), np.float32)
+        np.maximum(self.w1 @ np.take(rows(o), order, 0).T, 0, out=h[:HIDDEN])
+        groups, members = direct_of(self.direct, x[:, first:].ravel()[order], target // MEMBERS)
+        below = np.empty_like(members)
         for g, s, e in parts:
-            below[:, s:e] += self.p["w3"][g].T @ h[s:e].T
-        out[order] += self.picked(below, member[order])
+            np.matmul(self.w3[g], h[:, s:e], out=below[:, s:e])
+        below += members
+        logits = self.w2 @ h
+        logits += groups
+        out = np.empty(len(target), np.float32)
+        out[order] = self.picked(logits, target // MEMBERS) + self.picked(below, target % MEMBERS)
         return out.reshape(y.shape)
 
     def totals(self, sequence: np.ndarray, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -219,7 +285,7 @@ class Scorer:
         STRIDE, so each target is scored once.
         """
         out = np.zeros(len(starts))
-        sequence, classes = (np.concatenate([a, np.zeros(CONTEXT + 1, a.dtype)]) for a in (sequence, classes))
+        sequence, classes = (np.concatenate([a, np.zeros(CONTEXT + 1, a.dtype)]) for a in (sequence.astype(np.int64), classes))
         at, owner = windows(starts, lengths)
         for lead in (True, False):
             pick = np.flatnonzero((at == starts[owner]) == lead)

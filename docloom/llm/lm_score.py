@@ -52,8 +52,12 @@ LONGEST = 64
 STRETCH = 64
 #: White space other than the space, as words are split.
 BLANKS = "\t\n\x0b\x0c\r"
+#: Bytes that words are made of.
+SOLID = ~np.isin(np.arange(256), list(b" " + BLANKS.encode()))
 #: Characters that a task reads together; more share more words.
 SLICE = 2_000_000
+#: Words that a worker remembers, and an eighth of their pieces; speed only.
+REMEMBERED = 400_000
 
 
 def word_counts(train: DataFrame, text_col: str) -> DataFrame:
@@ -278,51 +282,88 @@ def learned_classes(counts: DataFrame, ends: int, pieces: Pieces, kept_pairs: in
     return out, inside.join(F.broadcast(named), "id").select(pair.alias("pair"), (F.log1p(F.col("n") / F.col("share")) / math.log(10)).alias("plus"))
 
 
+def words_of(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """How many words each text has, the distinct lower-cased words, and the place among these of each word."""
+    folded = [t.encode().translate(LOWER_BYTES) for t in texts]
+    text = np.frombuffer(b" " + b" ".join(folded) + b" ", np.uint8)
+    solid = SOLID[text]
+    starts, ends = (np.flatnonzero(x) + 1 for x in (solid[1:] & ~solid[:-1], solid[:-1] & ~solid[1:]))
+    lengths = np.diff(np.searchsorted(starts, np.cumsum([1] + [len(t) + 1 for t in folded])))
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(text[solid])]).dictionary_encode()
+    return lengths, words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+
+
 class Reader:
-    """Texts to words, class ids and base scores, in a worker."""
+    """Texts to words, class ids and base scores, in a worker.
+
+    Words are cut once while they are remembered; they are forgotten together, between two readings, when they are many or long.
+    """
 
-    def __init__(self, pieces: Pieces, classes: Classes, frequent: list[tuple[str, int]], tokens: int, distinct: int, ends: int):
-        self.pieces, self.classes = pieces, classes
-        self.base = {w.encode(): np.log10((n + ADD) / (tokens + ADD * (distinct + 1))) for w, n in frequent}
+    def __init__(self, pieces: Pieces, classes: Classes, frequent: list[tuple[str, int]], tokens: int, distinct: int, ends: int, scoring: bool = True):
+        self.pieces, self.classes, self.scoring = pieces, classes, scoring
+        logs = np.log10((np.array([n for _, n in frequent], float) + ADD) / (tokens + ADD * (distinct + 1)))
+        self.base_of = dict(zip((w.encode() for w, _ in frequent), logs.tolist(), strict=True))
         self.end_base = float(np.log10((ends + ADD) / (tokens + ADD * (distinct + 1))))
         self.end_known = int(ends > 0)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+        #: By word: how many pieces, the log share of those after its first class, base score, how many pairs are counted elsewhere.
+        self.sizes, self.share, self.base, self.n_pairs = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        self.stored, self.pairs = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Cuts words that are not remembered, and scores what does not hang on their neighbours."""
+        self.number.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.words += words
+        sizes, stored = self.pieces.cut(words)
+        self.sizes, self.stored = np.concatenate([self.sizes, sizes]), np.concatenate([self.stored, stored])
+        if not self.scoring:
+            return
+        share = self.classes.log_share[stored]
+        later = np.ones(len(stored), bool)
+        later[np.cumsum(sizes) - sizes] = False
+        later = np.flatnonzero(later)
+        share[later], held = self.classes.shares_and_held(stored[later - 1], stored[later])
+        word_of = np.repeat(np.arange(len(sizes)), sizes)
+        later = later[~held]
+        self.share = np.concatenate([self.share, np.bincount(word_of, share, minlength=len(sizes))])
+        self.base = np.concatenate([self.base, np.array([self.base_of.get(w, np.nan) for w in words])])
+        self.pairs = np.concatenate([self.pairs, stored[later - 1].astype(np.int64) << 32 | stored[later]])
+        self.n_pairs = np.concatenate([self.n_pairs, np.bincount(word_of[later], minlength=len(sizes))])
 
-    def sequences(self, texts: list[str], scoring: bool = True) -> dict:
+    def sequences(self, texts: list[str]) -> dict:
         """One sequence of subword ids with a start and an end for each text; for scoring also its words, and the pairs whose counts are elsewhere."""
-        split = [t.encode().translate(LOWER_BYTES).split() for t in texts]
-        number: dict[bytes, int] = {}
-        ids = np.array([number.setdefault(w, len(number)) for words in split for w in words], np.int64)
-        lengths = np.array([len(w) for w in split], np.int64)
-        owner = np.repeat(np.arange(len(split)), lengths)
-        sizes, stored = self.pieces.cut(list(number))
-        first = np.cumsum(sizes) - sizes
-        many = sizes[ids]
-        per_text = np.bincount(owner, many, minlength=len(split)).astype(np.int64)
+        lengths, distinct, ids = words_of(texts)
+        if len(self.words) > REMEMBERED or len(self.stored) > 8 * REMEMBERED:
+            self.forget()
+        number = np.array([self.number.get(w, -1) for w in distinct], np.int64)
+        if len(fresh := np.flatnonzero(number < 0)):
+            number[fresh] = len(self.words) + np.arange(len(fresh))
+            self.learn([distinct[i] for i in fresh])
+        ids = number[ids]
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        first = np.cumsum(self.sizes) - self.sizes
+        many = self.sizes[ids]
+        per_text = np.bincount(owner, many, minlength=len(texts)).astype(np.int64)
         # Each text: a start, its pieces, an end.
         starts = np.cumsum(per_text + 2) - (per_text + 2)
         sequence = np.full(int((per_text + 2).sum()), self.classes.end, np.int32)
-        inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        seat = np.arange(int(many.sum())) + 2 * np.repeat(owner, many) + 1
-        sequence[seat] = stored[np.repeat(first[ids], many) + inner]
+        piece = np.arange(int(many.sum()))
+        # From a piece's place among all to its seat, and to where its word is stored.
+        begin = np.cumsum(many) - many
+        sequence[piece + np.repeat(2 * owner + 1, many)] = self.stored[piece + np.repeat(first[ids] - begin, many)]
         out = {"sequence": sequence, "starts": starts, "inputs": per_text + 1}
-        if not scoring:
+        if not self.scoring:
             return out
-        share = self.classes.log_share[stored]
-        later = np.ones(len(stored), bool)
-        later[first] = False
-        later = np.flatnonzero(later)
-        share[later], held = self.classes.shares_and_held(stored[later - 1], stored[later])
-        word_of = np.repeat(np.arange(len(sizes)), sizes)
-        of_word = np.bincount(word_of, share, minlength=len(sizes))
-        inside = np.bincount(owner, of_word[ids], minlength=len(split))
-        base = np.array([self.base.get(w, np.nan) for w in number])
-        later = later[~held]
-        pairs, of_word = stored[later - 1].astype(np.int64) << 32 | stored[later], np.bincount(word_of[later], minlength=len(sizes))
-        times = of_word[ids]
-        inner = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        pairs = pairs[np.repeat((np.cumsum(of_word) - of_word)[ids], times) + inner]
-        n_pairs = np.bincount(owner, times, minlength=len(split)).astype(np.int64)
-        return out | {"words": list(number), "ids": ids, "owner": owner, "lengths": lengths, "inside": inside, "base": base, "pairs": pairs, "n_pairs": n_pairs}
+        inside = np.bincount(owner, self.share[ids], minlength=len(texts))
+        times = self.n_pairs[ids]
+        pairs = self.pairs[np.arange(int(times.sum())) + np.repeat((np.cumsum(self.n_pairs) - self.n_pairs)[ids] - (np.cumsum(times) - times), times)]
+        n_pairs = np.bincount(owner, times, minlength=len(texts)).astype(np.int64)
+        return out | {"words": self.words, "ids": ids, "owner": owner, "lengths": lengths, "inside": inside, "base": self.base, "pairs": pairs, "n_pairs": n_pairs}
 
 
 def training_part(train: DataFrame, id_col: str, k: int, one_in: int) -> DataFrame:
@@ -344,7 +385,7 @@ def train_model(train: DataFrame, id_col: str, text_col: str, reader, n_inputs:
             used = np.zeros(n_inputs, np.int64)
             for batch in batches:
                 for _, texts in slices(batch, "body", SLICE):
-                    s = own.sequences(texts, scoring=False)
+                    s = own.sequences(texts)
                     at, of = attention.windows(s["starts"], s["inputs"], attention.CONTEXT)
                     order = rng.permutation(len(at))
                     at, of = at[order], of[order]
@@ -391,7 +432,7 @@ def lm_score(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_
     classes, pairs = learned_classes(counts, ends, pieces, kept_pairs, scratch)
     frequent = [(r.word, r.n) for r in most_frequent(counts.where(F.octet_length("word") <= LONGEST), frequent_words, scratch).collect()]
     shared, common = spark.sparkContext.broadcast((pieces, classes)), spark.sparkContext.broadcast(frequent)
-    trained = train_model(train, id_col, text_col, lambda: Reader(*shared.value, [], tokens, distinct, ends), pieces.top, classes.n, rounds, train_one_in or rounds)
+    trained = train_model(train, id_col, text_col, lambda: Reader(*shared.value, [], tokens, distinct, ends, scoring=False), pieces.top, classes.n, rounds, train_one_in or rounds)
     params = spark.sparkContext.broadcast(attention.flat(trained))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

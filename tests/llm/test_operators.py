@@ -580,6 +580,29 @@ def test_lm_cuts_words_by_longest_piece():
     assert [len(x) for x in pieces.cut([])] == [0, 0]
 
 
+def test_lm_reader_cuts_a_word_once(monkeypatch):
+    pieces = lm_score.Pieces(bpe.Vocabulary(bpe.tokenizer_path()))
+    flat = np.ones(pieces.top)
+    known = lm_score.Classes(flat, flat, pieces.end)
+    known.learn(np.zeros((pieces.top, known.n)), flat, tuple(np.zeros(0, np.int64) for _ in range(3)))
+    texts = ["The river\tthe Stone\r\nRIVER", "", " \x0b", "\u00a0 Ärger\u2003x été\x1cx", "stone " * 50, "a" * 200, "river cloud the"]
+    cut, kept = [], lm_score.Pieces.cut
+    monkeypatch.setattr(lm_score.Pieces, "cut", lambda self, words: cut.extend(words) or kept(self, words))
+    for remembered in (lm_score.REMEMBERED, 3):
+        monkeypatch.setattr(lm_score, "REMEMBERED", remembered)
+        reader = lm_score.Reader(pieces, known, [("the", 3), ("Ärger".lower(), 2)], 10, 4, 2)
+        cut.clear()
+        for some in (texts[:3], texts, texts[::-1], [""]):
+            got = reader.sequences(some)
+            assert got["lengths"].tolist() == [len(words(t)) for t in some]
+            assert [got["words"][i] for i in got["ids"]] == [w for t in some for w in t.encode().translate(LOWER).split()]
+            for t, start, n in zip(some, got["starts"], got["inputs"], strict=True):
+                ids = kept(pieces, t.encode().translate(LOWER).split())[1].tolist()
+                assert got["sequence"][start : start + n + 1].tolist() == [pieces.end, *ids, pieces.end]
+        if remembered > 3:
+            assert len(cut) == len(set(cut))
+
+
 def test_lm_shares_add_up():
     rng = np.random.default_rng(4)
     ids, end = 400, 7
