@@ -112,7 +112,7 @@ def forward(p: Params, x: np.ndarray, direct: Direct) -> np.ndarray:
 
 def rectified(p: Params, o: np.ndarray) -> np.ndarray:
     """The rectified layer, a column for each row of ``o``, and a last row of ones, which the biases of the next layer meet."""
-    h = np.ones((HIDDEN + 1, len(o)), np.float32)
+    h = np.ones((HIDDEN + 1, len(o)), o.dtype)
     np.matmul(p["w1"].T, o.T, out=h[:HIDDEN])
     h[:HIDDEN] += p["b1"][:, None]
     np.maximum(h[:HIDDEN], 0, out=h[:HIDDEN])
@@ -144,7 +144,7 @@ def slopes(p: Params, x: np.ndarray, direct: Direct, y: np.ndarray, w: np.ndarra
     o = rows(taken + e)[order]
     h, (w2, w3) = rectified(p, o), with_biases(p)
     groups, members = direct_of(direct, x.ravel()[order], group)
-    g2, below = w2.T @ h, np.empty_like(members)
+    g2, below = w2.T @ h, np.empty(members.shape, h.dtype)
     g2 += groups
     for g, s, t in parts:
         np.matmul(w3[g].T, h[:, s:t], out=below[:, s:t])
