@@ -231,6 +231,44 @@ def chunks(docs: DataFrame, size: int = 1000, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, position int, content string")
 
 
+def asked_line(line: Column, frame: Column) -> Column:
+    """struct(frame, own, clauses, number) of a lost line, whose framing lines are squeezed and in lower case."""
+    low = F.lower(line)
+    clauses = F.regexp_extract_all(low, F.lit(r"clause\s+(\d+(\.\d+)?)"), F.lit(1))
+    number = F.nullif(F.regexp_extract(line, r"\b(\d+(\.\d+)?)\b", 1), F.lit(""))
+    return F.struct(frame.alias("frame"), F.array_distinct(tokens(low)).alias("own"), clauses.alias("clauses"), number.alias("number"))
+
+
+def held_chunk(position: Column, content: Column, section: Column) -> Column:
+    """struct(position, section, low, flat, words) of a chunk."""
+    low = F.lower(content)
+    return F.struct(position.alias("position"), section.alias("section"), low.alias("low"), squeezed(low).alias("flat"), F.array_distinct(tokens(low)).alias("words"))
+
+
+def judged(line: Column, chunks_of: Column) -> Column:
+    """struct(best, fallback) of an ``asked_line`` among all of its document's ``held_chunk``: the largest by score, and by first number or else common words."""
+
+    def told(c: Column) -> Column:
+        held = F.size(F.filter(line["frame"], lambda x: F.contains(c["flat"], x)))
+        named = F.when(c["section"].isNull(), 0).otherwise(F.coalesce(F.size(F.filter(line["clauses"], lambda n: F.contains(c["section"], n))), F.lit(0)))
+        has = F.coalesce(F.contains(c["low"], line["number"]), F.lit(False)).cast("int")
+        score = lambda common: F.round(3 * held + 0.2 * common + 3 * named, 6)
+        return bound(F.size(F.array_intersect(line["own"], c["words"])), lambda common: F.struct(score(common).alias("score"), (-c["position"]).alias("back"), has.alias("has"), common.alias("common")))
+
+    def largest(rows: Column) -> Column:
+        fallback = F.transform(rows, lambda r: F.struct(r["has"], F.when(r["has"] == 0, r["common"]).otherwise(0).alias("common"), r["back"], r["score"]))
+        return F.struct(F.array_max(F.transform(rows, lambda r: F.struct(r["score"], r["back"]))).alias("best"), F.array_max(fallback).alias("fallback"))
+
+    return bound(F.transform(chunks_of, told), largest)
+
+
+def settled(told: DataFrame, by: str) -> DataFrame:
+    """(by, line_no, line, position, score) of what ``judged`` found (``_found``): the best where its score is above 1, else the fallback; a line that is there more than once, with other frames, has one row."""
+    most = told.groupBy(by, "line_no", "line").agg(F.max("_found.best").alias("best"), F.max("_found.fallback").alias("fallback"))
+    chosen = F.when(F.col("best.score") > 1, F.struct("best.back", "best.score")).otherwise(F.struct("fallback.back", "fallback.score"))
+    return most.select(by, "line_no", "line", (-chosen["back"]).alias("position"), chosen["score"].alias("score"))
+
+
 def best_chunk(lines: DataFrame, chunks_of: DataFrame, by: str = "doc_id") -> DataFrame:
     """For each lost line (by, line_no, line, frame) the chunk of its document with the highest score; a null position where there is no chunk.
 
@@ -241,22 +279,42 @@ def best_chunk(lines: DataFrame, chunks_of: DataFrame, by: str = "doc_id") -> Da
     among equals.
     """
     chunks_of = chunks_of if "section" in chunks_of.columns else chunks_of.withColumn("section", F.lit(None).cast("string"))
-    # What a side alone decides is made before the join, once a line or chunk and not once a pair.
-    low = F.lower("content")
-    held_by = chunks_of.select(by, "position", "section", low.alias("_low"), squeezed(low).alias("_flat"), F.array_distinct(tokens(low)).alias("_words"))
-    clauses = F.regexp_extract_all(F.lower("line"), F.lit(r"clause\s+(\d+(\.\d+)?)"), F.lit(1))
-    number = F.nullif(F.regexp_extract("line", r"\b(\d+(\.\d+)?)\b", 1), F.lit(""))
-    asked = lines.select(by, "line_no", "line", F.transform("frame", lambda x: squeezed(F.lower(x))).alias("_frame"), F.array_distinct(tokens(F.lower("line"))).alias("_own"), clauses.alias("_clauses"), number.alias("_number"))
-    both = asked.join(held_by, by, "left")
-    held = F.size(F.filter("_frame", lambda x: F.contains("_flat", x)))
-    named = F.coalesce(F.size(F.filter("_clauses", lambda n: F.contains("section", n))), F.lit(0))
-    has = F.coalesce(F.contains("_low", "_number"), F.lit(False)).cast("int")
-    told = both.withColumn("_common", F.size(F.array_intersect("_own", "_words"))).withColumn("_has", has)
-    told = told.withColumn("score", F.round(3 * held + 0.2 * F.col("_common") + 3 * F.when(F.col("section").isNull(), 0).otherwise(named), 6))
-    first = lambda *order: F.max_by(F.struct("position", "score"), F.struct(*order, -F.col("position")))
-    best = told.groupBy(by, "line_no", "line").agg(first("score").alias("best"), first("_has", F.when(F.col("_has") == 0, F.col("_common")).otherwise(0)).alias("fallback"))
-    chosen = F.when(F.col("best.score") > 1, F.col("best")).otherwise(F.col("fallback"))
-    return best.select(by, "line_no", "line", chosen["position"].alias("position"), chosen["score"].alias("score"))
+    # What a side alone decides is made before the join; a line meets its document's chunks in one row, so pairs are no rows that are sorted.
+    held = chunks_of.groupBy(by).agg(F.collect_list(held_chunk(F.col("position"), F.col("content"), F.col("section"))).alias("_chunks"))
+    asked = lines.select(by, "line_no", "line", asked_line(F.col("line"), F.transform("frame", lambda x: squeezed(F.lower(x)))).alias("_asked"))
+    told = asked.join(held, by, "left").select(by, "line_no", "line", judged(F.col("_asked"), F.col("_chunks")).alias("_found"))
+    return settled(told, by)
+
+
+def replaced_lines(docs: DataFrame, kept: Callable[[Column], Column], place: Callable[[Column], Column], by: str = "doc_id", text_col: str = "text", reach: int = 5) -> DataFrame:
+    """(by, line_no, line, position, score) as ``best_chunk`` gives them, of the lines that no line ``kept`` by its number has, for chunks of kept lines with the same ``place``.
+
+    Texts are shuffled once, as they are; lines, their frames and chunks stay inside the row of their document.
+    Rows with the same id are one document, whose lines go by number; those without an id have no chunks.
+    """
+    whole = docs.groupBy(by).agg(F.collect_list(text_col).alias("_texts"))
+    numbered = F.flatten(F.transform("_texts", lambda t: F.transform(F.split(t, "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))))
+    solid = F.filter(F.array_sort(numbered), lambda s: F.trim(s["line"]) != "")
+    told = F.transform(solid, lambda s: F.struct(s["line_no"], s["line"], squeezed(s["line"]).alias("norm"), squeezed(F.lower(s["line"])).alias("low"), (kept(s["line_no"]) & F.col(by).isNotNull()).alias("kept"), place(s["line_no"]).alias("place")))
+    none = F.lit(None).cast("string")
+
+    def chunk(held: Column, p: Column) -> Column:
+        content = F.array_join(F.filter(held, lambda s: s["place"] == p)["line"], "\n")
+        return held_chunk(p, content, none)
+
+    def lost(a: Column, norms: Column) -> Column:
+        around = lambda low, i: F.concat(F.slice(low, F.greatest(i - (reach - 1), F.lit(1)), F.least(i, F.lit(reach))), F.slice(low, i + 2, reach))
+        framed = bound(a["low"], lambda low: F.transform(a, lambda s, i: F.struct(s["line_no"], s["line"], s["norm"], around(low, i).alias("frame"))))
+        return F.filter(framed, lambda s: (s["norm"] != "") & ~F.array_contains(norms, s["norm"]))
+
+    def found(a: Column) -> Column:
+        held = F.filter(a, lambda s: s["kept"])
+        chunks_of = bound(held, lambda h: F.transform(F.array_distinct(h["place"]), lambda p: chunk(h, p)))
+        gone = bound(F.array_distinct(held["norm"]), lambda norms: lost(a, norms))
+        asked = F.transform(gone, lambda s: F.struct(s["line_no"], s["line"], asked_line(s["line"], s["frame"]).alias("asked")))
+        return bound(chunks_of, lambda c: F.transform(asked, lambda s: F.struct(s["line_no"], s["line"], judged(s["asked"], c).alias("_found"))))
+
+    return settled(whole.select(by, F.inline(bound(told, found))), by)
 
 
 def main_start(line: Column) -> Column:

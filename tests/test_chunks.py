@@ -1,5 +1,7 @@
 """Semantic chunks, restored lines and tables on hand-written texts."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text
 from docloom.operators import chunking, restoration, semantic
+from docloom.plans import catalog
+from tests.conftest import SF
 
 DOCS = "doc_id long, text string, section_no int, content string"
 
@@ -143,3 +147,55 @@ def test_lines_and_chunks_are_prepared_before_they_meet(spark):
     above = plan_of(found).split("Join")[0]
     assert "regexp_replace" not in above and "split(" not in above
     assert [(r.position, r.score) for r in found.collect()] == [(1, 6.0)]
+
+
+def plain_replaced(rows):
+    """{(doc, line_no, line): (position, score)} of odd lines, pair by pair; texts by id."""
+    squeeze = lambda x: " ".join(x.split())
+    out = {}
+    for doc in {d for d, _ in rows}:
+        solid = sorted((k, x) for d, t in rows if d == doc and t is not None for k, x in enumerate(t.split("\n")) if x.strip(" "))
+        even = [(k, x) for k, x in solid if k % 2 == 0 and doc is not None]
+        chunks = {p: "\n".join(x for k, x in even if k // 10 == p).lower() for p in {k // 10 for k, _ in even}}
+        kept = {squeeze(x) for _, x in even}
+        judged = {}
+        for i, (k, x) in enumerate(solid):
+            if squeeze(x) and squeeze(x) not in kept:
+                frame = [squeeze(y.lower()) for _, y in solid[max(0, i - 5) : i] + solid[i + 1 : i + 6]]
+                number = re.search(r"\b(\d+(\.\d+)?)\b", x)
+                for p, c in chunks.items():
+                    common = len(set(x.lower().split()) & set(c.split()))
+                    has = bool(number and number[1] in c)
+                    judged.setdefault((doc, k, x), []).append((round(3 * sum(f in squeeze(c) for f in frame) + 0.2 * common, 6), -p, has, common))
+                judged.setdefault((doc, k, x), [])
+        for key, found in judged.items():
+            best = max(found, default=None)
+            if best and best[0] <= 1:
+                best = max(found, key=lambda f: (f[2], 0 if f[2] else f[3], f[1], f[0]))
+            out[key] = (-best[1], best[0]) if best else (None, None)
+    return out
+
+
+def test_replaced_lines_stay_in_the_row_of_their_document(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: ["aa", "Bb", "cc 4.2", "dd", "12", "e\tf", "", "  "][rng.integers(8)]
+    texts = ["\n".join(" ".join(word() for _ in range(rng.integers(5))) for _ in range(rng.integers(1, 45))) for _ in range(40)]
+    rows = [*enumerate(texts), (3, texts[5]), (3, texts[3]), (None, texts[7]), (None, texts[8]), (50, None), (51, ""), (52, "\nalone"), (53, "zz 7\n7.\n\n\n\n\n\n\n\n\nqq 7\nww"), (54, "a\r\nB\n\t\na\r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    put = chunking.replaced_lines(docs, lambda n: n % 2 == 0, lambda n: F.floor(n / 10))
+    got = [((r.doc_id, r.line_no, r.line), (r.position, r.score)) for r in put.collect()]
+    assert len(got) == len(dict(got)) > 300 and dict(got) == plain_replaced(rows)
+    # Texts alone are shuffled: no frames of ten lines each, and no pairs of lines and chunks to be sorted.
+    plan = catalog.QUERIES["restored_lines"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_best_chunk_has_no_row_for_a_pair(spark):
+    lines = spark.createDataFrame([(1, k, f"word{k} clause 4.{k}", ["a b"]) for k in range(6)] + [(2, 0, "alone", [])] + [(1, 0, "word0 clause 4.0", ["x"])], "doc_id long, line_no int, line string, frame array<string>")
+    chunks = spark.createDataFrame([(1, p, f"word{p} x", f"4.{p}") for p in range(5)], "doc_id long, position int, content string, section string")
+    found = chunking.best_chunk(lines, chunks)
+    got = {(r.doc_id, r.line_no): (r.position, r.score) for r in found.collect()}
+    assert got == {**{(1, k): (k, 3.2) for k in range(1, 5)}, (1, 0): (0, 6.2), (1, 5): (0, 0.0), (2, 0): (None, None)}
+    assert found.count() == 7
+    joined = [x for x in plan_of(found).splitlines() if "Join" in x]
+    assert len(joined) == 1 and "collect_list" in plan_of(found).split("Join")[1]
