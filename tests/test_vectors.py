@@ -184,3 +184,23 @@ def test_a_block_needs_little_memory():
     tracemalloc.stop()
     assert peak < 100e6 and len(p) == 3600
     assert np.allclose(s[:3], np.sort(x[0] @ y.T)[::-1][:3])
+
+
+@pytest.mark.parametrize("k", [1, 3])
+@pytest.mark.parametrize(("above", "least"), [(0.35, None), (0.35, 0.5), (0.9, None), (-0.5, None)])
+def test_few_over_a_bound_and_many_agree(k, above, least, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.round(rng.normal(size=(150, 6)), 0), np.zeros((2, 6))])  # many equals, and vectors without length
+    x, ids = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), rng.permutation(400)[:152]
+    got = []
+    for few in (1, 10**9):  # only those over the bound, or all
+        monkeypatch.setattr(vectors, "FEW", few)
+        got += [[a.tolist() for a in vectors.best(x[:70], ids[:70], x, ids, k, above, least, True, larger)] for larger in (True, False)]
+    assert got[:2] == got[2:] and got[0][0]
+
+
+def test_few_over_a_bound_are_not_searched_among_all(monkeypatch):
+    x = np.eye(40)
+    monkeypatch.setattr(np, "partition", None)  # the search for the k-th of all
+    p, q, s = vectors.best(x[:5], np.arange(5), x, np.arange(40), 3, 0.35, None, False, True)
+    assert p.tolist() == q.tolist() == list(range(5)) and s.tolist() == [1.0] * 5
